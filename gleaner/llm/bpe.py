@@ -2,8 +2,8 @@
 
 Documents go through Spark in chunks.  A chunk's texts are split into words by the
 tokenizer's own pattern; each chunk lists its distinct words, equal words of all chunks meet
-in one run of a sorted partition and are encoded once, and the ids are joined back to the
-chunk and taken by position.  Decoding joins ids to pieces (a table as large as the
+in one bucket (by hash) and are encoded once there, and the ids are joined back to the chunk
+and taken by position.  Decoding joins ids to pieces (a table as large as the
 vocabulary, whatever the input) and glues the pieces' bytes.
 
 Chunks are named by a hash of their contents, so a chunk computed again after a lost executor
@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import partitions, small_batches
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 24 << 20
 #: Fixed value: the pattern by which a byte-level tokenizer splits text before its merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for the standard library's faster engine, and what a text must not have for it to split alike.
+PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+NOT_PLAIN = "[^\x00-\x1b\x20-\x7f¡-©«-±´¶-¸»¿-ɏ‐-‧€]"
 
 
 def byte_of_char() -> dict[str, int]:
@@ -59,7 +64,7 @@ class Vocabulary:
         raw = {k: bytes(to_byte[c] for c in k) for k in model["model"]["vocab"] if k not in self.special}
         self.pieces = {model["model"]["vocab"][k]: v for k, v in raw.items()} | {i: s.encode() for s, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.words = regex.compile(PATTERN)
+        self.words, self.plain_words, self.not_plain = regex.compile(PATTERN), re.compile(PLAIN_PATTERN), re.compile(NOT_PLAIN)
         merged = [model["model"]["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["model"]["merges"]]
         #: Whether ids rise with the merges, so that a rank-based encoder gives the same ids.
         self.ranked = all(a < b for a, b in zip(merged, merged[1:])) and all(len(self.pieces[i]) == 1 for i in self.pieces if i < 256)
@@ -69,7 +74,7 @@ class Vocabulary:
     def split(self, text: str) -> list[str]:
         """The words of a text; special tokens are words."""
         if self.cut is None or not any(s in text for s in self.special):
-            return self.words.findall(text)
+            return (self.words if self.not_plain.search(text) else self.plain_words).findall(text)
         return [w for part in self.cut.split(text) if part for w in ([part] if part in self.special else self.words.findall(part))]
 
     @property
@@ -87,7 +92,7 @@ class Vocabulary:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.whole.encode_batch(words, add_special_tokens=False)]
+        return [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
 
 
 @lru_cache(2)
@@ -95,96 +100,153 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def chunks(docs: DataFrame, vocabulary_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """chunk, ids (the rows' keys), sizes (words of each row), codes (compressed numbers of the words), words (the distinct ones)."""
+class _Codes(dict):
+    """Words numbered as they first come up."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers below 2**32 as compressed byte planes."""
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.compress(planes.tobytes(), 3)
+
+
+def _loosened(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _in_chunks(batches: Iterator[pa.RecordBatch], split) -> Iterator[tuple[int, list, list[np.ndarray], _Codes]]:
+    """Name, row keys, word numbers of each row and distinct words of each chunk."""
+    start = lambda: ([], [], _Codes(), xxhash.xxh3_64())
+    ids, codes, words, digest = start()
+    held = 0
+    name = lambda: int.from_bytes(digest.digest(), "little", signed=True)
+    for b in batches:
+        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            found = split(text)
+            codes.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
+            ids.append(i)
+            raw = text.encode()
+            digest.update(f"{i},{len(raw)};".encode())
+            digest.update(raw)
+            held += len(raw)
+            if held >= CHUNK_BYTES:
+                yield name(), ids, codes, words
+                ids, codes, words, digest = start()
+                held = 0
+    if ids:
+        yield name(), ids, codes, words
+
+
+def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
-    def packed(ids: list, sizes: list[int], codes: list[np.ndarray], words: dict[str, int], digest) -> pa.RecordBatch:
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-        blob = zstandard.compress(flat.tobytes(), 3)
-        name = int.from_bytes(digest.digest()[:8], "little", signed=True)
-        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([blob], pa.binary()), pa.array([list(words)], pa.list_(pa.string()))], ["chunk", "ids", "sizes", "codes", "words"])
+
+def coded_chunks(docs: DataFrame, vocabulary_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """chunk, ids (the rows' keys), sizes (words of each row), codes (numbers of the words by falling frequency), rank (of each word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = vocabulary(vocabulary_path).split
-        start = lambda: ([], [], [], {}, xxhash.xxh3_128())
-        ids, sizes, codes, words, digest = start()
-        held = 0
-        for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = split(text)
-                codes.append(np.fromiter((words.setdefault(w, len(words)) for w in found), np.uint32, len(found)))
-                ids.append(i)
-                sizes.append(len(found))
-                raw = text.encode()
-                digest.update(f"{i},{len(raw)};".encode() + raw)
-                held += len(raw)
-                if held >= CHUNK_BYTES:
-                    yield packed(ids, sizes, codes, words, digest)
-                    ids, sizes, codes, words, digest = start()
-                    held = 0
-        if ids:
-            yield packed(ids, sizes, codes, words, digest)
-
-    return source.mapInArrow(run, "chunk long, ids array<long>, sizes array<int>, codes binary, words array<string>")
-
-
-def word_table(chunked: DataFrame, vocabulary_path: str) -> DataFrame:
-    """chunk, code, ids: each distinct word's ids, once for each chunk that has the word, encoded once in all."""
-    listed = chunked.select("chunk", F.posexplode("words").alias("code", "word"))
+        for name, ids, codes, words in _in_chunks(batches, vocabulary(vocabulary_path).split):
+            flat = np.concatenate(codes)
+            rank = np.empty(len(words), np.uint32)
+            rank[np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")] = np.arange(len(words), dtype=np.uint32)
+            arrays = [pa.array([name], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(c) for c in codes]], pa.list_(pa.int32())), pa.array([_squeezed(rank[flat])], pa.binary()), pa.array([_squeezed(rank)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["chunk", "ids", "sizes", "codes", "rank"])
+
+    return _texts(docs, text, key).mapInArrow(run, "chunk long, ids array<long>, sizes array<int>, codes binary, rank binary")
+
+
+def chunk_words(docs: DataFrame, vocabulary_path: str, buckets: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """chunk, bucket, codes, sizes, words: each chunk's distinct words, dealt by hash into buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(vocabulary_path)
-        last, last_ids = None, []
-        for b in batches:
-            words = b.column(2).to_pylist()
-            new = [w for w, before in zip(words, [last, *words]) if w != before]
-            known = dict(zip(new, v.encode_words(new)))
-            if words and words[0] == last:
-                known[last] = last_ids
-            if words:
-                last, last_ids = words[-1], known[words[-1]]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.asarray(known[w], "<u4").tobytes() for w in words], pa.binary())], ["chunk", "code", "ids"])
+        for name, _, _, words in _in_chunks(batches, vocabulary(vocabulary_path).split):
+            raw = [w.encode() for w in words]
+            at = np.fromiter((crc32(w) % buckets for w in raw), np.int64, len(raw))
+            order = np.argsort(at, kind="stable")
+            out: list[list] = [[], [], [], []]
+            for own in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []:
+                listed = [raw[i] for i in own.tolist()]
+                row = (int(at[own[0]]), _squeezed(np.diff(own, prepend=0)), _squeezed(np.array([len(w) for w in listed])), zstandard.compress(b"".join(listed), 3))
+                for column, x in zip(out, row):
+                    column.append(x)
+            arrays = [pa.array([name] * len(out[0]), pa.int64()), pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]]
+            yield pa.RecordBatch.from_arrays(arrays, ["chunk", "bucket", "codes", "sizes", "words"])
 
-    return listed.repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk long, code int, ids binary")
+    return _texts(docs, text, key).mapInArrow(run, "chunk long, bucket int, codes binary, sizes binary, words binary")
+
+
+def word_table(listed: DataFrame, vocabulary_path: str) -> DataFrame:
+    """chunk, codes, sizes, ids: the ids of each chunk's words; a word is encoded once, where its bucket comes together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = vocabulary(vocabulary_path).encode_words
+        bucket, known = None, {}
+        for b in batches:
+            sizes, ids = [], []
+            for at, n, words in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
+                if at != bucket:
+                    bucket, known = at, {}
+                ends = np.cumsum(_loosened(n).astype(np.int64)).tolist()
+                whole = zstandard.decompress(words)
+                found = [whole[low:high] for low, high in zip([0, *ends], ends)]
+                new = [w for w in found if w not in known]
+                known |= {w: np.asarray(x, "<u4").tobytes() for w, x in zip(new, encode([w.decode() for w in new]))}
+                own = [known[w] for w in found]
+                sizes.append(_squeezed(np.array([len(x) // 4 for x in own])))
+                ids.append(_squeezed(np.frombuffer(b"".join(own), "<u4")))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["chunk", "codes", "sizes", "ids"])
+
+    return listed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk long, codes binary, sizes binary, ids binary")
 
 
 def encode_decode(docs: DataFrame, vocabulary_path: str, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256; with_ids: also ids (array<int>) and decoded."""
-    chunked = chunks(docs, vocabulary_path, text, key)
-    table = word_table(chunked, vocabulary_path)
+    table = word_table(chunk_words(docs, vocabulary_path, partitions(docs.sparkSession), text, key), vocabulary_path)
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
     schema = f"`{key}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         pieces = vocabulary(vocabulary_path).pieces
-        order = np.argsort(right["code"].to_numpy())
-        listed = right["ids"].combine_chunks() if isinstance(right["ids"], pa.ChunkedArray) else right["ids"]
-        listed = listed.take(pa.array(order)).to_pylist()
-        words = [np.frombuffer(x, "<u4").tolist() for x in listed]
-        said = [",".join(map(str, x)) for x in words]
-        glued = [b"".join(map(pieces.__getitem__, x)) for x in words]
-        counts = np.array([len(x) for x in words], np.int64)
+        number = {i: str(i) for i in pieces}
+        said: dict[int, str] = {}
+        glued: dict[int, bytes] = {}
+        tokens: dict[int, list[int]] = {}
+        for blob, n, ids in zip(right["codes"].to_pylist(), right["sizes"].to_pylist(), right["ids"].to_pylist()):
+            own = np.cumsum(_loosened(blob).astype(np.int64)).tolist()
+            ends = np.cumsum(_loosened(n).astype(np.int64)).tolist()
+            flat = _loosened(ids).tolist()
+            spelt, cut = list(map(number.__getitem__, flat)), list(map(pieces.__getitem__, flat))
+            for code, low, high in zip(own, [0, *ends], ends):
+                said[code], glued[code], tokens[code] = ",".join(spelt[low:high]), b"".join(cut[low:high]), flat[low:high]
         out: list[list] = [[] for _ in names]
-        done = set()
-        for c in range(left.num_rows):
-            ids, sizes = left["ids"][c].as_py(), left["sizes"][c].as_py()
-            codes = np.frombuffer(zstandard.decompress(left["codes"][c].as_py()), np.uint32)
-            if len(codes) and (len(words) <= int(codes.max())):
+        for ids, sizes, codes, rank in zip(*[left[c].to_pylist() for c in ("ids", "sizes", "codes", "rank")]):
+            rank, codes = _loosened(rank), _loosened(codes)
+            if len(rank) != len(said):
                 raise RuntimeError("a chunk's words are missing: the input changed between two reads")
+            word = np.empty(len(rank), np.int64)
+            word[rank] = np.arange(len(rank))
+            word = word.tolist()
+            by_rank = [[x[w] for w in word] for x in (said, glued, tokens)]
+            lengths = np.array([len(x) for x in by_rank[2]], np.int64)
+            upto = np.concatenate([[0], np.cumsum(lengths[codes])])
             at = 0
             for i, n in zip(ids, sizes):
                 own = codes[at : at + n].tolist()
+                decoded = b"".join(map(by_rank[1].__getitem__, own)).decode("utf-8", "replace")
+                row = [i, int(upto[at + n] - upto[at]), hashlib.sha256(",".join(map(by_rank[0].__getitem__, own)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
                 at += n
-                decoded = b"".join([glued[w] for w in own]).decode("utf-8", "replace")
-                row = [i, int(counts[own].sum()) if n else 0, hashlib.sha256(",".join([said[w] for w in own]).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-                for column, x in zip(out, row + ([[t for w in own for t in words[w]], decoded] if with_ids else [])):
+                for column, x in zip(out, row + ([[t for w in own for t in by_rank[2][w]], decoded] if with_ids else [])):
                     column.append(x)
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
 
-    return chunked.select("chunk", "ids", "sizes", "codes").groupBy("chunk").cogroup(table.groupBy("chunk")).applyInArrow(run, schema)
+    return coded_chunks(docs, vocabulary_path, text, key).groupBy("chunk").cogroup(table.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, vocabulary_path: str, ids: str = "ids") -> DataFrame:
