@@ -22,10 +22,11 @@ from pyspark.sql import Window as W
 
 #: (host, path prefix, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Symbol 0 is the start and 1 anything else; then 26 letters, a digit and three marks of URLs.
-SYMBOLS = "abcdefghijklmnopqrstuvwxyz"
-MARKS = "/.-"
+#: URLs are judged in 32 symbols, written as the ASCII characters from "_" on: "_" anything
+#: else, "`" start, 26 letters, "{" a digit, then "/", "." and "-".
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 ALPHABET = 32
+START = "``"
 #: Sixteenths of the ruled URLs, by hash, that calibrate instead of training.
 HELD_OUT = 4
 BINS = 400
@@ -35,7 +36,7 @@ SPREAD = 4.0
 
 def host_of(url: Column) -> Column:
     host = F.when(url.contains("://"), F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1))
-    return F.coalesce(F.translate(host, SYMBOLS.upper(), SYMBOLS), F.lit(""))
+    return F.coalesce(F.translate(host, LETTERS.upper(), LETTERS), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -53,18 +54,21 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def symbols(url: Column) -> Column:
-    """A URL as symbol numbers, after two start symbols."""
-    plain = F.translate(F.lower(F.coalesce(url, F.lit(""))), "0123456789", "0" * 10)
-    table = SYMBOLS + "0" + MARKS
-    number = lambda c: F.when(F.instr(F.lit(table), c) > 0, F.instr(F.lit(table), c) + 1).otherwise(F.lit(1))
-    chars = F.filter(F.split(plain, ""), lambda c: c != "")
-    return F.concat(F.array(F.lit(0), F.lit(0)), F.transform(chars, number))
+    """A URL in the 32 symbols."""
+    plain = F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), "[^a-z0-9/.-]", "_")
+    return F.translate(plain, "0123456789/.-", "{" * 10 + "|}~")
 
 
-def grams(codes: Column) -> Column:
-    """Numbers of all runs of three symbols."""
-    at = F.sequence(F.lit(0), F.size(codes) - 3)
-    return F.when(F.size(codes) > 2, F.transform(at, lambda i: (codes[i] * ALPHABET + codes[i + 1]) * ALPHABET + codes[i + 2])).otherwise(F.array().cast("array<int>"))
+def code_of(symbol: Column) -> Column:
+    return F.ascii(symbol) - ord("_")
+
+
+def mean_difference(symbols: Column, table: Column) -> Column:
+    """Differences of ``table`` a character: a fold whose state is the sum, the count and the last two symbols."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(ALPHABET + 1).alias("context"))
+    gram = lambda a, c: a["context"] * ALPHABET + code_of(c)
+    step = lambda a, c: F.struct((a["sum"] + F.element_at(table, gram(a, c) + 1)).alias("sum"), (a["n"] + 1).alias("n"), (gram(a, c) % ALPHABET**2).alias("context"))
+    return F.when(symbols == "", F.lit(0.0)).otherwise(F.aggregate(F.split(symbols, ""), start, step, lambda a: a["sum"] / a["n"]))
 
 
 def difference_table(counts: DataFrame) -> DataFrame:
@@ -102,14 +106,17 @@ def judge_urls(pages: DataFrame, url: str = "url", key: str = "page_id", rules=R
     name, verdict = rule_columns(F.col("__host"), F.col("__path"), rules)
     base = base.withColumns({"__rule": name, "__ruled": verdict})
 
-    ruled = base.filter(F.col("__ruled").isNotNull() & src.isNotNull()).select((F.col("__ruled") == "allow").alias("good"), (F.conv(F.substring(F.md5(src.cast("binary")), 1, 1), 16, 10).cast("int") < HELD_OUT).alias("held"), grams(symbols(src)).alias("grams"))
+    ruled = base.filter(F.col("__ruled").isNotNull() & src.isNotNull()).select((F.col("__ruled") == "allow").alias("good"), (F.conv(F.substring(F.md5(src.cast("binary")), 1, 1), 16, 10).cast("int") < HELD_OUT).alias("held"), symbols(src).alias("symbols"))
     good = F.col("good").cast("int")
-    counts = ruled.filter("not held").select("good", F.explode("grams").alias("gram")).groupBy("gram").agg(F.sum(good).alias("accepted"), F.sum(1 - good).alias("rejected"))
+    # the generator keeps the optimizer from computing the symbols again for every gram
+    each = ruled.filter("not held and symbols <> ''").select("good", F.concat(F.lit(START), "symbols").alias("whole")).select("*", F.explode(F.sequence(F.lit(1), F.length("whole") - 2)).alias("at"))
+    runs = each.select("good", F.substring("whole", F.col("at"), F.lit(3)).alias("run")).groupBy("run").agg(F.sum(good).alias("accepted"), F.sum(1 - good).alias("rejected"))
+    part = lambda k: code_of(F.substring("run", k, 1))
+    counts = runs.select(((part(1) * ALPHABET + part(2)) * ALPHABET + part(3)).alias("gram"), "accepted", "rejected")
     both = counts.agg(((F.sum("accepted") > 0) & (F.sum("rejected") > 0)).alias("_both"))
     table = difference_table(counts).select(F.when(F.coalesce(both.scalar(), F.lit(False)), F.col("table")).otherwise(F.array_repeat(F.lit(0.0), ALPHABET**3)).alias("table"))
 
-    mean = lambda g: F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda a, x: a + F.element_at("table", x + 1)) / F.size(g)).otherwise(F.lit(0.0))
-    scored = ruled.filter("held").withColumn("table", table.scalar()).select("good", mean(F.col("grams")).alias("score"))
+    scored = ruled.filter("held").withColumn("table", table.scalar()).select("good", mean_difference(F.col("symbols"), F.col("table")).alias("score"))
     bins = scored.select("good", F.least(F.greatest(F.floor((F.col("score") + SPREAD) / (2 * SPREAD) * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int").alias("bin"))
     bins = bins.groupBy("bin").agg(F.sum(F.col("good").cast("double")).alias("g"), F.sum(1 - F.col("good").cast("double")).alias("b"))
     upto, whole = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(F.lit(0))
@@ -119,7 +126,7 @@ def judge_urls(pages: DataFrame, url: str = "url", key: str = "page_id", rules=R
     threshold = best.select(F.when(F.coalesce("two", F.lit(False)), F.col("best.bin") * (2 * SPREAD / BINS) - SPREAD).otherwise(F.lit(0.0)).alias("threshold"))
 
     judged = base.withColumns({"table": table.scalar(), "threshold": threshold.scalar()})
-    score = F.when(F.col("__ruled").isNull(), mean(grams(symbols(src))))
+    score = F.when(F.col("__ruled").isNull(), mean_difference(symbols(src), F.col("table")))
     judged = judged.withColumn("score", score)
     by_model = F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block")
     return judged.select(F.col("__key").alias(key), F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.coalesce("__ruled", by_model).alias("verdict"), "score", "threshold")
