@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .bpe import encode_decode
+from .ngram_join import jaccard_classes
 from .packing import pack
 from .quality_rules import quality_rules
 from .sharding import shard_documents
@@ -31,6 +32,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_read(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -48,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest_neighbours, op2_url_filters, op4_best_fit_packing, op5_bpe, op9_quality_rules, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest_neighbours, op2_url_filters, op3_ngram_jaccard, op4_best_fit_packing, op5_bpe, op9_quality_rules, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_nearest_neighbours": """
