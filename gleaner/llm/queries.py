@@ -14,6 +14,7 @@ from .ngram_join import jaccard_classes
 from .packing import pack
 from .quality_rules import quality_rules
 from .sharding import shard_documents
+from .suffix_dedup import remove_repeats
 from .url_filters import judge_urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +45,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_read(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest_neighbours, op2_url_filters, op3_ngram_jaccard, op4_best_fit_packing, op5_bpe, op9_quality_rules, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest_neighbours, op2_url_filters, op3_ngram_jaccard, op4_best_fit_packing, op5_bpe, op6_suffix_dedup, op9_quality_rules, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_nearest_neighbours": """
