@@ -43,7 +43,7 @@ LIMIT = 2000
 #: Stretches into which contexts of more common anchors are split.
 STRETCHES = 8
 #: Bytes of a segment in which anchors are sought; places in it take the low 24 bits of a key.
-SEGMENT = 1 << 23
+SEGMENT = 1 << 20
 #: Strings sorted at once.
 BATCH_STRINGS = 1 << 18
 
@@ -95,64 +95,77 @@ def sliding_least(key: np.ndarray, window: int) -> np.ndarray:
 
 
 class Suffixes:
-    """Strings of ``length`` bytes at places of one byte array, compared by their common extension."""
+    """Suffixes of one byte array, each with a number of bytes that count, compared by common extensions."""
 
-    def __init__(self, data: np.ndarray, length: int):
-        self.data, self.length, self.prefix = data, length, prefix_hashes(data)
+    def __init__(self, data: np.ndarray):
+        self.data, self.prefix = data, prefix_hashes(data)
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common extension, up to ``length``, by binary search on hashes."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.length, np.int64)
-        while True:
+    def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Length of the common extension, up to ``most``, by binary search on hashes."""
+        low, high = np.zeros(len(a), np.int64), most.astype(np.int64)
+        while (low < high).any():
             middle = (low + high + 1) // 2
-            if not (low < high).any():
-                return low
             same = span_hashes(self.prefix, a, a + middle) == span_hashes(self.prefix, b, b + middle)
             low, high = np.where(same, middle, low), np.where(same, high, np.maximum(middle - 1, low))
+        return low
 
-    def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        n = self.common(a, b)
-        inside = np.minimum(n, self.length - 1)
-        return (n < self.length) & (self.data[a + inside] < self.data[b + inside])
+    def less(self, a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+        """Whether a sorts before b; one that ends inside another sorts before it."""
+        most = np.minimum(a_size, b_size)
+        n = self.common(a, b, most)
+        last = len(self.data) - 1
+        return np.where(n < most, self.data[np.minimum(a + n, last)] < self.data[np.minimum(b + n, last)], a_size < b_size)
 
-    def merge_sorted(self, place: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """Order of the strings within each bucket; ``bucket`` is ascending.
+    def merge_sorted(self, place: np.ndarray, size: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Order of the suffixes within each bucket; ``bucket`` is ascending.
 
-        Runs of 1, 2, 4, ... are merged in all buckets at once: a string's place in the merged
-        run is its own plus the number of strings of the sibling run before it, by binary search.
+        Runs of 1, 2, 4, ... are merged in all buckets at once: a suffix's place in the merged
+        run is its own plus the number of suffixes of the sibling run before it, by binary search.
         """
         order = np.arange(len(place))
         start = np.searchsorted(bucket, bucket, "left")
-        size = np.searchsorted(bucket, bucket, "right") - start
+        many = np.searchsorted(bucket, bucket, "right") - start
         width = 1
         while True:
-            active = np.flatnonzero(size > width)
+            active = np.flatnonzero(many > width)
             if not len(active):
                 return order
             run = (active - start[active]) // width
             left = run % 2 == 0
             sibling = start[active] + np.where(left, run + 1, run - 1) * width
-            end = start[active] + size[active]
+            end = start[active] + many[active]
             low, high = np.minimum(sibling, end), np.minimum(sibling + width, end)
             first = low.copy()
-            own = place[order[active]]
-            while (open_ := np.flatnonzero(low < high)).size:
-                middle = (low[open_] + high[open_]) // 2
-                other = place[order[middle]]
-                # equal strings of the left run stand before those of the right
-                goes_before = np.where(left[open_], self.less(other, own[open_]), ~self.less(own[open_], other))
-                low[open_] = np.where(goes_before, middle + 1, low[open_])
-                high[open_] = np.where(goes_before, high[open_], middle)
+            own = order[active]
+            while (left_open := np.flatnonzero(low < high)).size:
+                middle = (low[left_open] + high[left_open]) // 2
+                a, b = order[middle], own[left_open]
+                # equal suffixes of the left run stand before those of the right
+                swap = left[left_open]
+                x, y = np.where(swap, a, b), np.where(swap, b, a)
+                goes_before = self.less(place[x], size[x], place[y], size[y]) == swap
+                low[left_open] = np.where(goes_before, middle + 1, low[left_open])
+                high[left_open] = np.where(goes_before, high[left_open], middle)
             target = start[active] + (run - run % 2) * width + (active - start[active]) % width + (low - first)
             merged = order.copy()
             merged[target] = order[active]
             order = merged
             width *= 2
 
-    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def longest(self, place: np.ndarray, size: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Longest common extension of each suffix with another of its bucket: its neighbours', once sorted."""
+        order = self.merge_sorted(place, size, bucket)
+        place, size = place[order], size[order]
+        beside = np.where(bucket[1:] == bucket[:-1], self.common(place[:-1], place[1:], np.where(bucket[1:] == bucket[:-1], np.minimum(size[:-1], size[1:]), 0)), 0)
+        out = np.zeros(len(place), np.int64)
+        out[order[:-1]] = beside
+        out[order[1:]] = np.maximum(out[order[1:]], beside)
+        return out
+
+    def equal(self, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
         """Whether strings are equal: by extension, then verified byte by byte."""
-        out = self.common(a, b) == self.length
-        reach = np.arange(self.length)
+        out = self.common(a, b, np.full(len(a), length)) == length
+        reach = np.arange(length)
         for k in range(0, len(a), 4096):
             own = np.flatnonzero(out[k : k + 4096]) + k
             out[own] = (self.data[a[own, None] + reach] == self.data[b[own, None] + reach]).all(axis=1)
@@ -162,28 +175,54 @@ class Suffixes:
 def repeated_strings(contexts: list[bytes], group: np.ndarray, align: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each context a mask of its strings that occur in another context of its group at the same offset.
 
-    Contexts of a group differ; ``align`` is the offset of a context's first string from its anchor.
+    Contexts of a group differ, and their rows stand together; ``align`` is the offset of a
+    context's first string from its anchor.  All strings of a group hold the byte at the
+    group's last offset.  Sorting the suffixes from there, forwards and backwards, gives how far
+    any other context agrees with a context on either side, and so which strings may occur
+    again.  Those are sorted themselves, except in groups of two, where the agreement is exact.
     """
-    counts = np.array([len(c) - length + 1 for c in contexts], np.int64)
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    counts = sizes - length + 1
     data = np.frombuffer(b"".join(contexts), np.uint8)
-    begin = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])[:-1]
-    which = np.repeat(np.arange(len(contexts)), counts)
-    index = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-    place, offset, owner = begin[which] + index, align[which] + index, group[which]
-    by = np.lexsort((offset, owner))
-    change = np.ones(len(by), bool)
-    change[1:] = (owner[by][1:] != owner[by][:-1]) | (offset[by][1:] != offset[by][:-1])
+    begin = np.cumsum(sizes) - sizes
+    _, group, members = np.unique(group, return_inverse=True, return_counts=True)
+    last = np.full(len(members), np.iinfo(np.int64).min)
+    np.maximum.at(last, group, align + counts - 1)
+    pivot = last[group] - align  # from a context's first byte
+    by = np.argsort(group, kind="stable")
+    forwards, backwards = Suffixes(data), Suffixes(data[::-1])
+    right, left = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
+    right[by] = forwards.longest((begin + pivot)[by], (sizes - pivot)[by], group[by])
+    left[by] = backwards.longest((len(data) - begin - pivot)[by], pivot[by], group[by])
+    low, high = np.maximum(pivot - left, 0), np.minimum(pivot + right - length, counts - 1)
+    out = [np.zeros(n, bool) for n in counts.tolist()]
+    paired = (members[group] == 2) & (high >= low)
+    for x, y in by[paired[by]].reshape(-1, 2).tolist() if paired.any() else []:
+        a, b = contexts[x][low[x] : high[x] + length], contexts[y][low[y] : high[y] + length]
+        if a == b:
+            out[x][low[x] : high[x] + 1] = out[y][low[y] : high[y] + 1] = True
+        else:  # a collision of hashes
+            paired[x] = paired[y] = False
+    rest = np.flatnonzero(~paired & (high >= low))
+    n = (high - low + 1)[rest]
+    which = np.repeat(rest, n)
+    index = low[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    offset = align[which] + index
+    order = np.lexsort((offset, group[which]))
+    which, index, offset = which[order], index[order], offset[order]
+    change = np.ones(len(which), bool)
+    change[1:] = (group[which][1:] != group[which][:-1]) | (offset[1:] != offset[:-1])
     bucket = np.cumsum(change)
     shared = np.bincount(bucket)[bucket] > 1
-    by, bucket = by[shared], bucket[shared]
-    mask = np.zeros(len(which), bool)
-    if len(by):
-        suffixes = Suffixes(data, length)
-        by = by[suffixes.merge_sorted(place[by], bucket)]
+    which, index, bucket = which[shared], index[shared], bucket[shared]
+    if len(which):
+        place = begin[which] + index
+        order = forwards.merge_sorted(place, np.full(len(place), length), bucket)
         together = np.flatnonzero(bucket[1:] == bucket[:-1])
-        same = together[suffixes.equal(place[by[together]], place[by[together + 1]])]
-        mask[by[same]] = mask[by[same + 1]] = True
-    return np.split(mask, np.cumsum(counts)[:-1])
+        same = together[forwards.equal(place[order[together]], place[order[together + 1]], length)]
+        for k in np.unique(np.concatenate([order[same], order[same + 1]])).tolist():
+            out[which[k]][index[k]] = True
+    return out
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
