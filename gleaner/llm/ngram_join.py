@@ -247,11 +247,12 @@ def components(links: DataFrame, name: str) -> DataFrame:
     while True:
         # large star: every neighbour above the centre goes to the centre's smallest
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written first, so that a hot centre's links can be split in the join
+        least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: every neighbour below the centre, and the centre, goes to the smallest
         large = staged(large.filter("a <> b").distinct(), name)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = staged(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         edges = staged(small.filter("a <> b").distinct(), name)
         state = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()

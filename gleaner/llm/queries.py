@@ -12,10 +12,12 @@ from .ann import nearest
 from .bpe import encode_decode
 from .ngram_join import jaccard_classes
 from .packing import pack
+from .quality_classifier import resampled
 from .quality_rules import quality_rules
 from .sharding import shard_documents
 from .suffix_dedup import remove_repeats
 from .url_filters import judge_urls
+from .warc import archived
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -49,6 +51,15 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = resampled(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return scored.select(F.col("id").alias("doc_id"), "n_features", "log_weight", "sample", "kept")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
@@ -58,9 +69,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest_neighbours, op2_url_filters, op3_ngram_jaccard, op4_best_fit_packing, op5_bpe, op6_suffix_dedup, op9_quality_rules, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest_neighbours, op2_url_filters, op3_ngram_jaccard, op4_best_fit_packing, op5_bpe, op6_suffix_dedup, op7_quality_classifier, op8_warc, op9_quality_rules, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+        r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to FROM r""",
     "op1_nearest_neighbours": """
         WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
                    WHERE len(list_filter(CAST(embedding AS DOUBLE[]), x -> x IS NULL OR NOT isfinite(x))) = 0

@@ -348,19 +348,19 @@ def _sorted_parts(parts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(texts: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """row, spans (array of start, end): bytes to remove.  texts: row, text (binary); packed: the same compressed."""
     found = _anchor_rows(texts, length, gram)
-    several = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("all")).filter("all > 1").select("anchor")
+    # tables joined to skewed ones are written first, so that both sides are plain exchanges and hot partitions can be split
+    several = staged(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("all")).filter("all > 1").select("anchor"), "suffix-several")
     found = staged(found.join(several, "anchor"), "suffix-anchors")
     contexts = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "place", "off", "n")).alias("one"))
-    width = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"))
-    contexts = staged(contexts.join(width, "anchor").select("anchor", "context", "copies", "contexts", "one.*"), "suffix-contexts")
-
-    differing = contexts.filter("contexts > 1")
+    contexts = staged(contexts.select("anchor", "context", "copies", "one.*"), "suffix-contexts")
+    width = staged(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1"), "suffix-widths")
+    differing = contexts.join(width.select("anchor"), "anchor")
     wanted = differing.groupBy("row").agg(F.collect_list(F.struct("anchor", "context", "place", "off", "n", "copies")).alias("wanted"))
     cut = _cut(packed.join(wanted, "row").dropDuplicates(["row"]).select("row", "packed", "wanted"), length)
     part = cut.select(F.col("anchor").alias("key"), "context", "row", "place", (-F.col("off")).alias("align"), "whole", "bytes")
     columns = part.columns
     spans = []
-    common = contexts.filter(F.col("contexts") > LIMIT).select(F.col("anchor").alias("key")).distinct()
+    common = width.filter(F.col("contexts") > LIMIT).select(F.col("anchor").alias("key"))
     if common.isEmpty():
         few = part
     else:
