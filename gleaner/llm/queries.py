@@ -71,7 +71,70 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest_neighbours, op2_url_filters, op3_ngram_jaccard, op4_best_fit_packing, op5_bpe, op6_suffix_dedup, op7_quality_classifier, op8_warc, op9_quality_rules, op10_sharding)}
 
+_WORDS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_FAILS = (
+    "(bars >= 3 AND 3 * bars >= n) OR (n >= 4 AND 4 * marks > n) OR (n >= 4 AND 2 * shouts > n)"
+    " OR (n <= 20 AND regexp_matches(lower(line), 'cookie|javascript|all rights reserved|terms of use|privacy policy|lorem ipsum|sign in|log in|share on'))"
+    " OR (n > 12 AND bars > 0 AND NOT regexp_matches(line, '[.!?:;,…\"''”»)][\\s\\x0B\\x1C-\\x1F\\x85\\xA0]*$'))"
+)
+_COUNT = lambda text, marks: f"length({text}) - length(regexp_replace({text}, '[{marks}]', '', 'g'))"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": """
+        WITH u AS (SELECT page_id, url, contains(url, '://') AS ok FROM pages),
+        h AS (SELECT page_id, url, CASE WHEN ok THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+              CASE WHEN ok THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+        rules(domain, prefix, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+        r AS (SELECT h.*, x.rule, x.verdict AS ruled, translate(regexp_replace(lower(coalesce(url, '')), '[^a-z0-9/.-]', '_', 'g'), '0123456789/.-', '{{{{{{{{{{|}~') AS s
+              FROM h LEFT JOIN LATERAL (SELECT max_by(domain || prefix, length(domain || prefix)) AS rule, max_by(verdict, length(domain || prefix)) AS verdict FROM rules
+                                        WHERE (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix)) x ON true),
+        t AS (SELECT page_id, ruled, substring(md5(url), 1, 1) IN ('0', '1', '2', '3') AS held, unnest(list_transform(range(1, length(s) + 1), lambda i: substring('``' || s, i, 3))) AS g FROM r WHERE s <> ''),
+        sym AS (SELECT chr(CAST(unnest(range(95, 127)) AS INTEGER)) AS c),
+        cls AS (SELECT unnest(['allow', 'block']) AS k),
+        n AS (SELECT ruled AS k, g, count(*) AS n FROM t WHERE NOT held AND ruled IS NOT NULL GROUP BY ALL),
+        cells AS (SELECT k, a.c || b.c AS ctx, b.c AS mid, b.c || z.c AS pair, z.c AS last, a.c || b.c || z.c AS g FROM cls, sym a, sym b, sym z),
+        full_ AS (SELECT cells.*, coalesce(n.n, 0)::DOUBLE AS n FROM cells LEFT JOIN n ON n.k = cells.k AND n.g = cells.g),
+        sums AS (SELECT *, sum(n) OVER (PARTITION BY k) AS whole, sum(n) OVER (PARTITION BY k, last) AS of_last, sum(n) OVER (PARTITION BY k, pair) AS of_pair,
+                 sum(n) OVER (PARTITION BY k, mid) AS of_mid, sum(n) OVER (PARTITION BY k, ctx) AS of_ctx, sum((n > 0)::INT) OVER (PARTITION BY k, ctx) AS kinds2 FROM full_),
+        kinds AS (SELECT k, mid, count(DISTINCT pair) FILTER (of_pair > 0) AS kinds1 FROM sums GROUP BY k, mid),
+        p0 AS (SELECT sums.*, kinds1, (of_last + 1) / (whole + 32) AS p FROM sums JOIN kinds USING (k, mid)),
+        p1 AS (SELECT * REPLACE (CASE WHEN of_mid > 0 THEN (of_pair + kinds1 * p) / (of_mid + kinds1) ELSE p END AS p) FROM p0),
+        p2 AS (SELECT k, g, ln(CASE WHEN of_ctx > 0 THEN (n + kinds2 * p) / (of_ctx + kinds2) ELSE p END) AS p FROM p1),
+        d AS (SELECT a.g, CASE WHEN (SELECT count(DISTINCT k) FROM n) = 2 THEN a.p - b.p ELSE 0 END AS d FROM p2 a JOIN p2 b USING (g) WHERE a.k = 'allow' AND b.k = 'block'),
+        score AS (SELECT page_id, any_value(ruled) AS ruled, any_value(held) AS held, sum(d) / count(*) AS score FROM t JOIN d USING (g) GROUP BY page_id),
+        bins AS (SELECT least(greatest(floor((score + 4.0) / 8.0 * 400), 0), 399) AS bin, sum((ruled = 'allow')::INT)::DOUBLE AS g, sum((ruled = 'block')::INT)::DOUBLE AS b FROM score WHERE held AND ruled IS NOT NULL GROUP BY 1),
+        err AS (SELECT bin, coalesce(sum(g) OVER w, 0) / greatest(sum(g) OVER (), 1) + (sum(b) OVER () - coalesce(sum(b) OVER w, 0)) / greatest(sum(b) OVER (), 1) AS e, sum(g) OVER () > 0 AND sum(b) OVER () > 0 AS two
+                FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        best AS (SELECT CASE WHEN bool_or(two) THEN arg_min(bin, {'e': e, 'b': bin}) * 0.02 - 4.0 ELSE 0 END AS threshold FROM err)
+        SELECT page_id, host, path, rule, CASE WHEN r.ruled IS NOT NULL THEN r.ruled WHEN coalesce(score, 0) >= (SELECT threshold FROM best) THEN 'allow' ELSE 'block' END AS verdict
+        FROM r LEFT JOIN score USING (page_id)""",
+    # documents that share a run of words, by an index of runs; classes by the least id that links lead to
+    "op3_ngram_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')]
+              ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+        r AS (SELECT doc_id, doc_id AS class FROM documents UNION SELECT l.b, r.class FROM r JOIN l ON l.a = r.doc_id WHERE r.class < l.b)
+        SELECT doc_id, min(class) AS class_id, (SELECT count(*) FROM l WHERE l.a = r.doc_id) AS n_links FROM r GROUP BY doc_id""",
+    # lines with their words, then the rules on each, as the module states them
+    "op9_quality_rules": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format('text')} AS w FROM documents),
+        g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d),
+        h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 2]) AS c FROM g),
+        p AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM h, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY doc_id),
+        l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+        m AS (SELECT doc_id, line, len({_WORDS.format('line')}) AS n, {_COUNT('line', '|>»·•')} AS bars, {_COUNT('line', '#*$%&|<>')} AS marks,
+              (length(line) - length(replace(line, '!!', ''))) // 2 AS shouts FROM l),
+        f AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER ({_FAILS}) AS n_failed_lines,
+              coalesce(sum(n) FILTER ({_FAILS}), 0) AS failed_words FROM m WHERE n > 0 GROUP BY doc_id),
+        a AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+              CAST({_COUNT('t', '#*$%&|<>')} AS BIGINT) AS n_symbols FROM d),
+        j AS (SELECT a.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+              coalesce(n_failed_lines, 0) AS n_failed_lines, CAST(coalesce(failed_words, 0) AS BIGINT) AS failed_words FROM a LEFT JOIN f USING (doc_id) LEFT JOIN p USING (doc_id))
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * failed_words <= 50 * n_words AS kept FROM j""",
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
@@ -81,8 +144,8 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to FROM r""",
     "op1_nearest_neighbours": """
         WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-                   WHERE len(list_filter(CAST(embedding AS DOUBLE[]), x -> x IS NULL OR NOT isfinite(x))) = 0
-                     AND len(list_filter(embedding, x -> x <> 0)) > 0),
+                   WHERE len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
               FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
