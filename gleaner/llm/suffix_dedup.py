@@ -437,10 +437,9 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", co
 
     A character of which only some bytes stay goes too; null texts stay null.
     """
-    others = tuple(c for c in docs.columns if c != text)
-    done = remove_repeats(docs.withColumn("__null", F.col(f"`{text}`").isNull()), text, key, (*others, "__null"), True)
-    whole = F.when(F.col("__null"), F.lit(None).cast("string")).otherwise(F.col("kept"))
-    done = done.withColumn("__text", whole)
-    if count in others:
-        done = done.withColumn(count, F.length("__text").cast(docs.schema[count].dataType))
-    return done.select(*[F.col("__text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
+    source = docs.select(F.col(f"`{text}`").alias("__text"), F.col(f"`{key}`").alias("__key"), row.alias("__row"), F.col(f"`{text}`").isNull().alias("__null"))
+    done = remove_repeats(source, "__text", "__key", ("__row", "__null"), True)
+    left = F.when(F.col("__null"), F.lit(None).cast("string")).otherwise(F.col("kept"))
+    new = {text: left} | ({count: F.length(left).cast(docs.schema[count].dataType)} if count in docs.columns and count != text else {})
+    return done.select(*[new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
