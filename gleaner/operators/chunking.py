@@ -21,7 +21,7 @@ BOUNDARIES = {
     "ts": (*_JS, r"^(?:export\s+)?(?:abstract\s+)?class\s+(\w+)"),
     "rs": (r"^(?:pub\s+)?(?:async\s+)?fn\s+(\w+)\s*\(", r"^(?:pub\s+)?(?:struct|enum|trait|impl)\s+(?:<[^>]+>\s+)?(\w+)"),
 }
-_MARK = "struct<offset:int,name:string,level:int>"
+_MARK = "struct<offset:int,name:string,level:int,line:int>"
 
 
 @dataclass(frozen=True)
@@ -42,13 +42,13 @@ def windows(start: Column, end: Column, max_chars: int, overlap: int) -> Column:
 
 
 def marks(content: Column, of_line) -> Column:
-    """Array of (offset, name, level) for the lines on which ``of_line`` gives (matches, name, level)."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_MARK}>").alias("found"))
+    """Array of (offset, name, level, line) for the lines on which ``of_line`` gives (matches, name, level)."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast(f"array<{_MARK}>").alias("found"))
 
     def step(state: Column, line: Column) -> Column:
         matches, name, level = of_line(trim_space(line))
-        mark = F.struct(state["at"].alias("offset"), name.alias("name"), level.cast("int").alias("level"))
-        return F.struct((state["at"] + F.length(line) + 1).alias("at"), F.when(matches, F.concat(state["found"], F.array(mark))).otherwise(state["found"]).alias("found"))
+        mark = F.struct(state["at"].alias("offset"), name.alias("name"), level.cast("int").alias("level"), state["line"].alias("line"))
+        return F.struct((state["at"] + F.length(line) + 1).alias("at"), (state["line"] + 1).alias("line"), F.when(matches, F.concat(state["found"], F.array(mark))).otherwise(state["found"]).alias("found"))
 
     return F.aggregate(F.split(content, "\n", -1), start, step, lambda s: s["found"])
 
@@ -87,26 +87,31 @@ def build_chunks(docs: DataFrame, config: Chunking = Chunking()) -> DataFrame:
     base = base.withColumn("_heads", F.when(F.col("kind") == "markdown", headings(content)).otherwise(none))
     base = base.withColumn("_marks", F.when(F.col("kind") == "code", code_boundaries(content, ext)).when(F.lit(config.respect_headings), F.col("_heads")).otherwise(none))
     some = F.size("_marks") > 0
-    whole = F.array(F.struct(F.lit(0).alias("offset"), F.lit("").alias("name"), F.lit(0).alias("level")))
+    whole = F.array(F.struct(F.lit(0).alias("offset"), F.lit("").alias("name"), F.lit(0).alias("level"), F.lit(1).alias("line")))
     # what stands before the first boundary of code is a section; before the first heading it is lost
     lead = F.when(some & (F.col("kind") == "code") & (F.col("_marks")[0]["offset"] > 0), whole).otherwise(none)
     base = base.withColumn("_sections", F.when(some, F.concat(lead, F.col("_marks"))).otherwise(whole))
     sections = F.col("_sections")
 
     def cut(mark: Column, i: Column) -> Column:
-        end = F.coalesce(F.get(sections, i + 1)["offset"], F.col("_n"))
-        return F.transform(windows(mark["offset"], end, config.max_chars, config.overlap_chars), lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), F.when(w["first"], mark["name"]).otherwise("").alias("name"), F.when(w["first"], mark["level"]).otherwise(0).alias("level")))
+        after = F.get(sections, i + 1)
+        end = F.coalesce(after["offset"], F.col("_n"))
+        # the lines of marks are known; others are counted later, which reads a text's beginning
+        return F.transform(
+            windows(mark["offset"], end, config.max_chars, config.overlap_chars),
+            lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), F.when(w["first"], mark["name"]).otherwise("").alias("name"), F.when(w["first"], mark["level"]).otherwise(0).alias("level"), F.when(w["first"], mark["line"]).alias("line"), F.when(w["e"] == after["offset"], after["line"]).alias("end_line")),
+        )
 
     base = base.withColumn("_windows", F.flatten(F.transform(sections, cut)))
-    base = base.withColumn("_windows", F.when(F.size("_windows") > 0, F.col("_windows")).otherwise(F.array(F.struct(F.lit(0).alias("s"), F.col("_n").alias("e"), F.lit("").alias("name"), F.lit(0).alias("level")))))
+    base = base.withColumn("_windows", F.when(F.size("_windows") > 0, F.col("_windows")).otherwise(F.array(F.struct(F.lit(0).alias("s"), F.col("_n").alias("e"), F.lit("").alias("name"), F.lit(0).alias("level"), F.lit(1).alias("line"), F.lit(None).cast("int").alias("end_line")))))
     count = F.size("_windows")
 
     def record(w: Column, i: Column) -> Column:
         body = trim_space(F.substring(content, w["s"] + 1, w["e"] - w["s"]))
-        return F.struct(i.cast("long").alias("index"), body.alias("body"), w["s"].alias("s"), w["e"].alias("e"), w["name"].alias("name"), w["level"].alias("level"))
+        return F.struct(i.cast("long").alias("index"), body.alias("body"), w["s"].alias("s"), w["e"].alias("e"), w["name"].alias("name"), w["level"].alias("level"), w["line"].alias("line"), w["end_line"].alias("end_line"))
 
     kept = F.filter(F.transform("_windows", record), lambda r: (r["body"] != "") & ((F.length(r["body"]) >= config.min_chars) | (r["index"] == count - 1) | (count <= 1)))
-    fallback = F.array(F.struct(F.lit(0).cast("long").alias("index"), trim_space(content).alias("body"), F.lit(0).alias("s"), F.col("_n").alias("e"), F.lit("").alias("name"), F.lit(0).alias("level")))
+    fallback = F.array(F.struct(F.lit(0).cast("long").alias("index"), trim_space(content).alias("body"), F.lit(0).alias("s"), F.col("_n").alias("e"), F.lit("").alias("name"), F.lit(0).alias("level"), F.lit(1).alias("line"), F.lit(None).cast("int").alias("end_line")))
     base = base.withColumn("_kept", kept)
     rows = base.withColumn("c", F.explode(F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(fallback)))
     markdown = F.col("kind") == "markdown"
@@ -114,7 +119,7 @@ def build_chunks(docs: DataFrame, config: Chunking = Chunking()) -> DataFrame:
     listed = F.when(F.size("_heads") > 0, F.to_json(F.transform("_heads", lambda h: h["name"]))).otherwise("")
     return rows.select(
         chunk_id(F.col("source_name"), F.col("rel_path"), F.col("c.index"), F.col("content_hash")).alias("id"), "source_name", "file_path", "rel_path", F.col("c.body").alias("content"),
-        line_of(content, F.col("c.s")).alias("start_line"), line_of(content, F.col("c.e")).alias("end_line"), F.col("c.index").alias("chunk_index"), "kind", "extension", "language",
+        F.coalesce(F.col("c.line").cast("long"), line_of(content, F.col("c.s"))).alias("start_line"), F.coalesce(F.col("c.end_line").cast("long"), line_of(content, F.col("c.e"))).alias("end_line"), F.col("c.index").alias("chunk_index"), "kind", "extension", "language",
         title.alias("title"), listed.alias("headings_json"), F.col("byte_size").cast("long").alias("byte_size"), "content_hash", F.current_timestamp().alias("created_at"),
         F.when(F.col("kind") == "code", F.col("c.name")).otherwise("").alias("function_name"), F.when(markdown, F.col("c.level")).otherwise(0).cast("long").alias("section_level"),
     )

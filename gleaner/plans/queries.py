@@ -134,8 +134,8 @@ def l2_normalize(spark, sf):
 
 
 def tokenize(spark, sf):
-    each = _read(spark, sf, "documents").select("doc_id", F.explode(v.tokenize(F.col("text"))).alias("token"))
-    return each.groupBy("doc_id").agg(F.count("token").alias("n_tokens"), F.countDistinct("token").alias("n_distinct"), F.min("token").alias("least"), F.max("token").alias("greatest"))
+    each = _read(spark, sf, "documents").select("doc_id", v.tokenize(F.col("text")).alias("t")).filter(F.size("t") > 0)
+    return each.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.array_min("t").alias("least"), F.array_max("t").alias("greatest"))
 
 
 def hash_embed_tokens(spark, sf):
