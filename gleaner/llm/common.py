@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch handed to Python; one longer row makes a batch alone.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _KEY = "spark.checkpoint.dir"
 
 
