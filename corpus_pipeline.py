@@ -22,7 +22,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line-first cleaning rules; documents that fail go."""
+    """Line-first cleaning rules; lines that fail are removed, documents that fail go."""
     return keep_good(docs)
 
 

@@ -104,9 +104,10 @@ def judge(texts: pa.Array) -> pa.RecordBatch:
     counts = base_counts(texts)
     n_lines, n_failed, failed_words, cleaned = [], [], [], []
     for text in texts.to_pylist():
-        lines = [x for x in (text or "").split("\n") if not _blank(x)]
-        failing = [line_fails(x) for x in lines]
-        n_lines.append(len(lines))
+        lines = (text or "").split("\n")
+        worded = [not _blank(x) for x in lines]
+        failing = [w and line_fails(x) for x, w in zip(lines, worded)]
+        n_lines.append(sum(worded))
         n_failed.append(sum(failing))
         failed_words.append(sum(len(_WORD.findall(x)) for x, f in zip(lines, failing) if f))
         cleaned.append(None if text is None else "\n".join(x for x, f in zip(lines, failing) if not f))
@@ -140,7 +141,9 @@ def quality_rules(docs: DataFrame, text: str = "text", carry: tuple[str, ...] =
     return source.mapInArrow(run, schema)
 
 
-def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass, unchanged."""
-    flagged = quality_rules(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), text, ("__row",))
-    return flagged.filter("kept").select("__row.*")
+def keep_good(docs: DataFrame, text: str = "text", count: str | None = "n_chars") -> DataFrame:
+    """The rows of ``docs`` that pass, without the lines that fail (and the column ``count`` brought up to date)."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.lit(True).alias("__row"))
+    flagged = quality_rules(docs.select(F.col(f"`{text}`").alias("__text"), row.alias("__row")), "__text", ("__row",), cleaned=True)
+    new = {text: F.col("cleaned").cast(docs.schema[text].dataType)} | ({count: F.length("cleaned").cast(docs.schema[count].dataType)} if count in docs.columns and count != text else {})
+    return flagged.filter("kept").select(*[new[c].alias(c) if c in new else F.col("__row")[c].alias(c) for c in docs.columns])

@@ -348,6 +348,19 @@ def test_rules_on_odd_rows(odd, empty):
     assert quality_rules.keep_good(odd).columns == odd.columns and quality_rules.quality_rules(empty).count() == 0
 
 
+def test_failed_lines_leave_the_texts_that_stay(spark):
+    import corpus_pipeline
+
+    words = iter(f"w{k}" for k in range(10_000))
+    prose = [" ".join(next(words) for _ in range(30)) + "." for _ in range(4)]
+    marked = "\n".join(["Home | About | Contact | Help", prose[0], "", prose[1], "we use cookies on this site"])
+    plain = "\n\n".join(prose[2:]) + "\n"
+    df = spark.createDataFrame([(1, marked, "en", len(marked)), (2, plain, "en", len(plain)), (3, "too short", "en", 9), (4, None, "en", None)], "doc_id long, text string, kept string, n_chars int")
+    got = corpus_pipeline.rules(spark, df, "")
+    left = "\n".join([prose[0], "", prose[1]])
+    assert got.schema == df.schema and sorted(map(tuple, got.collect())) == [(1, left, "en", len(left)), (2, plain, "en", len(plain))]
+
+
 @pytest.mark.parametrize("line, fails", [("A plain sentence with an end.", False), ("Home | About | Contact | Help", True), ("!! no", False), ("AAA!! BBB!! CCC!! DDD!!", True), ("we use cookies on this site", True), ("A title", False), ("a# b$ c% d&", True)])
 def test_line_rules(line, fails):
     assert quality_rules.line_fails(line) == fails
