@@ -415,6 +415,26 @@ def test_shards(odd, empty, spark):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_hot_groups_take_few_shards_and_let_others_join(spark):
+    texts = ["hot"] * 480 + [f"group {k % 60}" for k in range(240)] + [f"own {k}" for k in range(720)]
+    where = defaultdict(set)
+    for r in sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        where[texts[r["doc_id"]]].add(r["shard"])
+    assert len(where["hot"]) == 6  # of 90 rows each
+    assert all(len(where[f"group {k}"]) == 1 for k in range(60))
+
+
+def test_flows_overfill_no_shard():
+    rng = random.Random(9)
+    for _ in range(200):
+        wished = {(s, t): rng.randint(1, 50) for s in range(5) for t in range(5) if s != t and rng.random() < 0.5}
+        room = [rng.randint(-5, 30) for _ in range(5)]
+        met = sharding.flows(wished, room)
+        assert all(0 <= met[k] <= n for k, n in wished.items())
+        assert all(sum(n for (_, t), n in met.items() if t == k) - sum(n for (s, _), n in met.items() if s == k) <= max(room[k], 0) for k in range(5))
+    assert sharding.flows({(0, 1): 7, (1, 0): 7}, [0, 0]) == {(0, 1): 7, (1, 0): 7}
+
+
 # -- pipeline ------------------------------------------------------------------
 
 
