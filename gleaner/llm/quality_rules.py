@@ -1,8 +1,9 @@
 """Quality rules by line-first cleaning.
 
 Every line is judged alone (closing punctuation, navigation, boilerplate), lines that
-fail are removed, and a document goes if too much of its text is lost, if what stays is
-too short, or if it fails the base rules on words, repetition and symbols.
+fail are removed, and a document goes if too much of its text is lost or if it fails the
+base rules on words and repetition.  Symbols are counted, not judged, in whole documents,
+and MIN_WORDS is asked of a document before cleaning, as the query's SQL has it.
 
 Defined results: a null or empty text has no words and is not kept; ties and repeated rows
 are judged alike and each keeps its row; an empty table gives an empty result; columns of
@@ -26,9 +27,9 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: Per cent of a document's words that may stand in lines that fail.
 MAX_LOST_PERCENT = 50
-#: A symbol to this many words makes a document one of symbols.
+#: A symbol to this many words makes a line one of symbols.
 MIN_WORDS_PER_SYMBOL = 4
-#: A line of so many words needs no closing punctuation if it is the only one or the first (a title).
+#: A line of more words that holds a separator needs closing punctuation.
 TITLE_WORDS = 12
 
 # Characters that close a sentence, separators of navigation bars, symbols, boilerplate.
