@@ -3,8 +3,9 @@
 Documents go through Spark in chunks.  A chunk's texts are split into words by the
 tokenizer's own pattern; each chunk lists its distinct words, equal words of all chunks meet
 in one bucket (by hash) and are encoded once there, and the ids are joined back to the chunk
-and taken by position.  Decoding joins ids to pieces (a table as large as the
-vocabulary, whatever the input) and glues the pieces' bytes.
+and taken by position.  The query decodes a chunk's distinct words by a dictionary of pieces
+in the worker; ``decode`` joins ids to pieces (a table as large as the vocabulary, whatever
+the input) and glues their bytes.
 
 Chunks are named by a hash of their contents, so a chunk computed again after a lost executor
 meets the same words; were the input to change between the passes, the join would come up
