@@ -10,7 +10,7 @@ dropped.  The strings of an anchor's occurrence make up its context, at most 2 *
 2. The strings of an anchor's distinct contexts are suffixes to sort: those of equal offset
    are merge-sorted, comparing by prefix polynomial hashes, where a binary search finds the
    common extension in log2(LENGTH) steps.  Neighbours whose extension reaches LENGTH are
-   compared byte by byte, so a hash collision can't remove text.
+   compared byte by byte, so a hash collision can't remove text here; steps 1 and 3 go by hashes.
 3. Anchors with more than LIMIT distinct contexts (a line of a third of all documents, say) are
    never gathered: their contexts are split by offset into stretches, and dealt out anew by
    the hash of the bytes that all strings of a stretch share; stretches still that common are
