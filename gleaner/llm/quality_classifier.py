@@ -36,7 +36,7 @@ PRIOR = 30.0
 AGAINST, FOR = -0.7, 0.1
 TEMPERATURE = 1.0
 LOSS = 0.003
-#: About so many good documents, chosen by hash, fit the target model and set the level; their ids are broadcast.
+#: About so many ids of good documents are broadcast at once; if there are more, their parts by hash take turns.
 LABELLED = 200_000
 #: One in so many good documents, by hash, sets the level instead of training the target model.
 HELD_OUT = 4
@@ -122,12 +122,18 @@ def resampled(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     """id, row, log_weight, n_features, sample (tempered weight and noise) and kept for each row."""
     small_batches(docs.sparkSession)
     good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select(F.col("doc_id").alias("__good")).distinct()
+    good = staged(good, "quality-good")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")
     held = F.pmod(F.xxhash64("__good", F.lit("held out")), F.lit(HELD_OUT)) == 0
-    target = counted(docs.join(F.broadcast(good.filter(~held)), F.col(f"`{key}`") == F.col("__good"), "left_semi").select(body))
+    fitting = good.filter(~held)
+    parts = max(1, -(-fitting.count() // LABELLED))
+    part = F.pmod(F.xxhash64("__good", F.lit("part")), F.lit(parts))
+    target = np.zeros(BUCKETS)
+    for k in range(parts):
+        target += counted(docs.join(F.broadcast(fitting.filter(part == k)), F.col(f"`{key}`") == F.col("__good"), "left_semi").select(body))
     raw = counted(docs.select(body))
     rows = staged(weighed(docs, log_ratio(target, raw), text, key), "quality-weights")
-    known = rows.join(F.broadcast(good.filter(held)), F.col("id") == F.col("__good"), "left_semi")
+    known = rows.join(good.filter(held), F.col("id") == F.col("__good"), "left_semi")
     level = known.agg(F.percentile_approx("log_weight", LOSS, 10_000)).first()[0]
     uniform = (F.pmod(F.xxhash64("row", F.lit("gumbel")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     rows = rows.withColumn("sample", F.col("log_weight") / TEMPERATURE - F.log(-F.log(uniform)))

@@ -332,6 +332,18 @@ def test_classifier_on_odd_rows(spark, odd, empty):
     assert quality_classifier.keep_sampled(odd, labels).columns == odd.columns
 
 
+def test_labels_are_broadcast_in_parts_without_loss(spark, monkeypatch):
+    rng = random.Random(10)
+    df = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghij" if i % 2 else "hijklmnopq") for _ in range(60))) for i in range(300)], "doc_id long, text string")
+    labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    want = Counter(map(tuple, quality_classifier.resampled(df, labels).collect()))
+    sizes, broadcast = [], F.broadcast
+    monkeypatch.setattr(quality_classifier, "LABELLED", 10)
+    monkeypatch.setattr(F, "broadcast", lambda x: (sizes.append(x.count()), broadcast(x))[1])
+    assert Counter(map(tuple, quality_classifier.resampled(df, labels).collect())) == want
+    assert max(sizes) <= 30 < sum(sizes)
+
+
 def test_kth_largest(spark):
     rng = random.Random(8)
     values = [rng.gauss(0, 100) for _ in range(3000)] + [5.0] * 50
