@@ -6,6 +6,7 @@ tables below the folder that the session names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,12 +16,15 @@ from pyspark.sql import functions as F
 #: Bytes of an Arrow batch handed to Python; one longer row makes a batch alone.
 BATCH_BYTES = 2 << 20
 _KEY = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where none is set."""
+    """The folder that driver and executors share.  Where none is set, a fresh one if all run in one process, else an error."""
     found = spark.conf.get(_KEY, None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
@@ -41,15 +45,42 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
-    """Bound the bytes of an Arrow batch, since documents differ a thousandfold in length."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    """Bound the bytes of an Arrow batch, since documents differ a thousandfold in length.
+
+    The bound must hold when a plan runs, so it stays in the session; one that the user has set stands.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(size))
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs``, written with a column that numbers its rows, and that column's name."""
+    row = free_name(docs, "row")
+    return staged(docs.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def row_key(text: Column, *others: Column) -> Column:
     """64 bits that tell rows of one id with different contents apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull(), *others)

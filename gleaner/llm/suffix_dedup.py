@@ -5,16 +5,20 @@ the least of its GRAM-byte runs (by hash, then by place), so equal strings have
 at equal offsets, and about one byte in eighty-five is an anchor.  Anchors that occur once are
 dropped.  The strings of an anchor's occurrence make up its context, at most 2 * LENGTH bytes.
 
-1. Equal contexts (by hash, counted before any shuffle of texts) have all their strings
-   repeated.  One occurrence of each distinct context goes on where an anchor has several.
+1. Equal contexts (counted before any shuffle of texts) have all their strings repeated.  One
+   occurrence of each distinct context goes on where an anchor has several.
 2. The strings of an anchor's distinct contexts are suffixes to sort: those of equal offset
    are merge-sorted, comparing by prefix polynomial hashes, where a binary search finds the
-   common extension in log2(LENGTH) steps.  Neighbours whose extension reaches LENGTH are
-   compared byte by byte, so a hash collision can't remove text here; steps 1 and 3 go by hashes.
+   common extension in log2(LENGTH) steps.  Order and equality of neighbours are verified byte
+   by byte; a bucket that a collision has put out of order is sorted again by its bytes.
 3. Anchors with more than LIMIT distinct contexts (a line of a third of all documents, say) are
-   never gathered: their contexts are split by offset into stretches, and dealt out anew by
-   the hash of the bytes that all strings of a stretch share; stretches still that common are
-   split into single strings, which are counted by hash.
+   never gathered: their contexts are cut by offset into stretches, and dealt out anew by the
+   bytes that all strings of a stretch share.  Equal stretches are counted like equal contexts,
+   and one of each goes on; keys that still have more than LIMIT are cut in halves, and so on
+   down to single strings, of which equal ones are the same stretch.
+
+Contexts and stretches are equal if 128 bits of SHA-256 over their bytes are, so occurrences
+needn't be brought together to be compared; polynomial hashes never decide what is removed.
 
 Defined results: a null text is empty; texts of fewer than LENGTH bytes lose nothing unless
 LENGTH is smaller; repeated rows and copies are texts of their own, so whole copies of LENGTH
@@ -32,16 +36,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import row_key, small_batches, staged
-from .textnp import flat, mixed, prefix_hashes, span_hashes
+from .common import free_name, freed, small_batches, staged
+from .textnp import mixed, prefix_hashes, span_hashes
 
 LENGTH = 200
 GRAM = 32
 #: Distinct contexts of an anchor that one task may sort.
 LIMIT = 2000
-#: Stretches into which contexts of more common anchors are split.
-STRETCHES = 8
 #: Bytes of a segment in which anchors are sought; places in it take the low 24 bits of a key.
 SEGMENT = 1 << 20
 #: Strings sorted at once.
@@ -50,7 +53,7 @@ BATCH_STRINGS = 1 << 18
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Of each anchor's strings in texts laid end to end: text, place of the anchor and of the first string
-    (in the text), number of strings, hash of the anchor, hash of the context."""
+    (in the text), number of strings, hash of the anchor, digest of the context."""
     found = []
     window = length - gram + 1
     for low in range(0, max(1, len(data)), SEGMENT):
@@ -75,14 +78,20 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
         after = np.searchsorted(breaks, first, "right")
         last = np.where(after < len(breaks), breaks[np.minimum(after, len(breaks) - 1)], n)
         place = chosen[first]
-        context = mixed(span_hashes(prefix, first, last + length - 1) + mixed((place - first).astype(np.uint64) * np.uint64(1 << 20) + (last - first).astype(np.uint64)))
-        owner = text[first]
-        found.append((owner, place + low - at[owner], first + low - at[owner], last - first, grams[place], context))
+        owner, raw = text[first], part.tobytes()
+        # bytes of a context and the anchor's place in it
+        context = [digest(raw[x:y], z) for x, y, z in zip(first.tolist(), (last + length - 1).tolist(), (place - first).tolist())]
+        found.append((owner, place + low - at[owner], first + low - at[owner], last - first, grams[place], np.frombuffer(b"".join(context), "V16")))
     if not found:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, "V16"))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def digest(data: bytes, offset: int, key: int = 0) -> bytes:
+    """What names equal bytes at equal offsets from equal keys: 128 bits of SHA-256."""
+    return hashlib.sha256(b"%d,%d;%b" % (key, offset, data)).digest()[:16]
+
+
 def sliding_least(key: np.ndarray, window: int) -> np.ndarray:
     """Least of each run of ``window`` keys, from running minima of blocks forwards and backwards."""
     n = len(key)
@@ -152,9 +161,30 @@ class Suffixes:
             order = merged
             width *= 2
 
+    def verified(self, order: np.ndarray, place: np.ndarray, size: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """``order`` as it is if neighbours stand in order by their bytes; buckets where they don't are sorted by bytes."""
+        beside = np.flatnonzero(bucket[1:] == bucket[:-1])
+        wrong = []
+        for k in range(0, len(beside), 4096):
+            x, y = order[beside[k : k + 4096]], order[beside[k : k + 4096] + 1]
+            most = np.minimum(size[x], size[y])
+            reach = np.arange(most.max(initial=0))
+            last = len(self.data) - 1
+            a, b = (self.data[np.minimum(place[z][:, None] + reach, last)] for z in (x, y))
+            differ = (a != b) & (reach < most[:, None])
+            some = differ.any(axis=1)
+            at = differ.argmax(axis=1) if len(reach) else np.zeros(len(x), np.int64)
+            row = np.arange(len(x))
+            right = np.where(some, a[row, at] < b[row, at], size[x] <= size[y]) if len(reach) else size[x] <= size[y]
+            wrong.append(bucket[beside[k : k + 4096]][~right])
+        for w in np.unique(np.concatenate(wrong)).tolist() if wrong else []:
+            own = np.flatnonzero(bucket == w)
+            order[own] = sorted(order[own].tolist(), key=lambda i: self.data[place[i] : place[i] + size[i]].tobytes())
+        return order
+
     def longest(self, place: np.ndarray, size: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """Longest common extension of each suffix with another of its bucket: its neighbours', once sorted."""
-        order = self.merge_sorted(place, size, bucket)
+        order = self.verified(self.merge_sorted(place, size, bucket), place, size, bucket)
         place, size = place[order], size[order]
         beside = np.where(bucket[1:] == bucket[:-1], self.common(place[:-1], place[1:], np.where(bucket[1:] == bucket[:-1], np.minimum(size[:-1], size[1:]), 0)), 0)
         out = np.zeros(len(place), np.int64)
@@ -217,7 +247,8 @@ def repeated_strings(contexts: list[bytes], group: np.ndarray, align: np.ndarray
     which, index, bucket = which[shared], index[shared], bucket[shared]
     if len(which):
         place = begin[which] + index
-        order = forwards.merge_sorted(place, np.full(len(place), length), bucket)
+        size = np.full(len(place), length)
+        order = forwards.verified(forwards.merge_sorted(place, size, bucket), place, size, bucket)
         together = np.flatnonzero(bucket[1:] == bucket[:-1])
         same = together[forwards.equal(place[order[together]], place[order[together + 1]], length)]
         for k in np.unique(np.concatenate([order[same], order[same + 1]])).tolist():
@@ -231,185 +262,174 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
+def _loosened(packed: pa.Array) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(x) for x in packed.to_pylist()]
+
+
 def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """row, anchor, context, place (of the first string), off (the anchor's from it), n (strings)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, place, first, n, anchor, context = anchors(*flat(b.column(1)), length, gram)
-            columns = [b.column(0).take(pa.array(text)), pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(first), pa.array((place - first).astype(np.int32)), pa.array(n.astype(np.int32))]
+            whole = _loosened(b["packed"])
+            at = np.concatenate([[0], np.cumsum([len(x) for x in whole], dtype=np.int64)])
+            text, place, first, n, anchor, context = anchors(np.frombuffer(b"".join(whole), np.uint8), at, length, gram)
+            names = pa.Array.from_buffers(pa.binary(16), len(context), [None, pa.py_buffer(context.tobytes())]).cast(pa.binary())
+            columns = [b["row"].take(pa.array(text)), pa.array(anchor.view(np.int64)), names, pa.array(first), pa.array((place - first).astype(np.int32)), pa.array(n.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["row", "anchor", "context", "place", "off", "n"])
 
-    return texts.mapInArrow(run, "row long, anchor long, context long, place long, off int, n int")
+    return texts.select("row", "packed").mapInArrow(run, "row long, anchor long, context binary, place long, off int, n int")
 
 
-def _squeezed(texts: DataFrame) -> DataFrame:
-    """row, packed: texts compressed, since they are shuffled."""
+_PART = "key long, row long, place long, align int, whole boolean, bytes binary"
+_PART_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(3).compress
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(x) for x in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["row", "packed"])
 
-    return texts.mapInArrow(run, "row long, packed binary")
+def _batch(schema: str, types: list[pa.DataType], columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], [x.split()[0] for x in schema.split(", ")])
 
 
 def _cut(wanted: DataFrame, length: int) -> DataFrame:
-    """The contexts' bytes, from rows of a packed text and the list of its wanted contexts."""
-    names = ["anchor", "context", "row", "place", "off", "whole"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+    """Contexts as parts (anchor's key, place of the first string and its offset from the anchor), from a packed text and the list of its wanted contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for row, packed, listed in zip(b["row"].to_pylist(), b["packed"].to_pylist(), b["wanted"].to_pylist()):
-                text = unpack(packed)
+            out: list[list] = [[] for _ in range(6)]
+            for row, text, listed in zip(b["row"].to_pylist(), _loosened(b["packed"]), b["wanted"].to_pylist()):
                 for x in listed:
-                    values = (x["anchor"], x["context"], row, x["place"], x["off"], x["copies"] > 1, text[x["place"] : x["place"] + x["n"] + length - 1])
+                    values = (x["anchor"], row, x["place"], -x["off"], x["copies"] > 1, text[x["place"] : x["place"] + x["n"] + length - 1])
                     for column, v in zip(out, values):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, [*types, pa.binary()])], [*names, "bytes"])
-
-    return wanted.mapInArrow(run, "anchor long, context long, row long, place long, off int, whole boolean, bytes binary")
-
+            yield _batch(_PART, _PART_TYPES, out)
 
-_PART = "key long, context long, row long, place long, align int, whole boolean, bytes binary"
+    return wanted.mapInArrow(run, _PART)
 
 
-def _split(contexts: DataFrame, stretches: int, length: int, gram: int) -> DataFrame:
-    """Contexts cut into stretches of their strings' offsets; key: hash of the bytes that a stretch's strings share.
+def _split(parts: DataFrame, width: int, length: int, gram: int) -> DataFrame:
+    """Parts cut at offsets from the anchor, every ``width``, so that equal strings land in equal stretches; ``check`` names equal ones.
 
-    Stretches have fixed borders, counted from the anchor, so equal strings land in equal ones.
+    The key is a hash of the bytes that all strings of a stretch share, the last start to the first end.
     """
-    span = length - gram + 1
-    width = -(-span // stretches)
+    origin = gram - length
+    schema = f"{_PART}, check binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(7)]
-            for key, context, row, place, align, whole, data in zip(*[c.to_pylist() for c in b.columns]):
-                prefix = prefix_hashes(np.frombuffer(data, np.uint8))
+            for key, row, place, align, whole, data in zip(*[c.to_pylist() for c in b.columns]):
                 n = len(data) - length + 1
-                # offsets from the anchor run from -(span - 1) to 0
-                for border in range(-span + 1, 1, width):
+                for border in range(align - (align - origin) % width, align + n, width):
                     low, high = max(border - align, 0), min(border + width - align, n)
-                    if low >= high:
-                        continue
-                    # every string of the stretch has the bytes from the last start to the first end
-                    x, y = border + width - 1 - align, border + length - align
-                    mark = mixed(span_hashes(prefix, np.array([x]), np.array([y])) + mixed(mixed(np.array([key], np.int64).view(np.uint64)) + np.array([border + span], np.uint64)))
-                    for column, v in zip(out, (int(mark.view(np.int64)[0]), context, row, place + low, align + low, whole, data[low : high + length - 1])):
+                    shared = digest(data[border + width - 1 - align : border + length - align], border, key)
+                    stretch = data[low : high + length - 1]
+                    values = (int.from_bytes(shared[:8], "little", signed=True), row, place + low, align + low, whole, stretch, digest(stretch, align + low, key))
+                    for column, v in zip(out, values):
                         column.append(v)
-            types = [pa.int64()] * 4 + [pa.int32(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], [x.split()[0] for x in _PART.split(", ")])
+            yield _batch(schema, [*_PART_TYPES, pa.binary()], out)
 
-    return contexts.mapInArrow(run, _PART)
+    return parts.select(*[x.split()[0] for x in _PART.split(", ")]).mapInArrow(run, schema)
 
 
 def _sorted_parts(parts: DataFrame, length: int) -> DataFrame:
     """row, start, end: what the strings found repeated among the parts of each key cover; whole parts are known already."""
 
-    def handle(keys: list, rows: list[tuple]) -> tuple[list, list, list]:
+    def handle(rows: list[tuple]) -> pa.RecordBatch:
         found: tuple[list, list, list] = ([], [], [])
-        seen, unique = set(), []
-        for key, x in zip(keys, rows):
-            if (key, x[0], x[2]) not in seen:
-                seen.add((key, x[0], x[2]))
-                unique.append((key, x))
-        number = {k: i for i, k in enumerate(dict.fromkeys(k for k, _ in unique))}
-        masks = repeated_strings([x[5] for _, x in unique], np.array([number[k] for k, _ in unique]), np.array([x[3] for _, x in unique]), length)
-        for (_, (_, row, place, _, whole, _)), mask in zip(unique, masks):
+        number = {k: i for i, k in enumerate(dict.fromkeys(x[0] for x in rows))}
+        masks = repeated_strings([x[5] for x in rows], np.array([number[x[0]] for x in rows]), np.array([x[3] for x in rows]), length)
+        for (_, row, place, _, whole, _), mask in zip(rows, masks):
             if not whole:
                 for low, high in zip(*runs(mask)):
                     for column, v in zip(found, (row, place + int(low), place + int(high) + length)):
                         column.append(v)
-        return found
-
-    def batch_of(found: tuple[list, list, list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["row", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rows, strings = [], [], 0
+        rows, strings = [], 0
         for b in batches:
-            for key, *x in zip(*[c.to_pylist() for c in b.columns]):
-                if strings >= BATCH_STRINGS and key != keys[-1]:
-                    yield batch_of(handle(keys, rows))
-                    keys, rows, strings = [], [], 0
-                keys.append(key)
-                rows.append(tuple(x))
+            for x in zip(*[c.to_pylist() for c in b.columns]):
+                if strings >= BATCH_STRINGS and x[0] != rows[-1][0]:
+                    yield handle(rows)
+                    rows, strings = [], 0
+                rows.append(x)
                 strings += len(x[5]) - length + 1
-        if keys:
-            yield batch_of(handle(keys, rows))
+        if rows:
+            yield handle(rows)
 
     return parts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "row long, start long, end long")
 
 
-def repeated_spans(texts: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """row, spans (array of start, end): bytes to remove.  texts: row, text (binary); packed: the same compressed."""
-    found = _anchor_rows(texts, length, gram)
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """row, spans (array of start, end): bytes to remove.  texts: row (a number of its own), packed."""
+    every = staged(_anchor_rows(texts, length, gram), "suffix-every")
     # tables joined to skewed ones are written first, so that both sides are plain exchanges and hot partitions can be split
-    several = staged(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("all")).filter("all > 1").select("anchor"), "suffix-several")
-    found = staged(found.join(several, "anchor"), "suffix-anchors")
+    several = staged(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("all")).filter("all > 1").select("anchor"), "suffix-several")
+    found = staged(every.join(several, "anchor"), "suffix-anchors")
+    freed(every, several)
     contexts = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "place", "off", "n")).alias("one"))
     contexts = staged(contexts.select("anchor", "context", "copies", "one.*"), "suffix-contexts")
-    width = staged(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1"), "suffix-widths")
-    differing = contexts.join(width.select("anchor"), "anchor")
-    wanted = differing.groupBy("row").agg(F.collect_list(F.struct("anchor", "context", "place", "off", "n", "copies")).alias("wanted"))
-    cut = _cut(packed.join(wanted, "row").dropDuplicates(["row"]).select("row", "packed", "wanted"), length)
-    part = cut.select(F.col("anchor").alias("key"), "context", "row", "place", (-F.col("off")).alias("align"), "whole", "bytes")
+    number = staged(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1"), "suffix-numbers")
+    listed = contexts.join(number.select("anchor"), "anchor").groupBy("row").agg(F.collect_list(F.struct("anchor", "place", "off", "n", "copies")).alias("wanted"))
+    part = _cut(texts.select("row", "packed").join(listed, "row").select("row", "packed", "wanted"), length)
     columns = part.columns
-    spans = []
-    common = width.filter(F.col("contexts") > LIMIT).select(F.col("anchor").alias("key"))
+    copied = found.join(contexts.filter("copies > 1").select("anchor", "context"), ["anchor", "context"])
+    spans = [copied.select("row", F.col("place").alias("start"), (F.col("place") + F.col("n") + (length - 1)).alias("end"))]
+
+    common = number.filter(F.col("contexts") > LIMIT).select(F.col("anchor").alias("key"))
     if common.isEmpty():
         few = part
     else:
         part = staged(part, "suffix-parts")
-        few = part.join(common, "key", "left_anti")
-        for stretches in (STRETCHES, length - gram + 1):
-            part = staged(_split(part.join(common, "key", "left_semi").select(*columns), stretches, length, gram), "suffix-parts")
+        few = part.join(common, "key", "left_anti").select(*columns)
+        width = 1 << (max(1, (length - gram + 1) // 5).bit_length() - 1)
+        while True:
+            stretch = staged(_split(part.join(common, "key", "left_semi"), width, length, gram), "suffix-stretches")
+            same = stretch.groupBy("key", "check").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "place", "align", "whole", "bytes")).alias("one"))
+            same = staged(same.select("key", "check", "copies", "one.*"), "suffix-same")
+            again = stretch.filter("not whole").join(same.filter("copies > 1").select("key", "check"), ["key", "check"])
+            spans.append(again.select("row", F.col("place").alias("start"), (F.col("place") + F.octet_length("bytes")).alias("end")))
+            part = same.withColumn("whole", F.col("whole") | (F.col("copies") > 1)).select(*columns)
             sizes = part.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-            if stretches == STRETCHES:
-                common = staged(sizes.filter(F.col("size") > LIMIT).select("key"), "suffix-common")
-                some = sizes.filter((F.col("size") > 1) & (F.col("size") <= LIMIT)).select("key")
-                few = few.select(*columns).unionByName(part.join(some, "key").select(*columns))
-            else:
-                single = part.withColumn("check", F.xxhash64("bytes"))
-                same = single.groupBy("key", "check").agg((F.max("row") != F.min("row")).alias("rows"), (F.max("place") != F.min("place")).alias("places")).filter("rows or places").select("key", "check")
-                spans.append(single.join(same, ["key", "check"]).filter("not whole").select("row", F.col("place").alias("start"), (F.col("place") + length).alias("end")))
+            few = few.unionByName(part.join(sizes.filter((F.col("size") > 1) & (F.col("size") <= LIMIT)).select("key"), "key").select(*columns))
+            common = staged(sizes.filter(F.col("size") > LIMIT).select("key"), "suffix-common")
+            if width == 1 or common.isEmpty():  # the strings of a key of single ones are equal
+                break
+            width //= 2
     spans.append(_sorted_parts(few.select(*columns), length))
-    copied = found.join(contexts.filter("copies > 1").select("anchor", "context"), ["anchor", "context"])
-    spans.append(copied.select("row", F.col("place").alias("start"), (F.col("place") + F.col("n") + (length - 1)).alias("end")))
-    every = spans[0]
+    all_spans = spans[0]
     for more in spans[1:]:
-        every = every.unionByName(more)
-    return every.distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        all_spans = all_spans.unionByName(more)
+    return all_spans.distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ("doc_id",), with_text: bool = False, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The carried columns, n_bytes, n_removed, n_spans, kept_sha256; with_text: also kept (the text that stays, of whole characters)."""
-    small_batches(docs.sparkSession)
-    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
-    mark = row_key(F.col(f"`{text}`").cast("string"), F.col(f"`{key}`"))
-    texts = docs.select(mark.alias("row"), body.alias("text"))
-    spans = repeated_spans(texts, _squeezed(texts), length, gram)
+def numbered(docs: DataFrame, text: str, carry: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """row (a number of its own for each row), packed (the text's bytes, compressed) and the carried columns under the names returned.
+
+    Written, so that numbers stay.
+    """
     names = [f"c{i}" for i in range(len(carry))]
-    rows = docs.select(mark.alias("row"), body.alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)])
-    fields = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in names]
-    made = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    made_names = [x.split()[0] for x in made.split(", ")]
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), body.alias("packed"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)])
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3).compress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(x) for x in b.column(1).to_pylist()], pa.binary()), *b.columns[2:]], ["row", "packed", *names])
+            yield pa.RecordBatch.from_arrays([b["row"], pa.array([pack(x) for x in b["packed"].to_pylist()], pa.binary()), *b.columns[2:]], ["row", "packed", *names])
+
+    return staged(rows.mapInArrow(squeeze, rows.schema), "suffix-texts"), names
+
+
+def _removed(docs: DataFrame, text: str, carry: tuple[str, ...], with_text: bool, length: int, gram: int) -> tuple[DataFrame, list[str], list[str]]:
+    """What ``remove_repeats`` returns, with the carried columns under names of their own: those, and the names made."""
+    small_batches(docs.sparkSession)
+    texts, names = numbered(docs, text, carry)
+    made = [StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [StructField(n, StringType()) for n in ("kept_sha256", "kept")[: 1 + with_text]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            out: list[list] = [[] for _ in made_names]
-            for packed, listed in zip(b["packed"].to_pylist(), b["spans"].to_pylist()):
-                data = unpack(packed)
+            out: list[list] = [[] for _ in made]
+            for data, listed in zip(_loosened(b["packed"]), b["spans"].to_pylist()):
                 pieces, at = [], 0
                 removed: list[list[int]] = []
                 for x in sorted(listed or [], key=lambda x: x["start"]):
@@ -425,21 +445,28 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", car
                 for column, v in zip(out, (len(data), len(data) - len(left), len(removed), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore"))):
                     column.append(v)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*[b[n] for n in names], *[pa.array(x, t) for x, t in zip(out, types)]], [*names, *made_names])
+            yield pa.RecordBatch.from_arrays([*[b[n] for n in names], *[pa.array(x, t) for x, t in zip(out, types)]], [*names, *[f.name for f in made]])
 
-    ready = rows.mapInArrow(squeeze, ", ".join(["row long, packed binary", *fields])).join(spans, "row", "left").select("packed", "spans", *names)
-    done = ready.mapInArrow(run, ", ".join([*fields, made]))
-    return done.select(*[F.col(n).alias(c) for n, c in zip(names, carry)], *made_names)
+    ready = texts.join(repeated_spans(texts, length, gram), "row", "left").select("packed", "spans", *names)
+    return ready.mapInArrow(run, StructType([*[texts.schema[n] for n in names], *made])), names, [f.name for f in made]
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), with_text: bool = False, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The carried columns, n_bytes, n_removed, n_spans, kept_sha256; with_text: also kept (the text that stays, of whole characters)."""
+    done, names, made = _removed(docs, text, carry, with_text, length, gram)
+    return done.select(*[F.col(n).alias(c) for n, c in zip(names, carry)], *made)
 
 
-def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", count: str | None = "n_chars") -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", count: str | None = "n_chars") -> DataFrame:
     """The rows of ``docs`` with repeated passages cut out of their texts (and the column ``count`` brought up to date).
 
     A character of which only some bytes stay goes too; null texts stay null.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
-    source = docs.select(F.col(f"`{text}`").alias("__text"), F.col(f"`{key}`").alias("__key"), row.alias("__row"), F.col(f"`{text}`").isNull().alias("__null"))
-    done = remove_repeats(source, "__text", "__key", ("__row", "__null"), True)
-    left = F.when(F.col("__null"), F.lit(None).cast("string")).otherwise(F.col("kept"))
-    new = {text: left} | ({count: F.length(left).cast(docs.schema[count].dataType)} if count in docs.columns and count != text else {})
-    return done.select(*[new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
+    missing = free_name(docs, "missing")
+    carry = [*[c for c in docs.columns if c != text], missing]
+    done, names, _ = _removed(docs.withColumn(missing, F.col(f"`{text}`").isNull()), text, tuple(carry), True, LENGTH, GRAM)
+    at = {c: F.col(n) for c, n in zip(carry, names)}
+    at[text] = F.when(at[missing], F.lit(None).cast("string")).otherwise(F.col("kept"))
+    if count in docs.columns and count != text:
+        at[count] = F.length(at[text]).cast(docs.schema[count].dataType)
+    return done.select(*[at[c].alias(c) for c in docs.columns])

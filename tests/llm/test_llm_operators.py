@@ -268,8 +268,8 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("limit, segment", [(2000, 1 << 20), (4, 1 << 20), (2000, 500)])
-def test_repeats_are_exactly_those_of_brute_force(spark, monkeypatch, limit, segment):
+@pytest.mark.parametrize("limit, segment, collide", [(2000, 1 << 20, False), (4, 1 << 20, False), (2000, 500, False), (2000, 1 << 20, True)])
+def test_repeats_are_exactly_those_of_brute_force(spark, monkeypatch, limit, segment, collide):
     monkeypatch.setattr(suffix_dedup, "LIMIT", limit)
     if segment < 1000:
         import pyarrow as pa
@@ -288,8 +288,46 @@ def test_repeats_are_exactly_those_of_brute_force(spark, monkeypatch, limit, seg
     rows = [(i, "".join(rng.choice(pool)[rng.randint(0, 20) : rng.randint(30, 60)] + "".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(4))) for i in range(120)]
     rows += [(1000, None), (1001, ""), (1002, "a" * 500), (7, rows[7][1]), (None, "é" * 150)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    if collide:  # all hashes that sorting goes by are equal, in the workers too
+        with_collisions(spark, df, rows)
+        return
+    got = suffix_dedup.remove_repeats(df, length=40, gram=8)
+    assert Counter(map(tuple, got.collect())) == brute_repeats(rows, 40)
+
+
+def with_collisions(spark, df, rows):
+    """Sorting with a hash that is the same for everything: buckets out of order are sorted by bytes."""
+    rng = random.Random(12)
+    contexts = sorted({bytes(rng.choice(b"ab") for _ in range(12)) + b"the shared middle" + bytes(rng.choice(b"ab") for _ in range(12)) for _ in range(300)})
+    rng.shuffle(contexts)
+    group, align = np.zeros(len(contexts), np.int64), np.full(len(contexts), -12)
+    want = suffix_dedup.repeated_strings(contexts, group, align, 24)
+    counts = Counter((k, c[k : k + 24]) for c in contexts for k in range(len(c) - 23))
+    assert all(m[k] == (counts[k, c[k : k + 24]] > 1) for c, m in zip(contexts, want) for k in range(len(m))) and any(m.any() for m in want)
+    kept = suffix_dedup.span_hashes
+    suffix_dedup.span_hashes = lambda prefix, start, end: np.zeros(np.broadcast(start, end).shape, np.uint64)
+    try:
+        got = suffix_dedup.repeated_strings(contexts, group, align, 24)
+    finally:
+        suffix_dedup.span_hashes = kept
+    assert all((a == b).all() for a, b in zip(got, want))
+
+
+@pytest.mark.parametrize("limit", [3, 2000])
+def test_a_passage_of_all_documents(spark, monkeypatch, limit):
+    """Common anchors: stretches are counted, halved and never rows for each string of each context."""
+    monkeypatch.setattr(suffix_dedup, "LIMIT", limit)
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, own(rng.randint(0, 60)) + passage[rng.choice([0, 0, 0, 7]) :] + own(rng.randint(0, 60))) for i in range(150)]
+    rows += [(500 + i, rows[i][1][5:]) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made, split = [], suffix_dedup._split
+    monkeypatch.setattr(suffix_dedup, "_split", lambda parts, *how: (made.append(parts.count()), made.append((out := split(parts, *how)).count()))[0] or out)
     got = suffix_dedup.remove_repeats(df, length=40, gram=8)
     assert Counter(map(tuple, got.collect())) == brute_repeats(rows, 40)
+    assert (limit == 2000) == (not made) and sum(made[1::2]) <= 10 * sum(made[::2])
 
 
 def test_repeats_in_odd_rows(odd, empty):
