@@ -1,9 +1,12 @@
 """Quality rules by line-first cleaning.
 
-Every line is judged alone (closing punctuation, navigation, boilerplate), lines that
-fail are removed, and a document goes if too much of its text is lost or if it fails the
-base rules on words and repetition.  Symbols are counted, not judged, in whole documents,
-and MIN_WORDS is asked of a document before cleaning, as the query's SQL has it.
+Every line is judged alone: navigation, symbols, shouting, boilerplate (in English, French,
+German and Spanish), and closing punctuation, which every line longer than a title needs.
+Lines that fail are removed, and a document goes if more than MAX_LOST_PERCENT of its words
+stood in them, or if it fails the base rules on words and repetition.  Symbols are counted,
+not judged, in whole documents, and MIN_WORDS is asked of a document before cleaning.
+
+All counts are exact: lines and words are compared as they are, not by hashes.
 
 Defined results: a null or empty text has no words and is not kept; ties and repeated rows
 are judged alike and each keeps its row; an empty table gives an empty result; columns of
@@ -19,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from .common import small_batches
-from .textnp import flat, mixed, per_owner, prefix_hashes, runs_hash, span_hashes, words
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -29,122 +32,107 @@ MAX_REPEATED_PERCENT = 50
 MAX_LOST_PERCENT = 50
 #: A symbol to this many words makes a line one of symbols.
 MIN_WORDS_PER_SYMBOL = 4
-#: A line of more words that holds a separator needs closing punctuation.
+#: A line of more words is no title and needs closing punctuation.
 TITLE_WORDS = 12
+#: A line of more words isn't boilerplate, whatever it mentions.
+BOILERPLATE_WORDS = 20
 
-# Characters that close a sentence, separators of navigation bars, symbols, boilerplate.
+# Characters that close a sentence, separators of navigation bars, symbols, white space.
 CLOSING = ".!?:;,…\"'”»)"
 SEPARATORS = "|>»·•"
 SYMBOLS = "#*$%&|<>"
-BOILERPLATE = ("cookie", "javascript", "all rights reserved", "terms of use", "privacy policy", "lorem ipsum", "sign in", "log in", "share on")
-
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_failed_lines long, failed_words long, base_failed boolean, kept boolean, cleaned string"
+SPACE = " \t\n\x0b\x0c\r"
+# Boilerplate in English, French, German and Spanish, in lower case.
+BOILERPLATE = (
+    "cookie", "javascript", "all rights reserved", "terms of use", "terms of service", "privacy policy", "lorem ipsum", "sign in", "sign up", "log in", "share on", "click here", "read more", "subscribe to",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "conditions d'utilisation", "se connecter", "cliquez ici", "lire la suite", "partager sur",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "impressum", "hier klicken", "weiterlesen", "jetzt anmelden", "teilen auf",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "términos de uso", "iniciar sesión", "haga clic aquí", "leer más", "compartir en",
+)
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_failed_lines", "failed_words")
 _BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)))
-_SHOUT = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_SYMBOL, _SEPARATOR = re.compile(f"[{re.escape(SYMBOLS)}]"), re.compile(f"[{re.escape(SEPARATORS)}]")
 
 
-def line_fails(line: str) -> bool:
-    """Whether a line with words is navigation, symbols, shouting or boilerplate, or an unfinished fragment."""
-    parts = line.split()
-    n = len(parts)
-    bars = sum(line.count(c) for c in SEPARATORS)
+def line_fails(line: str, n: int | None = None) -> bool:
+    """Whether a line of n words is navigation, symbols, shouting or boilerplate, or ends like none of a text's lines."""
+    n = len(_WORD.findall(line)) if n is None else n
+    bars = len(_SEPARATOR.findall(line))
     if bars >= 3 and 3 * bars >= n:
         return True
-    if n >= 4 and MIN_WORDS_PER_SYMBOL * sum(line.count(c) for c in SYMBOLS) > n:
+    if n >= 4 and (MIN_WORDS_PER_SYMBOL * len(_SYMBOL.findall(line)) > n or 2 * line.count("!!") > n):
         return True
-    if line.count("!!") * 2 > n and n >= 4:
+    if n <= BOILERPLATE_WORDS and _BOILER.search(line.lower()):
         return True
-    if n <= 20 and _BOILER.search(line.lower()):
-        return True
-    return n > TITLE_WORDS and not line.rstrip().endswith(tuple(CLOSING)) and bars > 0
-
-
-def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
-    """Exact word, symbol, line and repetition counts of a batch of texts."""
-    data, at = flat(texts)
-    n = len(at) - 1
-    prefix = prefix_hashes(data)
-    start, end, owner = words(data, at)
-    head = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=head[1:])
-    out = {"n_words": per_owner(owner, n), "word_chars": per_owner(owner, n, head[end] - head[start])}
-    symbol = np.zeros(256, bool)
-    symbol[list(SYMBOLS.encode())] = True
-    marks = np.flatnonzero(symbol[data])
-    out["n_symbols"] = per_owner(np.searchsorted(at, marks, "right") - 1, n)
-
-    trigram, first = runs_hash(mixed(span_hashes(prefix, start, end)) + (end - start).astype(np.uint64), owner, 3)
-    again = _repeated(trigram, owner[first])
-    cover = np.zeros(len(start) + 3, np.int64)
-    np.add.at(cover, first[again], 1)
-    np.add.at(cover, first[again] + 3, -1)
-    out["n_repeat_words"] = per_owner(owner[np.cumsum(cover)[: len(start)] > 0], n)
-
-    feed = np.flatnonzero(data == 10)
-    line_start = np.sort(np.concatenate([at[:-1], feed + 1]))
-    line_end = np.sort(np.concatenate([feed, at[1:]]))
-    has = np.searchsorted(start, line_end, "left") > np.searchsorted(start, line_start, "left")
-    line_start, line_end = line_start[has], line_end[has]
-    lines = np.searchsorted(at, line_start, "right") - 1
-    out["n_dup_lines"] = per_owner(lines[_repeated(mixed(span_hashes(prefix, line_start, line_end)) + (line_end - line_start).astype(np.uint64), lines, later=True)], n)
-    return out
-
-
-def _repeated(value: np.ndarray, owner: np.ndarray, later: bool = False) -> np.ndarray:
-    """Mask of values that their owner has twice or more; later: without each one's first."""
-    out = np.zeros(len(value), bool)
-    order = np.lexsort((value, owner))
-    same = (value[order][1:] == value[order][:-1]) & (owner[order][1:] == owner[order][:-1])
-    out[order[1:][same]] = True
-    if not later:
-        out[order[:-1][same]] = True
-    return out
-
-
-def judge(texts: pa.Array) -> pa.RecordBatch:
-    counts = base_counts(texts)
-    n_lines, n_failed, failed_words, cleaned = [], [], [], []
-    for text in texts.to_pylist():
+    return n > TITLE_WORDS and not line.rstrip(SPACE).endswith(tuple(CLOSING))
+
+
+def repeated_words(windows: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Mask of the words in three-word windows that their text has twice or more, from words' numbers: compared as they are, not by hashes."""
+    m = len(windows) - 2
+    if m < 1:
+        return np.zeros(len(windows), bool)
+    inside = np.flatnonzero(owner[:m] == owner[2:])
+    keys = (owner[inside], windows[inside], windows[inside + 1], windows[inside + 2])
+    order = np.lexsort(keys[::-1])
+    same = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
+    again = np.zeros(len(inside), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    cover = np.zeros(len(windows) + 1, np.int64)
+    np.add.at(cover, inside[again], 1)
+    np.add.at(cover, inside[again] + 3, -1)
+    return np.cumsum(cover)[:-1] > 0
+
+
+def judge(texts: pa.Array) -> list[pa.Array]:
+    """Columns of COUNTS, base_failed, kept and cleaned for a batch of texts."""
+    counts, cleaned, numbers, owners = [], [], [], []
+    known: dict[str, int] = {}
+    for i, text in enumerate(texts.to_pylist()):
         lines = (text or "").split("\n")
-        worded = [not _blank(x) for x in lines]
-        failing = [w and line_fails(x) for x, w in zip(lines, worded)]
-        n_lines.append(sum(worded))
-        n_failed.append(sum(failing))
-        failed_words.append(sum(len(_WORD.findall(x)) for x, f in zip(lines, failing) if f))
+        found = [_WORD.findall(x) for x in lines]
+        failing = [bool(w) and line_fails(x, len(w)) for x, w in zip(lines, found)]
+        worded = [x for x, w in zip(lines, found) if w]
+        own = [known.setdefault(w, len(known)) for words in found for w in words]
+        numbers.append(np.array(own, np.int64))
+        owners.append(np.full(len(own), i))
+        counts.append((len(own), sum(len(w) for words in found for w in words), len(_SYMBOL.findall(text or "")), len(worded) - len(set(worded)), 0, len(worded), sum(failing), sum(len(w) for w, f in zip(found, failing) if f)))
         cleaned.append(None if text is None else "\n".join(x for x, f in zip(lines, failing) if not f))
-    lost = np.array(failed_words, np.int64)
-    failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEATED_PERCENT * counts["n_words"])
-    kept = ~failed & (100 * lost <= MAX_LOST_PERCENT * counts["n_words"])
-    arrays = [counts[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [np.array(n_lines, np.int64), np.array(n_failed, np.int64), lost, failed, kept]
-    return [pa.array(x) for x in arrays] + [pa.array(cleaned, pa.string())]
+    table = dict(zip(COUNTS, np.array(counts, np.int64).reshape(-1, len(COUNTS)).T))
+    owner = np.concatenate([*owners, np.zeros(0, np.int64)])
+    table["n_repeat_words"] = np.bincount(owner[repeated_words(np.concatenate([*numbers, np.zeros(0, np.int64)]), owner)], minlength=len(texts))
+    failed = (table["n_words"] < MIN_WORDS) | (100 * table["n_repeat_words"] > MAX_REPEATED_PERCENT * table["n_words"])
+    kept = ~failed & (100 * table["failed_words"] <= MAX_LOST_PERCENT * table["n_words"])
+    return [*[pa.array(table[c].astype(np.int64)) for c in COUNTS], pa.array(failed), pa.array(kept), pa.array(cleaned, pa.string())]
 
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+def _judged(docs: DataFrame, text: str, carry: list[str], cleaned: bool) -> tuple[DataFrame, list[str]]:
+    """The carried columns under names of their own, then what ``judge`` finds; and those names."""
+    small_batches(docs.sparkSession)
+    names = [f"c{i}" for i in range(len(carry))]
+    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)], F.col(f"`{text}`").cast("string").alias("text"))
+    made = [*[StructField(c, LongType()) for c in COUNTS], StructField("base_failed", BooleanType()), StructField("kept", BooleanType()), *([StructField("cleaned", StringType())] if cleaned else [])]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *judge(b["text"])[: len(made)]], [*names, *[f.name for f in made]])
 
-def _blank(line: str) -> bool:
-    return _WORD.search(line) is None
+    return source.mapInArrow(run, StructType([*source.schema.fields[:-1], *made])), names
 
 
 def quality_rules(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), cleaned: bool = False) -> DataFrame:
-    """Counts and verdict for each row: the carried columns, then those of SCHEMA (the cleaned text only if asked for)."""
-    small_batches(docs.sparkSession)
-    source = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").cast("string").alias("__text"))
-    fields = SCHEMA if cleaned else SCHEMA.rpartition(",")[0]
-    names = [x.split()[0] for x in fields.split(", ")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = judge(batch.column(len(carry)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *found[: len(names)]], [*carry, *names])
-
-    return source.mapInArrow(run, schema)
+    """Counts and verdict for each row: the carried columns, COUNTS, base_failed and kept (and the cleaned text if asked for)."""
+    found, names = _judged(docs, text, list(carry), cleaned)
+    return found.select(*[F.col(n).alias(c) for n, c in zip(names, carry)], *found.columns[len(names) :])
 
 
 def keep_good(docs: DataFrame, text: str = "text", count: str | None = "n_chars") -> DataFrame:
     """The rows of ``docs`` that pass, without the lines that fail (and the column ``count`` brought up to date)."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.lit(True).alias("__row"))
-    flagged = quality_rules(docs.select(F.col(f"`{text}`").alias("__text"), row.alias("__row")), "__text", ("__row",), cleaned=True)
-    new = {text: F.col("cleaned").cast(docs.schema[text].dataType)} | ({count: F.length("cleaned").cast(docs.schema[count].dataType)} if count in docs.columns and count != text else {})
-    return flagged.filter("kept").select(*[new[c].alias(c) if c in new else F.col("__row")[c].alias(c) for c in docs.columns])
+    carry = [c for c in docs.columns if c != text]
+    found, names = _judged(docs, text, carry, True)
+    at = {c: F.col(n) for c, n in zip(carry, names)} | {text: F.col("cleaned").cast(docs.schema[text].dataType)}
+    if count in docs.columns and count != text:
+        at[count] = F.length("cleaned").cast(docs.schema[count].dataType)
+    return found.filter("kept").select(*[at[c].alias(c) for c in docs.columns])

@@ -13,7 +13,7 @@ from .bpe import encode_decode
 from .ngram_join import jaccard_classes
 from .packing import pack
 from .quality_classifier import resampled
-from .quality_rules import quality_rules
+from .quality_rules import BOILERPLATE, quality_rules
 from .sharding import shard_documents
 from .suffix_dedup import remove_repeats
 from .url_filters import judge_urls
@@ -72,10 +72,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest_neighbours, op2_url_filters, op3_ngram_jaccard, op4_best_fit_packing, op5_bpe, op6_suffix_dedup, op7_quality_classifier, op8_warc, op9_quality_rules, op10_sharding)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_BOILER = "|".join(BOILERPLATE).replace("'", "''")
 _FAILS = (
     "(bars >= 3 AND 3 * bars >= n) OR (n >= 4 AND 4 * marks > n) OR (n >= 4 AND 2 * shouts > n)"
-    " OR (n <= 20 AND regexp_matches(lower(line), 'cookie|javascript|all rights reserved|terms of use|privacy policy|lorem ipsum|sign in|log in|share on'))"
-    " OR (n > 12 AND bars > 0 AND NOT regexp_matches(line, '[.!?:;,…\"''”»)][\\s\\x0B\\x1C-\\x1F\\x85\\xA0]*$'))"
+    f" OR (n <= 20 AND regexp_matches(lower(line), '{_BOILER}'))"
+    " OR (n > 12 AND NOT regexp_matches(line, '[.!?:;,…\"''”»)][\\x20\\x09-\\x0D]*$'))"
 )
 _COUNT = lambda text, marks: f"length({text}) - length(regexp_replace({text}, '[{marks}]', '', 'g'))"
 
