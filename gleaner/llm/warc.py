@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 from .common import fresh_dir, partitions, small_batches, staged
 
 SHARED = 1000
-#: Captures in a block of the index.
-BLOCK = 512
+#: Captures in a block of the index, and about so many in a part of it.
+BLOCK, PART = 512, 1 << 17
+#: Bytes of an archive that one task reads, while that makes no more than MOST_READS tasks.
+STRETCH, MOST_READS = 4 << 20, 20_000
 #: Fixed values of the format.
 VERSION, PROFILE, DATE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "2000-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -125,7 +127,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
 
 def write_index(records: DataFrame, folder: str) -> DataFrame:
     """Write the index's blocks; the directory: part, first (key), file, offset, length of each block."""
-    parts = partitions(records.sparkSession)
+    parts = max(partitions(records.sparkSession), -(-records.count() // PART))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -207,8 +209,8 @@ def _order(key: str) -> bytes:
     return key.encode()
 
 
-def read_records(found: DataFrame, with_payload: bool = False) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload, null for a revisit) by range reads."""
+def read_records(found: DataFrame, size: int, with_payload: bool = False) -> DataFrame:
+    """Of ``size`` bytes of records: page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload, null for a revisit) by range reads."""
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if with_payload else [])]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
     number = lambda x: None if x == "<urn:page:->" else int(x[len("<urn:page:") : -1])
@@ -235,7 +237,10 @@ def read_records(found: DataFrame, with_payload: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
 
     fields = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return found.repartition("file").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(run, fields)
+    # stretches of an archive are dealt out, by a number of tasks that the bytes to read give
+    each = max(STRETCH, size // MOST_READS)
+    dealt = found.repartition(max(1, -(-size // each)), "file", F.floor(F.col("offset") / each))
+    return dealt.sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(run, fields)
 
 
 def archived(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", with_payload: bool = False) -> DataFrame:
@@ -245,4 +250,5 @@ def archived(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     directory = write_index(records, f"{folder}/index")
     digest = F.sha1(F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).cast("binary"))
     wanted = pages.select(capture_key(F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")), F.col(f"`{key}`").cast("long"), digest).alias("key"))
-    return read_records(look_up(wanted, directory), with_payload)
+    size = records.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return read_records(look_up(wanted, directory), size, with_payload)
