@@ -52,8 +52,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = resampled(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
-    return scored.select(F.col("id").alias("doc_id"), "n_features", "log_weight", "sample", "kept")
+    return resampled(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Whole Arrow batches of texts as flat byte arrays: words, hashes and lines at once."""
+"""Whole Arrow batches of texts as flat byte arrays: words and hashes at once."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -41,8 +42,32 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each byte span, eight bytes at a time, each step mixed: no structure of the bytes makes two meet."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = end - start
+    out = mixed(size.astype(np.uint64))
+    open_ = np.flatnonzero(size <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        open_ = open_[size[open_] > k]
+        if not len(open_):
+            break
+        left = np.minimum(size[open_] - k, 8).astype(np.uint64) * np.uint64(8)
+        lane = eight[start[open_] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left))
+        out[open_] = mixed(out[open_] * _BASE + lane)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
+
+
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Polynomial hashes, modulo 2**64, of every prefix; n + 1 values."""
+    """Polynomial hashes, modulo 2**64, of every prefix; n + 1 values.  Texts can be made to collide: verify what they decide."""
     up, _ = _powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
@@ -70,6 +95,13 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, np.searchsorted(at, start, "right") - 1
 
 
+def run_hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """Polynomial hash, modulo 2**64, of each run of n bytes."""
+    _, down = _powers(len(data) + 1)
+    prefix = prefix_hashes(data)
+    return (prefix[n:] - prefix[:-n]) * down[: len(data) - n + 1]
+
+
 def runs_hash(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of n consecutive values of one owner, and each run's first index."""
     if len(values) < n:
@@ -80,7 +112,3 @@ def runs_hash(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray
         h = mixed(h * np.uint64(0xD6E8FEB86659FD93) + values[k : k + m] + np.uint64(k))
     first = np.flatnonzero(owner[:m] == owner[n - 1 :])
     return h[first], first
-
-
-def per_owner(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
-    return np.bincount(owner, weights, n).astype(np.int64)
