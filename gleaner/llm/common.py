@@ -81,16 +81,6 @@ def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     return staged(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
-def row_key(text: Column, *others: Column) -> Column:
-    """64 bits that tell rows of one id with different contents apart."""
-    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull(), *others)
-
-
-def text_digest(text: Column) -> Column:
-    """128 bits of a text as hexadecimal digits."""
-    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
-
-
 def prefix_ranks(df: DataFrame, group: list[str], order: list[Column], buckets: list[str], rank: str = "rank") -> DataFrame:
     """Gapless ranks from 0 within each group, in the order of the bucket columns and then ``order``,
     without one task for a group.

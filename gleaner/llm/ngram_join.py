@@ -1,7 +1,7 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-A document is its set of hashed runs of five words.  Documents of equal sets are one node, so
-copies never meet each other.  A node has HASHES MinHash values; nodes that agree on all
+A document is its set of hashed runs of five words (64 bits each, mixed at every step).
+Documents whose sets have one SHA-256 name (128 bits) are one node, so copies never meet each other.  A node has HASHES MinHash values; nodes that agree on all
 values of one of BANDS bands are candidates.  At a similarity of 0.8 a pair misses every band
 with a probability of 5e-8.  Pairs are compared value by value, in steps of STEP: with m of n
 values equal the posterior of the similarity under a uniform prior is Beta(m + 1, n - m + 1),
@@ -24,6 +24,7 @@ an empty table gives an empty result; columns of any other name are not read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -33,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, small_batches, staged
-from .textnp import flat, mixed, prefix_hashes, runs_hash, span_hashes, words
+from .common import freed, numbered, small_batches, staged
+from .textnp import flat, mixed, runs_hash, word_hashes, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -42,8 +43,10 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
-#: Nodes in a block of a bucket of candidates, and of a cluster to verify.
-CANDIDATE_BLOCK, VERIFY_BLOCK = 1024, 256
+#: Most nodes in a block of a bucket of candidates, and of a cluster to verify.
+CANDIDATE_BLOCK, VERIFY_BLOCK = 2048, 1024
+#: Fewer nodes than fill a block are still dealt over so many, if each gets SMALL_BLOCK or more.
+BLOCKS, SMALL_BLOCK = 4, 64
 #: Pairs in a tile beyond which matrix products intersect its sets, and shingles in a product.
 MANY_PAIRS, STRETCH = 200, 8192
 
@@ -51,9 +54,8 @@ MANY_PAIRS, STRETCH = 200, 8192
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data, at = flat(texts)
-    prefix = prefix_hashes(data)
     start, end, owner = words(data, at)
-    values = mixed(span_hashes(prefix, start, end)) + (end - start).astype(np.uint64)
+    values = word_hashes(data, start, end)
     shingles, first = runs_hash(values, owner, n)
     owners = owner[first]
     counts = np.bincount(owner, minlength=len(at) - 1)
@@ -136,7 +138,7 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
 def tiles(rows: DataFrame, group: str, node: str, block: int) -> DataFrame:
     """``rows`` once for each tile of their group, with ``tile`` (a number for the group and two blocks) and
     ``side`` (0 or 1, or 2 where both blocks are the row's own).  Column n: the rows of each row's group."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.least(F.lit(BLOCKS), F.ceil(F.col("n") / min(SMALL_BLOCK, block)))).cast("int")
     rows = rows.withColumns({"_own": F.pmod(F.xxhash64(node, F.lit(block)), blocks).cast("int"), "_blocks": blocks})
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
@@ -245,6 +247,7 @@ def components(links: DataFrame, name: str) -> DataFrame:
     edges = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     while True:
+        old = edges
         # large star: every neighbour above the centre goes to the centre's smallest
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # written first, so that a hot centre's links can be split in the join
@@ -255,6 +258,7 @@ def components(links: DataFrame, name: str) -> DataFrame:
         low = staged(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         edges = staged(small.filter("a <> b").distinct(), name)
+        freed(old, least, large, low)
         state = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:
             break
@@ -262,32 +266,21 @@ def components(links: DataFrame, name: str) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _keyed_texts(docs: DataFrame, text: str, key: str) -> DataFrame:
-    body = F.col(f"`{text}`").cast("string")
-    return docs.select(F.col(f"`{key}`").alias("id"), row_key(body, F.col(f"`{key}`")).alias("row"), F.coalesce(body, F.lit("")).alias("text"))
-
-
 def signatures(texts: DataFrame) -> DataFrame:
-    """id, row, node (64 bits of the set; null without words), signature (16 bits a value) and light (8 bits a value)."""
+    """id, row, name (128 bits of the set; null without words), signature (16 bits a value) and light (8 bits a value)."""
     small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, signature, light = [], [], []
+            named, signature, light = [], [], []
             for s in shingle_sets(b.column(2)):
-                nodes.append(_name(s) if len(s) else None)
+                named.append(hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None)
                 values = minhash(s)
                 signature.append(values.astype("<u2").tobytes())
                 light.append(values.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(signature, pa.binary()), pa.array(light, pa.binary())], ["id", "row", "node", "signature", "light"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(named, pa.binary()), pa.array(signature, pa.binary()), pa.array(light, pa.binary())], ["id", "row", "name", "signature", "light"])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, row long, node long, signature binary, light binary")
-
-
-def _name(shingles: np.ndarray) -> int:
-    h = mixed(shingles)
-    whole = np.array([np.bitwise_xor.reduce(h)]) + np.array([h.sum()]) + np.array([len(h)], np.uint64)
-    return int(mixed(whole).view(np.int64)[0])
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, row long, name binary, signature binary, light binary")
 
 
 def _sets(texts: DataFrame, carry: list[str]) -> DataFrame:
@@ -302,13 +295,14 @@ def _sets(texts: DataFrame, carry: list[str]) -> DataFrame:
     return texts.select(*carry, "text").mapInArrow(run, f"{fields}, shingles binary")
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """id, row (a hash of id and text), node, root, class_id, n_links for each row."""
-    texts = _keyed_texts(docs, text, key)
+def classes(docs: DataFrame, row: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """id, row, name (null without words), root, class_id, n_links for each row of a written table with row numbers."""
+    body = F.col(f"`{text}`").cast("string")
+    texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{row}`").alias("row"), F.coalesce(body, F.lit("")).alias("text"))
     rows = staged(signatures(texts), "ngram-rows")
     least = F.min(F.struct("row", "signature", "light"))
-    members = rows.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"), least.alias("one"))
-    members = staged(members.select("node", "copies", "first", "one.*"), "ngram-members")
+    members = rows.filter("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"), least.alias("one"))
+    members = staged(members.select(F.monotonically_increasing_id().alias("node"), "name", "copies", "first", "one.*"), "ngram-members")
 
     # only keys that two or more nodes share go on
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("signature"), k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
@@ -322,35 +316,34 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     # texts of the clusters' nodes, one of each, for the exact sets
     chosen = members.select("node", "row", "copies", "light").join(cluster, "node")
     size = cluster.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    found = texts.join(chosen, "row").dropDuplicates(["node"])
+    found = texts.select("row", "text").join(chosen, "row")
     sets = staged(_sets(found, ["node", "root", "copies", "light"]), "ngram-sets").join(size, "root")
     verified = staged(in_tiles(tiles(sets, "root", "node", VERIFY_BLOCK), "a long, b long, links long", _verified), "ngram-verified")
     links = verified.filter("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     root = components(verified.filter("links = 0").select("a", "b"), "ngram-class")
-    nodes = members.select("node", "copies", "first").join(root, "node", "left").join(links, "node", "left")
-    nodes = staged(nodes.select("node", "copies", "first", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "ngram-nodes")
-    named = nodes.groupBy("root").agg(F.min("first").alias("class_id"))
-    per_node = nodes.join(named, "root").select("node", "root", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    all_rows = rows.select("id", "row", "node").join(per_node, "node", "left")
-    return all_rows.select("id", "row", "node", "root", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    nodes = members.select("node", "name", "copies", "first").join(root, "node", "left").join(links, "node", "left")
+    nodes = staged(nodes.select("name", "copies", "first", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "ngram-nodes")
+    # written first, so that a large class and a large group of copies can be split in the joins
+    named = staged(nodes.groupBy("root").agg(F.min("first").alias("class_id")), "ngram-named")
+    per_name = staged(nodes.join(named, "root").select("name", "root", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "ngram-names")
+    all_rows = rows.select("id", "row", "name").join(per_name, "name", "left")
+    return all_rows.select("id", "row", "name", "root", F.when(F.col("name").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, class_id, n_links (documents of a similarity of THRESHOLD or more) for each row."""
-    return classes(docs, text, key).select(F.col("id").alias(key), "class_id", "n_links")
+    docs, row = numbered(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")), "ngram-texts")
+    return classes(docs, row, "text", "id").select(F.col("id").alias(key), "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each class the row of the smallest id (then of the smallest hash); repeated rows once.
+    """The rows of ``docs`` without near duplicates: of each class the one of the smallest id (null last), and one of repeated rows.
 
-    Documents without words stay.
+    Documents without words stay, each of them.
     """
-    found = classes(docs, text, key)
-    best = found.filter("node is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")).select(F.col("best.row").alias("row"), F.lit(True).alias("wordy"))
-    stay = best.unionByName(found.filter("node is null").select("row", F.lit(False).alias("wordy")).distinct())
-    marked = docs.withColumn("__row", row_key(F.col(f"`{text}`").cast("string"), F.col(f"`{key}`"))).join(stay.withColumnRenamed("row", "__row"), "__row")
-    # of repeated rows one stays, by its place among them; a row of its own is never compared
-    many = marked.filter("wordy").groupBy("__row").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__row")
-    alone = marked.join(many, "__row", "left_anti")
-    again = marked.join(many, "__row", "left_semi").dropDuplicates(["__row"])
-    return alone.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = docs.columns
+    docs, row = numbered(docs, "ngram-docs")
+    found = staged(classes(docs, row, text, key).select("id", F.col("row").alias(row), "name", "root"), "ngram-found")
+    best = found.filter("name is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).alias("best")).select(F.col(f"best.{row}").alias(row))
+    stay = best.unionByName(found.filter("name is null").select(row))
+    return docs.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in columns])
