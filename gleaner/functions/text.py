@@ -14,9 +14,13 @@ KINDS = {
 LANGUAGES = {"go": "go", "rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "sh": "shell", "bash": "shell", "zsh": "shell", "json": "json", "toml": "toml", "yaml": "yaml", "yml": "yaml", "md": "markdown"}
 
 
+# The characters of Unicode's property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_space(text: Column) -> Column:
-    """Strip Unicode white space from both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Strip Unicode white space from both ends; reads no more than the ends."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def normalize_ext(name: Column) -> Column:
@@ -76,7 +80,5 @@ def clean_snippet(text: Column) -> Column:
     return shortened(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), 180)
 
 
-def line_of(text: Column, offset: Column) -> Column:
-    """Number, from 1, of the line that a code point offset is in."""
-    before = F.substring(text, F.lit(1), F.least(F.greatest(offset, F.lit(0)), F.length(text)).cast("int"))
-    return (1 + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))).cast("long")
+def line_breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))

@@ -77,27 +77,45 @@ def token_slots(token: Column, dim: int) -> tuple[Column, Column, Column]:
     return first, sign, (h["hi"] * 65536 + F.shiftright(h["lo"], 16)) % dim
 
 
-def fnv1a(token: str) -> int:
-    h = BASIS
-    for b in token.encode():
-        h = ((h ^ b) * ((1 << 40) + PRIME_LOW)) & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
-def embed_text(text: str | None, dim: int, normalize: bool = True, memory: dict | None = None) -> np.ndarray:
+def fnv1a(tokens: list[str]) -> np.ndarray:
+    """64-bit FNV-1a of many tokens, byte position by byte position."""
+    raw = [t.encode() for t in tokens]
+    size = np.array([len(x) for x in raw], np.int64)
+    start = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    out = np.full(len(raw), BASIS, np.uint64)
+    open_ = np.flatnonzero(size > 0)
+    k = 0
+    while len(open_):
+        out[open_] = (out[open_] ^ data[start[open_] + k]) * np.uint64((1 << 40) + PRIME_LOW)
+        k += 1
+        open_ = open_[size[open_] > k]
+    return out
+
+
+def embed_texts(texts: list[str | None], dim: int, normalize: bool = True, memory: dict[str, int] | None = None) -> list[np.ndarray]:
     """Words count 1, pairs of neighbours a half; each adds its sign to one slot and a half of its weight to another."""
     memory = {} if memory is None else memory
-    words = _WORD.findall(without_marks(text or "").lower())
-    out = np.zeros(dim, np.float32)
-    for weight, tokens in ((1.0, words), (0.5, [f"{a}_{b}" for a, b in zip(words, words[1:])])):
-        for t in tokens:
-            h = memory.get(t)
-            if h is None:
-                h = memory[t] = fnv1a(t)
-            out[h % dim] += weight if (h >> 8) & 1 else -weight
-            out[(h >> 16) % dim] += 0.5 * weight
-    norm = float(np.sqrt((out.astype(np.float64) ** 2).sum()))
-    return (out / np.float32(norm) if normalize and norm > 0 else out).astype(np.float32)
+    listed = []
+    for t in texts:
+        words = _WORD.findall(without_marks(t or "").lower())
+        listed.append((len(words), [*words, *[f"{a}_{b}" for a, b in zip(words, words[1:])]]))
+    new = list({t for _, tokens in listed for t in tokens if t not in memory})
+    memory.update(zip(new, fnv1a(new).tolist()))
+    out = []
+    for n, tokens in listed:
+        h = np.fromiter(map(memory.__getitem__, tokens), np.uint64, len(tokens))
+        weight = np.where(np.arange(len(tokens)) < n, 1.0, 0.5)
+        sign = np.where((h >> np.uint64(8)) & np.uint64(1), weight, -weight)
+        slots = np.concatenate([h % np.uint64(dim), (h >> np.uint64(16)) % np.uint64(dim)]).astype(np.int64)
+        v = np.bincount(slots, np.concatenate([sign, 0.5 * weight]), dim).astype(np.float32)  # multiples of a quarter: exact
+        norm = float(np.sqrt((v.astype(np.float64) ** 2).sum()))
+        out.append((v / np.float32(norm) if normalize and norm > 0 else v).astype(np.float32))
+    return out
+
+
+def embed_text(text: str | None, dim: int, normalize: bool = True) -> np.ndarray:
+    return embed_texts([text], dim, normalize)[0]
 
 
 #: Token hashes that a worker remembers.
@@ -112,6 +130,6 @@ def hash_embedder(dim: int, normalize: bool = True):
         for s in texts:
             if len(memory) > REMEMBERED:
                 memory.clear()
-            yield s.map(lambda t: embed_text(t, dim, normalize, memory))
+            yield pd.Series(embed_texts(s.tolist(), dim, normalize, memory))
 
     return F.pandas_udf(embed, "array<float>")

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_id, classify_kind, content_hash, detect_language, line_of, trim_space
+from ..functions.text import chunk_id, classify_kind, content_hash, detect_language, line_breaks, trim_space
 
 # Lines at which code of a language is cut, first match wins; group 1 is the name.
 _JS = (r"^(?:async\s+)?function\s+(\w+)\s*\(", r"^(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function|\([^)]*\)\s*=>)", r"^class\s+(\w+)(?:\s+extends\s+\w+)?\s*\{")
@@ -46,11 +46,13 @@ def marks(content: Column, of_line) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast(f"array<{_MARK}>").alias("found"))
 
     def step(state: Column, line: Column) -> Column:
-        matches, name, level = of_line(trim_space(line))
+        matches, name, level = of_line(line["text"])
         mark = F.struct(state["at"].alias("offset"), name.alias("name"), level.cast("int").alias("level"), state["line"].alias("line"))
-        return F.struct((state["at"] + F.length(line) + 1).alias("at"), (state["line"] + 1).alias("line"), F.when(matches, F.concat(state["found"], F.array(mark))).otherwise(state["found"]).alias("found"))
+        return F.struct((state["at"] + line["size"]).alias("at"), (state["line"] + 1).alias("line"), F.when(matches, F.concat(state["found"], F.array(mark))).otherwise(state["found"]).alias("found"))
 
-    return F.aggregate(F.split(content, "\n", -1), start, step, lambda s: s["found"])
+    # trimmed once, before what is asked of a line
+    lines = F.transform(F.split(content, "\n", -1), lambda x: F.struct(trim_space(x).alias("text"), (F.length(x) + 1).alias("size")))
+    return F.aggregate(lines, start, step, lambda s: s["found"])
 
 
 def headings(content: Column) -> Column:
@@ -58,24 +60,25 @@ def headings(content: Column) -> Column:
 
     def of_line(t: Column):
         name = trim_space(F.regexp_replace(t, "^#+", ""))
-        return t.rlike("^#{1,6}[^#]") & (name != ""), name, F.length(F.regexp_extract(t, "^(#+)", 1))
+        return t.startswith("#") & t.rlike("^#{1,6}[^#]") & (name != ""), name, F.length(F.regexp_extract(t, "^(#+)", 1))
 
     return marks(content, of_line)
 
 
 def code_boundaries(content: Column, ext: Column) -> Column:
     """Lines at which a function, type or class begins, by the language's patterns."""
-    found = F.array().cast(f"array<{_MARK}>")
-    for language, patterns in BOUNDARIES.items():
 
-        def of_line(t: Column, patterns=patterns):
-            name = F.lit("")
+    def of_line(t: Column):
+        matches, name = F.lit(False), F.lit("")
+        for language, patterns in BOUNDARIES.items():
+            own = F.lit("")
             for p in reversed(patterns):
-                name = F.when(t.rlike(p), F.regexp_extract(t, p, 1)).otherwise(name)
-            return t.rlike("|".join(f"(?:{p})" for p in patterns)), name, F.lit(0)
+                own = F.when(t.rlike(p), F.regexp_extract(t, p, 1)).otherwise(own)
+            matches = F.when(ext == language, t.rlike("|".join(f"(?:{p})" for p in patterns))).otherwise(matches)
+            name = F.when(ext == language, own).otherwise(name)
+        return matches, name, F.lit(0)
 
-        found = F.when(ext == language, marks(content, of_line)).otherwise(found)
-    return found
+    return F.when(ext.isin(*BOUNDARIES), marks(content, of_line)).otherwise(F.array().cast(f"array<{_MARK}>"))
 
 
 def build_chunks(docs: DataFrame, config: Chunking = Chunking()) -> DataFrame:
@@ -93,33 +96,45 @@ def build_chunks(docs: DataFrame, config: Chunking = Chunking()) -> DataFrame:
     base = base.withColumn("_sections", F.when(some, F.concat(lead, F.col("_marks"))).otherwise(whole))
     sections = F.col("_sections")
 
+    step = config.max_chars - config.overlap_chars if config.max_chars > config.overlap_chars else config.max_chars
+
     def cut(mark: Column, i: Column) -> Column:
-        after = F.get(sections, i + 1)
-        end = F.coalesce(after["offset"], F.col("_n"))
-        # the lines of marks are known; others are counted later, which reads a text's beginning
-        return F.transform(
-            windows(mark["offset"], end, config.max_chars, config.overlap_chars),
-            lambda w: F.struct(w["s"].alias("s"), w["e"].alias("e"), F.when(w["first"], mark["name"]).otherwise("").alias("name"), F.when(w["first"], mark["level"]).otherwise(0).alias("level"), F.when(w["first"], mark["line"]).alias("line"), F.when(w["e"] == after["offset"], after["line"]).alias("end_line")),
-        )
-
-    base = base.withColumn("_windows", F.flatten(F.transform(sections, cut)))
-    base = base.withColumn("_windows", F.when(F.size("_windows") > 0, F.col("_windows")).otherwise(F.array(F.struct(F.lit(0).alias("s"), F.col("_n").alias("e"), F.lit("").alias("name"), F.lit(0).alias("level"), F.lit(1).alias("line"), F.lit(None).cast("int").alias("end_line")))))
-    count = F.size("_windows")
+        """A section's windows with their text and the line breaks in it, and in what the next window doesn't repeat."""
+        end = F.coalesce(F.get(sections, i + 1)["offset"], F.col("_n"))
+
+        def window(w: Column) -> Column:
+            raw = F.substring(content, w["s"] + 1, w["e"] - w["s"])
+            return F.struct(raw.alias("raw"), F.when(w["first"], mark["name"]).otherwise("").alias("name"), F.when(w["first"], mark["level"]).otherwise(0).alias("level"), mark["line"].alias("line"))
 
-    def record(w: Column, i: Column) -> Column:
-        body = trim_space(F.substring(content, w["s"] + 1, w["e"] - w["s"]))
-        return F.struct(i.cast("long").alias("index"), body.alias("body"), w["s"].alias("s"), w["e"].alias("e"), w["name"].alias("name"), w["level"].alias("level"), w["line"].alias("line"), w["end_line"].alias("end_line"))
+        # one step after another, so that no text is cut out twice
+        cuts = F.transform(windows(mark["offset"], end, config.max_chars, config.overlap_chars), window)
+        return F.transform(cuts, lambda w: F.struct(w["raw"].alias("raw"), w["name"].alias("name"), w["level"].alias("level"), w["line"].alias("line"), line_breaks(w["raw"]).alias("breaks"), line_breaks(F.substring(w["raw"], 1, step)).alias("own")))
 
-    kept = F.filter(F.transform("_windows", record), lambda r: (r["body"] != "") & ((F.length(r["body"]) >= config.min_chars) | (r["index"] == count - 1) | (count <= 1)))
-    fallback = F.array(F.struct(F.lit(0).cast("long").alias("index"), trim_space(content).alias("body"), F.lit(0).alias("s"), F.col("_n").alias("e"), F.lit("").alias("name"), F.lit(0).alias("level"), F.lit(1).alias("line"), F.lit(None).cast("int").alias("end_line")))
-    base = base.withColumn("_kept", kept)
-    rows = base.withColumn("c", F.explode(F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(fallback)))
+    def numbered(section: Column) -> Column:
+        """Windows with trimmed text, first and last line: a section's lines are counted from its mark's, each character once."""
+
+        def window(w: Column, i: Column) -> Column:
+            before = F.aggregate(F.slice(section["own"], F.lit(1), i), F.lit(0), lambda n, x: n + x)
+            return F.struct(trim_space(w["raw"]).alias("body"), w["name"].alias("name"), w["level"].alias("level"), (w["line"] + before).cast("long").alias("line"), w["breaks"].alias("breaks"))
+
+        return F.transform(section, window)
+
+    base = base.withColumn("_cut", F.transform(sections, cut))
+    base = base.withColumn("_windows", F.flatten(F.transform("_cut", numbered)))
+    count = F.size("_windows")
+    record = F.transform("_windows", lambda w, i: F.struct(i.cast("long").alias("index"), *[w[c].alias(c) for c in ("body", "name", "level", "line")], (w["line"] + w["breaks"]).alias("end_line")))
+    base = base.withColumn("_kept", F.filter(record, lambda r: (r["body"] != "") & ((F.length(r["body"]) >= config.min_chars) | (r["index"] == count - 1) | (count <= 1))))
+    alone = F.struct(F.lit(0).cast("long").alias("index"), trim_space(content).alias("body"), F.lit("").alias("name"), F.lit(0).alias("level"), F.lit(1).cast("long").alias("line"), (1 + line_breaks(content)).cast("long").alias("end_line"))
+    base = base.withColumn("_some", F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(F.array(alone)))
+    # texts, headings and windows stay behind: a chunk takes only its own along; no array is empty, and the
+    # outer form keeps the optimizer from computing all of them once more to filter empty ones out
     markdown = F.col("kind") == "markdown"
-    title = F.when((F.col("c.name") != "") & markdown, F.col("c.name")).otherwise(F.coalesce(F.get(F.col("_heads"), F.lit(0))["name"], F.lit("")))
-    listed = F.when(F.size("_heads") > 0, F.to_json(F.transform("_heads", lambda h: h["name"]))).otherwise("")
+    first = F.coalesce(F.get(F.col("_heads"), F.lit(0))["name"], F.lit("")).alias("_first")
+    listed = F.when(F.size("_heads") > 0, F.to_json(F.transform("_heads", lambda h: h["name"]))).otherwise("").alias("headings_json")
+    rows = base.select("source_name", "file_path", "rel_path", "extension", "byte_size", "kind", "language", "content_hash", first, listed, F.explode_outer("_some").alias("c"))
     return rows.select(
         chunk_id(F.col("source_name"), F.col("rel_path"), F.col("c.index"), F.col("content_hash")).alias("id"), "source_name", "file_path", "rel_path", F.col("c.body").alias("content"),
-        F.coalesce(F.col("c.line").cast("long"), line_of(content, F.col("c.s"))).alias("start_line"), F.coalesce(F.col("c.end_line").cast("long"), line_of(content, F.col("c.e"))).alias("end_line"), F.col("c.index").alias("chunk_index"), "kind", "extension", "language",
-        title.alias("title"), listed.alias("headings_json"), F.col("byte_size").cast("long").alias("byte_size"), "content_hash", F.current_timestamp().alias("created_at"),
+        F.col("c.line").alias("start_line"), F.col("c.end_line").alias("end_line"), F.col("c.index").alias("chunk_index"), "kind", "extension", "language",
+        F.when((F.col("c.name") != "") & markdown, F.col("c.name")).otherwise(F.col("_first")).alias("title"), "headings_json", F.col("byte_size").cast("long").alias("byte_size"), "content_hash", F.current_timestamp().alias("created_at"),
         F.when(F.col("kind") == "code", F.col("c.name")).otherwise("").alias("function_name"), F.when(markdown, F.col("c.level")).otherwise(0).cast("long").alias("section_level"),
     )

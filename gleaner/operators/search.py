@@ -6,11 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import snippet, trim_space
+from ..functions.text import WHITE_SPACE, snippet, trim_space
 from ..functions.vectors import cosine
 
 RRF_K = 60
 LINES_PER_FILE = 50
+#: Hits that may be broadcast.
+MOST_HITS = 10_000
+
+
+def held(hits: DataFrame, most: int = MOST_HITS) -> tuple[DataFrame, bool]:
+    """Hits computed once and kept with the plan, and whether they are; more than ``most`` stay as they are, to be joined by a shuffle."""
+    rows = hits.limit(most + 1).collect()
+    return (hits, False) if len(rows) > most else (hits.sparkSession.createDataFrame(rows, hits.schema), True)
 
 
 def vector_top_k(embeddings: DataFrame, query: list[float], k: int, key: str = "chunk_id", vector: str = "vector") -> DataFrame:
@@ -37,14 +45,20 @@ def submatches(line: Column, pattern: str) -> Column:
 
 
 def exact_lines(docs: DataFrame, query: str, limit: int, per_file: int = LINES_PER_FILE) -> DataFrame:
-    """The first ``limit`` lines, by path, that match a case-insensitive regular expression, at most per_file a file."""
+    """The first ``limit`` lines, by path, that match a case-insensitive regular expression, at most per_file a file.
+
+    ``submatches`` count bytes of the line as it stands; ``line_text`` is trimmed, by ``lead`` bytes in front.
+    """
     pattern = f"(?iu){query}"
-    lines = docs.filter(F.col("content").rlike(pattern.replace("(?iu)", "(?ium)"))).select(F.col("abs_path").alias("file_path"), "rel_path", "source_name", F.posexplode(F.split("content", "\n", -1)).alias("_at", "line"))
-    found = lines.filter(F.col("line").rlike(pattern)).withColumn("line_number", (F.col("_at") + 1).cast("long"))
+    # line by line: over a whole text, anchors and look-around would see what a line doesn't have
+    numbered = F.transform(F.split("content", "\n", -1), lambda line, at: F.struct((at + 1).cast("long").alias("line_number"), line.alias("line")))
+    hits = docs.select(F.col("abs_path").alias("file_path"), "rel_path", "source_name", F.explode(F.filter(numbered, lambda x: x["line"].rlike(pattern))).alias("x"))
+    found = hits.select("file_path", "rel_path", "source_name", "x.line_number", "x.line")
     found = found.withColumn("_n", F.row_number().over(W.partitionBy("file_path").orderBy("line_number"))).filter(F.col("_n") <= per_file)
     top = found.select("file_path", "rel_path", "source_name", "line_number", trim_space(F.col("line")).alias("line_text"), "line").orderBy("file_path", "line_number").limit(limit)
     ranked = top.withColumn("rank", (F.row_number().over(W.orderBy("file_path", "line_number")) - 1).cast("int"))
-    return ranked.withColumn("submatches", submatches(F.col("line"), pattern)).drop("line")
+    lead = F.octet_length("line") - F.octet_length(F.ltrim("line", F.lit(WHITE_SPACE)))
+    return ranked.withColumns({"submatches": submatches(F.col("line"), pattern), "lead": lead}).drop("line")
 
 
 def longest_prefix_source(files: DataFrame, sources: DataFrame, path: str = "file_path") -> DataFrame:
@@ -65,12 +79,13 @@ def longest_prefix_source(files: DataFrame, sources: DataFrame, path: str = "fil
 def match_to_chunk(matches: DataFrame, chunks: DataFrame) -> DataFrame:
     """Each match (file_path, line_number) with the id of the narrowest chunk that holds its line, or null.
 
-    ``matches`` is at most a search's fetch limit, so it is the broadcast side.
+    ``matches`` are a search's, at most its fetch limit, and are broadcast if no more than MOST_HITS.
     """
-    keys = matches.select("file_path", "line_number").distinct()
-    held = F.broadcast(keys.withColumnsRenamed({"file_path": "_f", "line_number": "_l"})).join(chunks, (F.col("file_path") == F.col("_f")) & F.col("_l").between(F.col("start_line"), F.col("end_line")))
+    matches, few = held(matches)
+    keys = matches.select(F.col("file_path").alias("_f"), F.col("line_number").alias("_l")).distinct()
+    inside = (F.broadcast(keys) if few else keys).join(chunks, (F.col("file_path") == F.col("_f")) & F.col("_l").between(F.col("start_line"), F.col("end_line")))
     rank = F.struct((F.col("end_line") - F.col("start_line")).alias("w"), F.col("start_line").alias("s"), F.col("chunk_index").alias("i"), F.col("id").alias("id"))
-    best = held.groupBy(F.col("_f").alias("file_path"), F.col("_l").alias("line_number")).agg(F.min(rank).alias("_best"))
+    best = inside.groupBy(F.col("_f").alias("file_path"), F.col("_l").alias("line_number")).agg(F.min(rank).alias("_best"))
     return matches.join(best, ["file_path", "line_number"], "left").withColumn("chunk_id", F.col("_best.id")).drop("_best")
 
 
@@ -84,10 +99,11 @@ def rrf_fuse(semantic: DataFrame, exact: DataFrame, chunks: DataFrame, k: int =
     part = lambda r: F.lit(1.0) / (F.lit(k) + r + 1)
     none = F.lit(-1)
     hits = semantic.select(F.col("chunk_id").alias("id"), part(F.col("rank")).alias("part"), F.col("rank").alias("semantic_rank"), none.alias("exact_rank"))
-    lines = match_to_chunk(exact, chunks)
+    lines, _ = held(match_to_chunk(exact, chunks))
     inside = lines.filter(F.col("chunk_id").isNotNull()).select(F.col("chunk_id").alias("id"), part(F.col("rank")).alias("part"), none.alias("semantic_rank"), F.col("rank").alias("exact_rank"))
     summed = hits.unionByName(inside).groupBy("id").agg(F.sum("part").alias("score"), F.max("semantic_rank").alias("semantic_rank"), F.max("exact_rank").alias("exact_rank"))
-    known = F.broadcast(summed).join(chunks, "id").select(
+    summed, few = held(summed)
+    known = (F.broadcast(summed) if few else summed).join(chunks, "id").select(
         F.col("id").alias("chunk_id"), "file_path", "rel_path", snippet(F.col("content")).alias("snippet"), "score", "semantic_rank", "exact_rank", "source_name", "kind", "language", "title", "start_line", "end_line", "function_name", "section_level"
     )
     outside = lines.filter(F.col("chunk_id").isNull())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import os
 import sys
 
@@ -10,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from .config import Config, ConfigError
 from .engine import MODES, Engine
-from .output import as_json, as_text
+from .output import as_json, as_text, status_text
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -27,11 +28,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     for name in ("index", "sync"):
         p = commands.add_parser(name)
         p.add_argument("--source", default="")
+        p.add_argument("-v", "--verbose", action="store_true")
         if name == "index":
             p.add_argument("--full", action="store_true")
     find = commands.add_parser("search")
     find.add_argument("query")
     find.add_argument("--json", action="store_true")
+    find.add_argument("-v", "--verbose", action="store_true")
     find.add_argument("--limit", type=int, default=10)
     find.add_argument("--mode", choices=MODES, default="hybrid")
     for name in ("source", "language", "kind", "dir"):
@@ -39,7 +42,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     commands.add_parser("status")
     commands.add_parser("doctor")
     a = top.parse_args(args)
-    spark = spark or SparkSession.builder.appName("gleaner").getOrCreate()
+    verbose = getattr(a, "verbose", False)
+    if verbose:
+        logging.basicConfig(stream=sys.stderr, format="%(name)s: %(message)s")
+        logging.getLogger("gleaner").setLevel(logging.DEBUG)
+    spark = spark or SparkSession.builder.appName("gleaner").config("spark.ui.showConsoleProgress", str(not verbose).lower()).getOrCreate()
     try:
         if a.command == "init":
             Engine.init(spark, a.base, a.force)
@@ -62,11 +69,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             response = engine.respond(a.query, a.mode, limit=a.limit, source=a.source, language=a.language, kind=a.kind, directory=a.dir)
             print(as_json(response) if a.json else as_text(response))
         elif a.command == "status":
-            for r in engine.status().collect():
-                print(f"{r['name']}\t{r['files']} files")
+            print(status_text(engine.status()))
         else:
-            for check, state, message in engine.doctor():
-                print(f"{state}\t{check}\t{message}")
+            for check, state, message, hint in engine.doctor():
+                print(f"{state}\t{check}\t{message}" + (f"\t{hint}" if hint else ""))
+    except KeyboardInterrupt:
+        spark.sparkContext.cancelAllJobs()
+        print("Cancelled", file=sys.stderr)
+        return 130
     except (ConfigError, FileNotFoundError, ValueError) as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1

@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
+import importlib.util
+import logging
 import os
 import time
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.catalog import MODELS
 from ..functions.text import chunking_hash, content_hash, kind_of_path, language_of_path, snippet
-from ..functions.vectors import embed_text, hash_embedder
+from ..functions.models import available, embed_texts, embedder
+from ..functions.vectors import embed_text
 from ..operators import maintenance as m
 from ..operators import search as s
 from ..operators.chunking import build_chunks
 from ..sources.bundle import Bundle, ModelMismatch
 from ..sources.scan import Source, scan_sources
 from .config import Config, ConfigError
+from .output import format_size
 
 MODES = ("semantic", "exact", "hybrid")
+log = logging.getLogger("gleaner")
+
+
+def dir_size(path: str) -> int:
+    """Bytes of all files below a directory."""
+    return sum(os.lstat(os.path.join(top, f)).st_size for top, _, files in os.walk(path) for f in files)
 
 
 class Engine:
@@ -27,6 +41,23 @@ class Engine:
         self.spark, self.config = spark, config
         self.bundle = Bundle(spark, config.bundle_path)
         self.model = MODELS[config.mode]
+        self.group = f"gleaner-{uuid.uuid4().hex}"
+
+    @contextmanager
+    def phase(self, what: str) -> Iterator[None]:
+        """Jobs of a phase run in the engine's group, named for the user interface, and are logged with their time."""
+        began = time.monotonic()
+        self.spark.sparkContext.setJobGroup(self.group, what, interruptOnCancel=True)
+        try:
+            yield
+            log.debug("%s took %.1f s", what, time.monotonic() - began)
+        finally:
+            for key in ("spark.jobGroup.id", "spark.job.description"):
+                self.spark.sparkContext.setLocalProperty(key, None)
+
+    def cancel(self) -> None:
+        """End what the engine is running, from another thread; a bundle that is being written stays as it was."""
+        self.spark.sparkContext.cancelJobGroup(self.group)
 
     @classmethod
     def init(cls, spark: SparkSession, base_dir: str, force: bool = False, **settings) -> Engine:
@@ -68,7 +99,10 @@ class Engine:
     def embed(self, chunks: DataFrame) -> DataFrame:
         """chunk_id, vector; ids travel with the texts, so nothing is paired by position."""
         text = F.concat(F.lit(self.model.document_prefix), "content")
-        return chunks.select(F.col("id").alias("chunk_id"), hash_embedder(self.model.dimension, self.model.normalize)(text).alias("vector"))
+        return chunks.select(F.col("id").alias("chunk_id"), embedder(self.model, self.model_folder(self.model.mode))(text).alias("vector"))
+
+    def model_folder(self, mode: str) -> str:
+        return os.path.join(self.config.base_dir, "models", mode)
 
     def _hash(self) -> str:
         c = self.config.chunking
@@ -83,7 +117,8 @@ class Engine:
         docs = docs.persist()
         chunks = build_chunks(docs, self.config.chunking).persist()
         try:
-            return self._write(chunks, self.embed(chunks), m.records_by_file(docs, chunks))
+            with self.phase("index"):
+                return self._write(chunks, self.embed(chunks), m.records_by_file(docs, chunks))
         finally:
             chunks.unpersist()
             docs.unpersist()
@@ -113,7 +148,8 @@ class Engine:
             fresh = build_chunks(delta, self.config.chunking).persist()
             chunks = m.merge_rows(m.remove_chunks(self.bundle.chunks(), gone), fresh)
             vectors = m.merge_rows(m.remove_chunks(self.bundle.embeddings(), gone, "chunk_id"), self.embed(fresh), "chunk_id")
-            manifest = self._write(chunks, vectors, m.update_state(state, diff, m.records_by_file(delta, fresh)))
+            with self.phase("sync"):
+                manifest = self._write(chunks, vectors, m.update_state(state, diff, m.records_by_file(delta, fresh)))
             fresh.unpersist()
         for df in (docs, diff):
             df.unpersist()
@@ -123,6 +159,9 @@ class Engine:
 
     def query_vector(self, query: str) -> list[float]:
         model = MODELS[self.bundle.manifest()["model"]["mode"]]  # the bundle's, not the configuration's
+        folder = self.model_folder(model.mode)
+        if available(folder):
+            return embed_texts([model.query_prefix + query], model, folder)[0].tolist()
         return embed_text(model.query_prefix + query, model.dimension, model.normalize).tolist()
 
     def search(self, query: str, mode: str = "hybrid", limit: int = 10, source: str = "", language: str = "", kind: str = "", directory: str = "", documents: DataFrame | None = None, prefilter: bool = False) -> DataFrame:
@@ -138,8 +177,8 @@ class Engine:
             fetch = 5 * limit
         elif mode == "semantic":
             fetch = s.semantic_fetch(limit)
-            hits = s.vector_top_k(self._vectors(chunks if prefilter else None), self.query_vector(query), fetch)
-            found = F.broadcast(hits).join(chunks, F.col("chunk_id") == F.col("id")).select("chunk_id", "file_path", "rel_path", snippet(F.col("content")).alias("snippet"), F.col("score").cast("double").alias("score"), F.col("rank").alias("semantic_rank"), F.lit(-1).alias("exact_rank"), "source_name", "kind", "language", "title", "start_line", "end_line", "function_name", "section_level")
+            hits, few = s.held(s.vector_top_k(self._vectors(chunks if prefilter else None), self.query_vector(query), fetch))
+            found = (F.broadcast(hits) if few else hits).join(chunks, F.col("chunk_id") == F.col("id")).select("chunk_id", "file_path", "rel_path", snippet(F.col("content")).alias("snippet"), F.col("score").cast("double").alias("score"), F.col("rank").alias("semantic_rank"), F.lit(-1).alias("exact_rank"), "source_name", "kind", "language", "title", "start_line", "end_line", "function_name", "section_level")
         else:
             fetch = s.hybrid_fetch(limit)
             hits = s.vector_top_k(self._vectors(chunks if prefilter else None), self.query_vector(query), fetch)
@@ -162,39 +201,61 @@ class Engine:
         return lines.select(
             F.lit("").alias("chunk_id"), "file_path", "rel_path", snippet(F.col("line_text")).alias("snippet"), F.lit(1.0).alias("score"), F.lit(-1).alias("semantic_rank"), F.col("rank").alias("exact_rank"), "source_name", kind_of_path(F.col("file_path")).alias("kind"), language_of_path(F.col("file_path")).alias("language"),
             F.lit("").alias("title"), F.col("line_number").alias("start_line"), F.col("line_number").alias("end_line"), F.lit("").alias("function_name"), F.lit(0).cast("long").alias("section_level"),
+            F.transform("submatches", lambda x: F.struct((x["start"] - F.col("lead")).alias("start"), (x["end"] - F.col("lead")).alias("end"))).alias("matched_terms"),
         )
 
     def respond(self, query: str, mode: str = "hybrid", **how) -> dict:
         began = time.monotonic()
-        rows = self.search(query, mode, **how).collect()  # at most the limit
+        with self.phase(f"search ({mode})"):
+            rows = self.search(query, mode, **how).collect()  # at most the limit
         filters = {"source": how.get("source", ""), "language": how.get("language", ""), "kind": how.get("kind", ""), "dir": how.get("directory", "")}
-        results = [{"chunk_id": r["chunk_id"], "file_path": r["file_path"], "snippet": r["snippet"], "score": r["score"], "source_name": r["source_name"], "metadata": {"file_kind": r["kind"], **{k: r[k] for k in ("language", "title", "start_line", "end_line", "function_name", "section_level")}}} for r in rows]
+        results = [{"chunk_id": r["chunk_id"], "file_path": r["file_path"], "snippet": r["snippet"], "score": r["score"], "source_name": r["source_name"], "metadata": {"file_kind": r["kind"], **{k: r[k] for k in ("language", "title", "start_line", "end_line", "function_name", "section_level")}}, "matched_terms": _characters(r["snippet"], r["matched_terms"]) if mode == "exact" else []} for r in rows]
         return {"query": query, "mode": mode, "filters": filters, "results": results, "total": len(results), "elapsed_ms": round(1000 * (time.monotonic() - began))}
 
     # -- state ------------------------------------------------------------
 
-    def status(self) -> DataFrame:
+    def files_per_source(self) -> DataFrame:
         named = self.spark.createDataFrame([(x.name, x.enabled) for x in self.sources()], "name string, enabled boolean")
         return m.count_files_per_source(self.bundle.state(), named).orderBy("name")
 
-    def doctor(self) -> list[tuple[str, str, str]]:
-        """(check, ok or warn or fail, message)."""
-        out = []
+    def status(self) -> dict:
+        """Bundle, time of indexing, model, files of each source, totals, and whether there is any state."""
+        found = self.bundle.manifest()
+        when = found.get("indexed_at")
+        counts = {r["name"]: r["files"] for r in self.files_per_source().collect()}  # a row for each source
+        return {
+            "bundle": self.config.bundle, "indexed_at": datetime.fromisoformat(when).strftime("%Y-%m-%d %H:%M:%S") if when else "never", "mode": found["model"]["mode"], "model": found["model"]["name"],
+            "sources": [(x["name"], counts.get(x["name"], 0)) for x in found["sources"]], "files": found.get("file_count", 0), "chunks": found.get("chunk_count", 0), "embeddings": found.get("embedding_count", 0), "state": "indexed" if found.get("file_count") else "empty (run index)",
+        }
+
+    def doctor(self) -> list[tuple[str, str, str, str]]:
+        """(check, ok or warn or fail, message, hint)."""
+        out = [("spark", "ok", f"Spark {self.spark.version} on {self.spark.sparkContext.master}", "")]
+        runtime = importlib.util.find_spec("onnxruntime") is not None
+        out.append(("model runtime", "ok", "found", "") if runtime else ("model runtime", "warn", "not found; hashed words stand in", "install onnxruntime"))
+        for mode, model in MODELS.items():
+            folder = self.model_folder(mode)
+            out.append((f"model {mode}", "ok", f"{model.name}, {format_size(dir_size(folder))}", "") if available(folder) else (f"model {mode}", "warn", "no files; hashed words stand in", f"put {model.name} into {folder}"))
         try:
             self.config.validate()
-            out.append(("config", "ok", self.config.file))
+            out.append(("config", "ok", self.config.file, ""))
         except ConfigError as e:
-            out.append(("config", "fail", str(e)))
-        for x in self.sources():
+            out.append(("config", "fail", str(e), "mend the file, or init --force"))
+        enabled = [x for x in self.sources() if x.enabled]
+        if not enabled:
+            out.append(("sources", "warn", f"{len(self.config.sources)} configured, none enabled", "source add PATH --name NAME"))
+        for x in enabled:
             there = os.path.isdir(x.path)
-            out.append((f"source {x.name}", "ok" if there else "fail", x.path))
-        models = os.path.join(self.config.base_dir, "models")
-        for mode in MODELS:
-            there = os.path.isdir(os.path.join(models, mode))
-            out.append((f"model {mode}", "ok" if there else "warn", "found" if there else "no files; hashed words stand in"))
+            out.append((f"source {x.name}", "ok" if there else "warn", x.path, "" if there else "see that the path exists and can be read"))
         try:
             found = self.bundle.manifest()
-            out.append(("bundle", "ok" if found["data"] else "warn", f"{found.get('chunk_count', 0)} chunks"))
+            out.append(("bundle", "ok" if found["data"] else "warn", f"{found.get('chunk_count', 0)} chunks, {format_size(self.bundle.size())}", "" if found["data"] else "run index"))
         except FileNotFoundError as e:
-            out.append(("bundle", "fail", str(e)))
+            out.append(("bundle", "fail", str(e), "run init"))
         return out
+
+
+def _characters(text: str, terms: list | None) -> list[tuple[int, int]]:
+    """Ranges of bytes as ranges of characters, those that lie in the text."""
+    raw = text.encode()
+    return [(len(raw[: x["start"]].decode(errors="ignore")), len(raw[: x["end"]].decode(errors="ignore"))) for x in terms or [] if 0 <= x["start"] < x["end"] <= len(raw)]

@@ -27,13 +27,31 @@ def highlight(text: str, ranges: list[tuple[int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def clean(text: str) -> str:
-    text = re.sub(r"\s+", " ", text).strip()
-    return text if len(text) <= 180 else text[:177] + "..."
+def clean(text: str, ranges: list[tuple[int, int]] = []) -> tuple[str, list[tuple[int, int]]]:
+    """Text with white space as single blanks, cut to 180 characters, and the ranges as they then lie."""
+    out, to = "", []
+    for c in text:
+        to.append(len(out))
+        if not c.isspace():
+            out += c
+        elif out and not out.endswith(" "):
+            out += " "
+    to.append(len(out))
+    cut = out.rstrip(" ")
+    cut = cut if len(cut) <= 180 else cut[:177] + "..."
+    most = min(len(cut), 177 if len(out.rstrip(" ")) > 180 else len(cut))
+    return cut, [(to[low], min(to[high], most)) for low, high in ranges if 0 <= low < high < len(to) and to[low] < most]
 
 
 def as_json(response: dict) -> str:
-    return json.dumps(response, indent=2, ensure_ascii=False, default=str)
+    shown = response | {"results": [{k: v for k, v in r.items() if k != "matched_terms"} for r in response["results"]]}
+    return json.dumps(shown, indent=2, ensure_ascii=False, default=str)
+
+
+def quoted(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of a text as they lie in its quoted form."""
+    at = lambda n: len(json.dumps(text[:n], ensure_ascii=False)) - 1
+    return [(at(low), at(high)) for low, high in ranges]
 
 
 def as_text(response: dict) -> str:
@@ -42,15 +60,23 @@ def as_text(response: dict) -> str:
     lines = []
     for i, r in enumerate(response["results"], 1):
         m = r["metadata"]
-        lines += [f"{i}. {r['file_path']}", f"   {json.dumps(clean(r['snippet']), ensure_ascii=False)}", f"   score: {r['score']:.4f} | source: {r['source_name']} | lines: {m['start_line']}-{m['end_line']}"]
+        snippet, marked = clean(r["snippet"], r.get("matched_terms") or [])
+        lines += [f"{i}. {r['file_path']}", f"   {highlight(json.dumps(snippet, ensure_ascii=False), quoted(snippet, marked))}", f"   score: {r['score']:.4f} | source: {r['source_name']} | lines: {m['start_line']}-{m['end_line']}"]
         lines += [f"   title: {m['title']}"] if m["title"] else []
         lines.append("")
     return "\n".join(lines)
 
 
 def format_size(n: int) -> str:
-    for unit in ("B", "KB", "MB"):
-        if n < 1024:
-            return f"{n} {unit}" if unit == "B" else f"{n:.1f} {unit}"
-        n = n / 1024
-    return f"{n:.1f} GB"
+    """Whole bytes, kilobytes and megabytes; gigabytes to a tenth."""
+    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
+        if n < 1024 ** (power + 1) or unit == "GB":
+            return f"{n}B" if n < 1024 else f"{n / 1024**power:.{1 if unit == 'GB' else 0}f}{unit}"
+    raise AssertionError
+
+
+def status_text(status: dict) -> str:
+    lines = [f"Bundle: {status['bundle']}", f"Indexed: {status['indexed_at']}", f"Model: {status['mode']} ({status['model']})", f"Sources: {len(status['sources'])}"]
+    lines += [f"  {name:<20} {files} files" for name, files in status["sources"]]
+    lines += [f"Total: {status['files']} files, {status['chunks']} chunks, {status['embeddings']} embeddings", "", f"State: {status['state']}"]
+    return "\n".join(lines)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,22 +23,32 @@ EXTENSIONS = ("md", "markdown", "go", "rs", "tsx", "py", "java", "h", "zsh", "ym
 SOURCES = (("all", "/"), ("zero", "/src0"), ("zero deep", "/src0/en"), ("one", "/src1"), ("eleven", "/src11"))
 
 
-def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def work_dir(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share: below the checkpoint folder; a local one only where all run in one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
+    return f"{shared.rstrip('/')}/retrieval-{uuid.uuid4().hex}"
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table_documents(_read(spark, sf, "documents"))
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return table_documents(read(spark, sf, "documents"))
 
 
 def _markdown(spark: SparkSession, sf: str) -> DataFrame:
-    turns = _read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x"))
+    turns = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x"))
     body = F.array_join(F.transform("x", lambda r: F.concat(F.lit("## Turn "), r["turn"].cast("string"), F.lit(" "), r["role"], F.lit("\n"), F.coalesce(r["text"], F.lit("")), F.lit("\n"))), "")
     return table_documents(turns.select("conv_id", F.lit("talk").alias("source"), F.concat(F.lit("lost preamble\n"), body).alias("text")), key="conv_id", extension="md")
 
 
 def _code(spark: SparkSession, sf: str) -> DataFrame:
-    files = _read(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("x"))
+    files = read(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("x"))
     body = F.array_join(F.transform("x", lambda r: F.concat(F.lit("def fn_"), r["p_partkey"].cast("string"), F.lit("(x):\n    return '"), r["p_name"], F.lit("'\n"))), "")
     return table_documents(files.select(F.col("p_brand").alias("brand"), F.lit("parts").alias("source"), F.concat(F.lit("import os\n\n"), body).alias("text")), key="brand", extension="py")
 
@@ -44,7 +58,7 @@ def _chunked(docs: DataFrame, config: Chunking = Chunking()) -> DataFrame:
 
 
 def chunk_windows(spark, sf):
-    return _chunked(_docs(spark, sf)).drop("title", "section_level", "function_name", "kind")
+    return _chunked(documents(spark, sf)).drop("title", "section_level", "function_name", "kind")
 
 
 def chunk_headings(spark, sf):
@@ -64,12 +78,12 @@ def boundary_marks(spark, sf):
 
 
 def content_hashes(spark, sf):
-    return _docs(spark, sf).select("rel_path", t.content_hash(F.col("content")).alias("content_hash"), "byte_size")
+    return documents(spark, sf).select("rel_path", t.content_hash(F.col("content")).alias("content_hash"), "byte_size")
 
 
 def _extended(spark, sf):
     ext = F.get(F.array(*[F.lit(x) for x in EXTENSIONS]), (F.col("doc_id") % len(EXTENSIONS)).cast("int"))
-    return _read(spark, sf, "documents").select("doc_id", ext.alias("ext"), F.concat(F.lit("/a.b/f"), F.col("doc_id").cast("string"), F.when(ext == "", "").otherwise(F.concat(F.lit("."), F.upper(ext)))).alias("path"))
+    return read(spark, sf, "documents").select("doc_id", ext.alias("ext"), F.concat(F.lit("/a.b/f"), F.col("doc_id").cast("string"), F.when(ext == "", "").otherwise(F.concat(F.lit("."), F.upper(ext)))).alias("path"))
 
 
 def classify_kind(spark, sf):
@@ -81,41 +95,48 @@ def detect_language(spark, sf):
 
 
 def snippets(spark, sf):
-    return _read(spark, sf, "documents").select("doc_id", t.snippet(F.col("text")).alias("snippet"), t.clean_snippet(F.col("text")).alias("cleaned"))
+    return read(spark, sf, "documents").select("doc_id", t.snippet(F.col("text")).alias("snippet"), t.clean_snippet(F.col("text")).alias("cleaned"))
 
 
 def exact_lines(spark, sf):
-    return s.exact_lines(_docs(spark, sf), TERM, LIMIT).drop("submatches", "rel_path")
+    return s.exact_lines(documents(spark, sf), TERM, LIMIT).drop("submatches", "rel_path", "lead")
 
 
 def exact_cap_per_file(spark, sf):
-    return s.exact_lines(_docs(spark, sf), TERM, LIMIT, 2).select("file_path", "line_number", "rank")
+    return s.exact_lines(documents(spark, sf), TERM, LIMIT, 2).select("file_path", "line_number", "rank")
 
 
 def exact_submatches(spark, sf):
-    found = s.exact_lines(_docs(spark, sf), TERM, LIMIT).select("file_path", "line_number", F.posexplode("submatches").alias("n", "x"))
+    found = s.exact_lines(documents(spark, sf), TERM, LIMIT).select("file_path", "line_number", F.posexplode("submatches").alias("n", "x"))
     return found.select("file_path", "line_number", "n", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
 
 
 def longest_prefix_source(spark, sf):
-    files = _read(spark, sf, "documents").select(F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/doc_"), F.col("doc_id").cast("string")).alias("file_path"))
+    files = read(spark, sf, "documents").select(F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/doc_"), F.col("doc_id").cast("string")).alias("file_path"))
     return s.longest_prefix_source(files, spark.createDataFrame(SOURCES, "name string, path string"))
 
 
 def _lines(spark, sf):
-    return s.exact_lines(_docs(spark, sf), TERM, LIMIT)
+    return s.exact_lines(documents(spark, sf), TERM, LIMIT)
+
+
+def _chunks(spark, sf):
+    """Chunks of all documents as a bundle has them: built and written once, then read."""
+    path = f"{work_dir(spark)}/chunks"
+    build_chunks(documents(spark, sf)).drop("created_at").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def interval_join_chunks(spark, sf):
-    return s.match_to_chunk(_lines(spark, sf), build_chunks(_docs(spark, sf))).select("file_path", "line_number", "chunk_id")
+    return s.match_to_chunk(_lines(spark, sf), _chunks(spark, sf)).select("file_path", "line_number", "chunk_id")
 
 
 def _vectors(spark, sf):
-    return _read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
 def _query(spark, sf) -> list[float]:
-    return _read(spark, sf, "embeddings").filter("vec_id = 0").first()["embedding"]
+    return read(spark, sf, "embeddings").filter("vec_id = 0").first()["embedding"]
 
 
 def vector_cosine(spark, sf):
@@ -134,53 +155,58 @@ def l2_normalize(spark, sf):
 
 
 def tokenize(spark, sf):
-    each = _read(spark, sf, "documents").select("doc_id", v.tokenize(F.col("text")).alias("t")).filter(F.size("t") > 0)
+    each = read(spark, sf, "documents").select("doc_id", v.tokenize(F.col("text")).alias("t")).filter(F.size("t") > 0)
     return each.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.array_min("t").alias("least"), F.array_max("t").alias("greatest"))
 
 
 def hash_embed_tokens(spark, sf):
-    tokens = _read(spark, sf, "benchmark").select(F.explode(v.tokenize(F.col("text"))).alias("token")).distinct()
+    tokens = read(spark, sf, "benchmark").select(F.explode(v.tokenize(F.col("text"))).alias("token")).distinct()
     first, sign, second = v.token_slots(F.col("token"), 384)
     return tokens.select("token", first.cast("long").alias("slot"), sign.alias("sign"), second.cast("long").alias("second_slot"))
 
 
 def hash_embed(spark, sf):
-    texts = _read(spark, sf, "benchmark").select("item_id", v.hash_embedder(384, False)(F.col("text")).alias("e"))
+    texts = read(spark, sf, "benchmark").select("item_id", v.hash_embedder(384, False)(F.col("text")).alias("e"))
     return texts.select("item_id", F.posexplode("e").alias("slot", "x")).filter("x <> 0").select("item_id", F.col("slot").cast("long").alias("slot"), F.col("x").cast("double").alias("x"))
 
 
-def _semantic(spark, sf):
+def _semantic(spark, sf, chunks):
     """Hits whose ids are those of the first windows of the documents of the nearest vectors."""
     hits = s.vector_top_k(_vectors(spark, sf), _query(spark, sf), 100)
-    first = build_chunks(_docs(spark, sf)).groupBy("rel_path").agg(F.min_by("id", "chunk_index").alias("id"))
+    first = chunks.groupBy("rel_path").agg(F.min_by("id", "chunk_index").alias("id"))
     return hits.join(first, F.concat(F.lit("doc_"), F.col("chunk_id").cast("string"), F.lit(".txt")) == F.col("rel_path")).select(F.col("id").alias("chunk_id"), "rank")
 
 
+def _fused(spark, sf):
+    chunks = _chunks(spark, sf)
+    return s.rrf_fuse(_semantic(spark, sf, chunks), _lines(spark, sf), chunks)
+
+
 def rrf_fuse(spark, sf):
-    fused = s.rrf_fuse(_semantic(spark, sf), _lines(spark, sf), build_chunks(_docs(spark, sf)))
+    fused = _fused(spark, sf)
     return fused.select("chunk_id", F.round("score", 9).alias("score"), "semantic_rank", "exact_rank", "source_name", "start_line")
 
 
 def search_hybrid(spark, sf):
-    fused = s.rrf_fuse(_semantic(spark, sf), _lines(spark, sf), build_chunks(_docs(spark, sf)))
+    fused = _fused(spark, sf)
     fetched = s.filtered(fused, source="src0").orderBy(F.desc("score"), "chunk_id").limit(100)
     return s.filtered(fetched, kind="TEXT", directory="src0/").orderBy(F.desc("score"), "chunk_id").limit(10).select("chunk_id", F.round("score", 9).alias("score"))
 
 
 def search_exact(spark, sf):
-    lines = s.exact_lines(_docs(spark, sf).filter("source_name = 'src0'"), TERM, 50)
+    lines = s.exact_lines(documents(spark, sf).filter("source_name = 'src0'"), TERM, 50)
     return lines.withColumns({"kind": t.kind_of_path(F.col("file_path")), "snippet": t.snippet(F.col("line_text"))}).filter("kind = 'text'").orderBy("rank").limit(10).select("file_path", "line_number", "snippet", "kind")
 
 
 def search_semantic(spark, sf):
     hits = s.vector_top_k(_vectors(spark, sf), _query(spark, sf), s.semantic_fetch(10))
-    docs = _read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_name"), F.col("lang").alias("language"), F.lit("text").alias("kind"), F.lit("").alias("file_path"))
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_name"), F.col("lang").alias("language"), F.lit("text").alias("kind"), F.lit("").alias("file_path"))
     found = F.broadcast(hits).join(docs, "chunk_id")
     return s.filtered(found, language="FR, en", kind="Text").orderBy("rank").limit(10).select("chunk_id", "rank", "language")
 
 
 def filters(spark, sf):
-    docs = _docs(spark, sf).join(_read(spark, sf, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel_path"), F.col("lang").alias("language")), "rel_path").withColumnRenamed("abs_path", "file_path").withColumn("kind", F.lit("text"))
+    docs = documents(spark, sf).join(read(spark, sf, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel_path"), F.col("lang").alias("language")), "rel_path").withColumnRenamed("abs_path", "file_path").withColumn("kind", F.lit("text"))
     named = {"language": {"language": "EN, de"}, "kind": {"kind": "TEXT"}, "dir": {"directory": "src1/"}, "source": {"source": "src2"}}
     out = None
     for name, how in named.items():
@@ -189,47 +215,47 @@ def filters(spark, sf):
     return out
 
 
-def _before(spark, sf):
+def before(spark, sf):
     """An earlier state: some documents not there yet, some with another text, some of those with another time, some since gone."""
-    old = _docs(spark, sf).withColumn("content_hash", t.content_hash(F.col("content"))).withColumn("id", F.regexp_extract("rel_path", r"(\d+)", 1).cast("long"))
+    old = documents(spark, sf).withColumn("content_hash", t.content_hash(F.col("content"))).withColumn("id", F.regexp_extract("rel_path", r"(\d+)", 1).cast("long"))
     d = F.col("id") % 10
     kept = old.filter(d != 0).withColumns({"content_hash": F.when(d.isin(1, 2), F.lit("x")).otherwise(F.col("content_hash")), "modified_at": F.when(d.isin(2, 3), F.col("modified_at") - F.expr("interval 1 day")).otherwise(F.col("modified_at"))})
     gone = old.filter(d == 4).withColumn("rel_path", F.concat(F.lit("gone_"), "rel_path"))
     return kept.unionByName(gone).withColumn("chunk_ids", F.array(F.concat(F.lit("c_"), "rel_path"), F.concat(F.lit("d_"), "rel_path"))).select(*m.KEY, "content_hash", "modified_at", "byte_size", "chunk_ids")
 
 
-def _now(spark, sf):
-    return _docs(spark, sf).withColumn("content_hash", t.content_hash(F.col("content")))
+def now(spark, sf):
+    return documents(spark, sf).withColumn("content_hash", t.content_hash(F.col("content")))
 
 
 def sync_diff(spark, sf):
-    return m.state_diff(_now(spark, sf), _before(spark, sf))
+    return m.state_diff(now(spark, sf), before(spark, sf))
 
 
 def sync_remove(spark, sf):
-    state = _before(spark, sf)
-    diff = m.state_diff(_now(spark, sf), state)
+    state = before(spark, sf)
+    diff = m.state_diff(now(spark, sf), state)
     rows = state.select("rel_path", F.explode("chunk_ids").alias("id"))
     return m.remove_chunks(rows, m.expand_state_ids(state, diff.filter(F.col("status").isin("changed", "deleted")))).select("rel_path", "id")
 
 
 def sync_merge(spark, sf):
-    old = _before(spark, sf).select("rel_path", F.explode("chunk_ids").alias("id"), F.lit("old").alias("made"))
-    new = m.files_to_process(_now(spark, sf), m.state_diff(_now(spark, sf), _before(spark, sf))).select("rel_path", F.concat(F.lit("c_"), "rel_path").alias("id"), F.lit("new").alias("made"))
+    old = before(spark, sf).select("rel_path", F.explode("chunk_ids").alias("id"), F.lit("old").alias("made"))
+    new = m.files_to_process(now(spark, sf), m.state_diff(now(spark, sf), before(spark, sf))).select("rel_path", F.concat(F.lit("c_"), "rel_path").alias("id"), F.lit("new").alias("made"))
     return m.merge_rows(old, new).select("rel_path", "id", "made")
 
 
 def sync_state(spark, sf):
-    state, now = _before(spark, sf), _now(spark, sf)
-    diff = m.state_diff(now, state)
-    chunks = m.files_to_process(now, diff).select(*m.KEY, F.lit(0).alias("chunk_index"), F.concat(F.lit("n_"), "rel_path").alias("id"))
-    fresh = m.records_by_file(m.files_to_process(now, diff), chunks)
+    state, docs = before(spark, sf), now(spark, sf)
+    diff = m.state_diff(docs, state)
+    chunks = m.files_to_process(docs, diff).select(*m.KEY, F.lit(0).alias("chunk_index"), F.concat(F.lit("n_"), "rel_path").alias("id"))
+    fresh = m.records_by_file(m.files_to_process(docs, diff), chunks)
     return m.update_state(state, diff, fresh).select(*m.KEY, "content_hash", F.date_format("modified_at", "yyyy-MM-dd").alias("day"), F.concat_ws(",", "chunk_ids").alias("chunk_ids"))
 
 
 def status_counts(spark, sf):
     sources = spark.createDataFrame([("src0", True), ("src1", False), ("none", True)], "name string, enabled boolean")
-    return m.count_files_per_source(_before(spark, sf), sources)
+    return m.count_files_per_source(before(spark, sf), sources)
 
 
 QUERIES = {f.__name__: f for f in (chunk_windows, chunk_headings, chunk_code, heading_marks, boundary_marks, content_hashes, classify_kind, detect_language, snippets, exact_lines, exact_cap_per_file, exact_submatches, longest_prefix_source, interval_join_chunks, vector_cosine, vector_top_k, l2_normalize, tokenize, hash_embed_tokens, hash_embed, rrf_fuse, search_hybrid, search_exact, search_semantic, filters, sync_diff, sync_remove, sync_merge, sync_state, status_counts)}
@@ -251,7 +277,7 @@ BOUNDS = r"""marks AS (SELECT rel_path, CAST(pos AS INTEGER) AS "offset", regexp
     FROM trimmed WHERE regexp_matches(t, '^(?:async\s+)?def\s+(\w+)\s*\([^)]*\)\s*:'))"""
 
 
-def _chunk_sql(sections: str, c: Chunking) -> str:
+def chunk_sql(sections: str, c: Chunking) -> str:
     """Windows of ``sections`` (rel_path, s, e, name, level), then trimming, dropping, lines and ids."""
     step = c.max_chars - c.overlap_chars
     return rf"""sections AS ({sections}),
@@ -267,22 +293,22 @@ def _chunk_sql(sections: str, c: Chunking) -> str:
 _WHOLE = "SELECT rel_path, 0 AS s, length(content) AS e, '' AS name, 0 AS level FROM docs"
 _MARKED = """SELECT rel_path, "offset" AS s, coalesce(lead("offset") OVER (PARTITION BY rel_path ORDER BY "offset"), length(content)) AS e, name, level FROM marks JOIN docs USING (rel_path)"""
 _LEAD = """ UNION ALL SELECT rel_path, 0, min("offset"), '', 0 FROM marks GROUP BY rel_path"""
-TEXT_CHUNKS = f"WITH {DOCS}, {_chunk_sql(_WHOLE, Chunking())}"
+TEXT_CHUNKS = f"WITH {DOCS}, {chunk_sql(_WHOLE, Chunking())}"
 EXACT = f"""found AS (SELECT file_path, rel_path, source_name, CAST(n AS BIGINT) AS line_number, line FROM (SELECT file_path, rel_path, source_name, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM docs)
     WHERE regexp_matches(line, '(?i){TERM}')),
   capped AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line_number) AS k FROM found)"""
 
 
-def _exact(cap: int = s.LINES_PER_FILE, limit: int = LIMIT, where: str = "true") -> str:
+def exact_sql(cap: int = s.LINES_PER_FILE, limit: int = LIMIT, where: str = "true") -> str:
     return f"""{EXACT}, hits AS (SELECT file_path, rel_path, source_name, line_number, line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line_text, CAST(row_number() OVER (ORDER BY file_path, line_number) - 1 AS INTEGER) AS rank
     FROM (SELECT * FROM capped WHERE k <= {cap} AND {where} ORDER BY file_path, line_number LIMIT {limit}))"""
 
 
 _COSINE = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
-_HITS = f"""near AS (SELECT e.vec_id, CAST(row_number() OVER (ORDER BY CAST({_COSINE} AS FLOAT) DESC, e.vec_id) - 1 AS INTEGER) AS rank, CAST({_COSINE} AS FLOAT) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"""
+HITS = f"""near AS (SELECT e.vec_id, CAST(row_number() OVER (ORDER BY CAST({_COSINE} AS FLOAT) DESC, e.vec_id) - 1 AS INTEGER) AS rank, CAST({_COSINE} AS FLOAT) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"""
 MATCHED = """matched AS (SELECT h.file_path, h.line_number, arg_min(c.id, {'w': c.end_line - c.start_line, 's': c.start_line, 'i': c.chunk_index, 'id': c.id}) AS chunk_id
     FROM hits h LEFT JOIN chunks c ON c.rel_path = h.rel_path AND c.source_name = h.source_name AND h.line_number BETWEEN c.start_line AND c.end_line GROUP BY ALL)"""
-FUSED = f"""{_HITS}, sem AS (SELECT c.id AS chunk_id, n.rank FROM near n JOIN (SELECT rel_path, arg_min(id, chunk_index) AS id FROM chunks GROUP BY rel_path) c ON c.rel_path = 'doc_' || n.vec_id || '.txt' WHERE n.rank < 100),
+FUSED = f"""{HITS}, sem AS (SELECT c.id AS chunk_id, n.rank FROM near n JOIN (SELECT rel_path, arg_min(id, chunk_index) AS id FROM chunks GROUP BY rel_path) c ON c.rel_path = 'doc_' || n.vec_id || '.txt' WHERE n.rank < 100),
   parts AS (SELECT chunk_id AS id, 1.0::DOUBLE / (61 + rank) AS part, rank AS s, -1 AS x FROM sem
     UNION ALL SELECT m.chunk_id, 1.0::DOUBLE / (61 + h.rank), -1, h.rank FROM hits h JOIN matched m USING (file_path, line_number) WHERE m.chunk_id IS NOT NULL),
   fused AS (SELECT id AS chunk_id, sum(part) AS score, max(p.s) AS semantic_rank, max(p.x) AS exact_rank, any_value(c.source_name) AS source_name, any_value(c.start_line) AS start_line FROM parts p JOIN chunks c USING (id) GROUP BY id
@@ -299,24 +325,24 @@ _EXT = f"WITH x AS (SELECT doc_id, [{', '.join(repr(e) for e in EXTENSIONS)}][do
 
 ORACLE_SQL = {
     "chunk_windows": f"{TEXT_CHUNKS} SELECT id, rel_path, chunk_index, content, start_line, end_line FROM chunks",
-    "chunk_headings": f"WITH {MARKDOWN}, {LINES}, {HEADS}, {_chunk_sql(_MARKED, SMALL)}, firsts AS (SELECT rel_path, arg_min(name, \"offset\") AS first FROM marks GROUP BY rel_path) SELECT id, rel_path, chunk_index, content, start_line, end_line, CASE WHEN name <> '' THEN name ELSE first END AS title, CAST(level AS BIGINT) AS section_level, 'markdown' AS kind FROM chunks JOIN firsts USING (rel_path)",
-    "chunk_code": f"WITH {CODE}, {LINES}, {BOUNDS}, {_chunk_sql(_MARKED + _LEAD, SMALL)} SELECT id, rel_path, chunk_index, content, start_line, end_line, name AS function_name, 'code' AS kind FROM chunks",
+    "chunk_headings": f"WITH {MARKDOWN}, {LINES}, {HEADS}, {chunk_sql(_MARKED, SMALL)}, firsts AS (SELECT rel_path, arg_min(name, \"offset\") AS first FROM marks GROUP BY rel_path) SELECT id, rel_path, chunk_index, content, start_line, end_line, CASE WHEN name <> '' THEN name ELSE first END AS title, CAST(level AS BIGINT) AS section_level, 'markdown' AS kind FROM chunks JOIN firsts USING (rel_path)",
+    "chunk_code": f"WITH {CODE}, {LINES}, {BOUNDS}, {chunk_sql(_MARKED + _LEAD, SMALL)} SELECT id, rel_path, chunk_index, content, start_line, end_line, name AS function_name, 'code' AS kind FROM chunks",
     "heading_marks": f'WITH {MARKDOWN}, {LINES}, {HEADS} SELECT rel_path, "offset", name, level FROM marks',
     "boundary_marks": f'WITH {CODE}, {LINES}, {BOUNDS} SELECT rel_path, "offset", name FROM marks',
     "content_hashes": f"WITH {DOCS} SELECT rel_path, sha1(content) AS content_hash, CAST(strlen(content) AS BIGINT) AS byte_size FROM docs",
     "classify_kind": f"{_EXT} SELECT doc_id, {_KIND.format('ext')} AS kind, {_KIND.format('path_ext')} AS path_kind, ext FROM y",
     "detect_language": f"{_EXT} SELECT doc_id, {_LANG.format('ext', '')} AS language, {_LANG.format('path_ext', chr(32) + 'WHEN ' + repr('markdown') + ' THEN ' + repr('markdown'))} AS path_language FROM y",
     "snippets": r"SELECT doc_id, CASE WHEN length(text) > 220 THEN left(text, 217) || '...' ELSE text END AS snippet, CASE WHEN length(c) > 180 THEN left(c, 177) || '...' ELSE c END AS cleaned FROM (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents)",
-    "exact_lines": f"WITH {DOCS}, {_exact()} SELECT file_path, source_name, line_number, line_text, rank FROM hits",
-    "exact_cap_per_file": f"WITH {DOCS}, {_exact(2)} SELECT file_path, line_number, rank FROM hits",
-    "exact_submatches": f"""WITH {DOCS}, {_exact()}, pieces AS (SELECT file_path, line_number, string_split(lower(line), '{TERM}') AS p FROM hits)
+    "exact_lines": f"WITH {DOCS}, {exact_sql()} SELECT file_path, source_name, line_number, line_text, rank FROM hits",
+    "exact_cap_per_file": f"WITH {DOCS}, {exact_sql(2)} SELECT file_path, line_number, rank FROM hits",
+    "exact_submatches": f"""WITH {DOCS}, {exact_sql()}, pieces AS (SELECT file_path, line_number, string_split(lower(line), '{TERM}') AS p FROM hits)
         SELECT file_path, line_number, CAST(n AS INTEGER) AS n, CAST(list_sum(list_transform(p[1:n + 1], lambda x: strlen(x))) + n * {len(TERM)} AS INTEGER) AS start, CAST(list_sum(list_transform(p[1:n + 1], lambda x: strlen(x))) + (n + 1) * {len(TERM)} AS INTEGER) AS "end"
         FROM (SELECT *, unnest(range(0, len(p) - 1)) AS n FROM pieces)""",
     "longest_prefix_source": f"""WITH s(name, path) AS (VALUES {', '.join(f"('{n}', '{p.rstrip('/')}')" for n, p in SOURCES)}), f AS (SELECT '/' || source || '/' || lang || '/doc_' || doc_id AS file_path FROM documents)
         SELECT file_path, coalesce(arg_max(name, length(path)), '') AS source_name, substring(file_path, coalesce(max(length(path)), -2) + 2) AS rel_path FROM f LEFT JOIN s ON starts_with(file_path, path || '/') GROUP BY file_path""",
-    "interval_join_chunks": f"{TEXT_CHUNKS}, {_exact()}, {MATCHED} SELECT file_path, line_number, chunk_id FROM matched",
+    "interval_join_chunks": f"{TEXT_CHUNKS}, {exact_sql()}, {MATCHED} SELECT file_path, line_number, chunk_id FROM matched",
     "vector_cosine": f"SELECT e.vec_id AS chunk_id, round({_COSINE}::FLOAT::DOUBLE, 5) AS score, round(list_cosine_similarity(CAST(e.embedding[1:32] AS DOUBLE[]), CAST(q.embedding[1:32] AS DOUBLE[]))::FLOAT::DOUBLE, 5) AS half_score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q",
-    "vector_top_k": f"WITH {_HITS} SELECT vec_id AS chunk_id, round(score::DOUBLE, 5) AS score, rank FROM near WHERE rank < 50",
+    "vector_top_k": f"WITH {HITS} SELECT vec_id AS chunk_id, round(score::DOUBLE, 5) AS score, rank FROM near WHERE rank < 50",
     "l2_normalize": "SELECT chunk_id, CAST(i AS INTEGER) AS slot, round((e[i + 1] / sqrt(list_inner_product(e, e)))::FLOAT::DOUBLE, 5) AS x FROM (SELECT chunk_id, e, unnest(range(0, len(e))) AS i FROM (SELECT vec_id AS chunk_id, list_transform(embedding, lambda x: CAST(CAST(x * 3 AS FLOAT) AS DOUBLE)) AS e FROM embeddings))",
     "tokenize": r"SELECT doc_id, count(*) AS n_tokens, count(DISTINCT token) AS n_distinct, min(token) AS least, max(token) AS greatest FROM (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\pL\pN_]+')) AS token FROM documents) GROUP BY doc_id",
     "hash_embed_tokens": rf"WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(strip_accents(text)), '[\pL\pN_]+')) AS token FROM benchmark), h AS (SELECT token, {FNV} AS h FROM t) SELECT token, CAST(h % 384 AS BIGINT) AS slot, CASE WHEN (h // 256) % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign, CAST((h // 65536) % 384 AS BIGINT) AS second_slot FROM h",
@@ -325,10 +351,10 @@ ORACLE_SQL = {
         h AS (SELECT item_id, weight, {FNV} AS h FROM t),
         p AS (SELECT item_id, h % 384 AS slot, CASE WHEN (h // 256) % 2 = 1 THEN weight ELSE -weight END AS x FROM h UNION ALL SELECT item_id, (h // 65536) % 384, 0.5 * weight FROM h)
         SELECT item_id, CAST(slot AS BIGINT) AS slot, sum(x) AS x FROM p GROUP BY item_id, slot HAVING sum(x) <> 0""",
-    "rrf_fuse": f"{TEXT_CHUNKS}, {_exact()}, {MATCHED}, {FUSED} SELECT chunk_id, round(score, 9) AS score, semantic_rank, exact_rank, source_name, start_line FROM fused",
-    "search_hybrid": f"{TEXT_CHUNKS}, {_exact()}, {MATCHED}, {FUSED}, fetched AS (SELECT * FROM fused WHERE source_name = 'src0' ORDER BY score DESC, chunk_id LIMIT 100) SELECT chunk_id, round(score, 9) AS score FROM fetched WHERE NOT starts_with(chunk_id, 'exact:') ORDER BY fetched.score DESC, chunk_id LIMIT 10",
-    "search_exact": f"WITH {DOCS}, {_exact(limit=50, where=chr(39).join(['source_name = ', 'src0', '']))} SELECT file_path, line_number, CASE WHEN length(line_text) > 220 THEN left(line_text, 217) || '...' ELSE line_text END AS snippet, 'text' AS kind FROM hits ORDER BY rank LIMIT 10",
-    "search_semantic": f"WITH {_HITS} SELECT vec_id AS chunk_id, rank, lang AS language FROM near JOIN documents ON doc_id = vec_id WHERE rank < 50 AND lang IN ('fr', 'en') ORDER BY rank LIMIT 10",
+    "rrf_fuse": f"{TEXT_CHUNKS}, {exact_sql()}, {MATCHED}, {FUSED} SELECT chunk_id, round(score, 9) AS score, semantic_rank, exact_rank, source_name, start_line FROM fused",
+    "search_hybrid": f"{TEXT_CHUNKS}, {exact_sql()}, {MATCHED}, {FUSED}, fetched AS (SELECT * FROM fused WHERE source_name = 'src0' ORDER BY score DESC, chunk_id LIMIT 100) SELECT chunk_id, round(score, 9) AS score FROM fetched WHERE NOT starts_with(chunk_id, 'exact:') ORDER BY fetched.score DESC, chunk_id LIMIT 10",
+    "search_exact": f"WITH {DOCS}, {exact_sql(limit=50, where=chr(39).join(['source_name = ', 'src0', '']))} SELECT file_path, line_number, CASE WHEN length(line_text) > 220 THEN left(line_text, 217) || '...' ELSE line_text END AS snippet, 'text' AS kind FROM hits ORDER BY rank LIMIT 10",
+    "search_semantic": f"WITH {HITS} SELECT vec_id AS chunk_id, rank, lang AS language FROM near JOIN documents ON doc_id = vec_id WHERE rank < 50 AND lang IN ('fr', 'en') ORDER BY rank LIMIT 10",
     "filters": f"WITH {DOCS} SELECT 'language' AS filter, file_path FROM docs JOIN documents ON doc_id = id WHERE lang IN ('en', 'de') UNION ALL SELECT 'kind', file_path FROM docs UNION ALL SELECT 'dir', file_path FROM docs WHERE contains(file_path, 'src1/') UNION ALL SELECT 'source', file_path FROM docs WHERE source_name = 'src2'",
     "sync_diff": f"{STATE} SELECT * FROM diff",
     "sync_remove": f"{STATE} SELECT rel_path, unnest(['c_' || rel_path, 'd_' || rel_path]) AS id FROM state JOIN diff USING (source_name, rel_path) WHERE status = 'unchanged'",

@@ -1,13 +1,13 @@
 """A bundle: chunks, embeddings and state as Parquet in numbered versions, and a manifest that names the current one.
 
 A write makes a new version and then replaces the manifest, so readers see all of it or none.
+The version before stays, for readers whose plans still name it.  Tables and manifest go
+through the same file system, that of the bundle's path.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 from dataclasses import asdict
 from datetime import datetime, timezone
 
@@ -33,23 +33,45 @@ class ModelMismatch(ValueError):
 class Bundle:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._conf = spark._jsc.hadoopConfiguration()
+
+    def _place(self, name: str):
+        return self._hadoop.Path(f"{self.path}/{name}")
+
+    @property
+    def _files(self):
+        return self._place("").getFileSystem(self._conf)
 
     def initialize(self, model: Model) -> None:
-        os.makedirs(self.path, exist_ok=True)
-        if not os.path.exists(f"{self.path}/manifest.json"):
+        if not self.exists():
             self._save({"version": "0.1.0", "data": "", "model": asdict(model), "chunking_hash": "", "sources": []})
 
+    def exists(self) -> bool:
+        return self._files.exists(self._place("manifest.json"))
+
     def manifest(self) -> dict:
+        if not self.exists():
+            raise IndexNotFound(f"no index in {self.path}")
+        stream = self._files.open(self._place("manifest.json"))
         try:
-            with open(f"{self.path}/manifest.json", encoding="utf-8") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            raise IndexNotFound(f"no index in {self.path}") from None
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
     def _save(self, manifest: dict) -> None:
-        with open(f"{self.path}/manifest.json.new", "w", encoding="utf-8") as f:
-            json.dump(manifest, f, indent=2)
-        os.replace(f"{self.path}/manifest.json.new", f"{self.path}/manifest.json")
+        fresh, place = self._place("manifest.json.new"), self._place("manifest.json")
+        stream = self._files.create(fresh, True)
+        stream.write(bytearray(json.dumps(manifest, indent=2).encode()))
+        stream.close()
+        rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = rename
+        self._hadoop.FileContext.getFileContext(place.toUri() if place.isAbsolute() and place.toUri().getScheme() else self._files.getUri(), self._conf).rename(fresh, place, options)
+
+    def size(self) -> int:
+        """Bytes of the bundle's files."""
+        return self._files.getContentSummary(self._place("")).getLength()
 
     def _read(self, name: str, schema: str) -> DataFrame:
         data = self.manifest()["data"]
@@ -72,7 +94,7 @@ class Bundle:
             return self.spark.createDataFrame([], STATE)
 
     def write(self, chunks: DataFrame, embeddings: DataFrame, state: DataFrame, model: Model, chunking_hash: str, sources: list[dict]) -> dict:
-        old = self.manifest()["data"] if os.path.exists(f"{self.path}/manifest.json") else ""
+        old = self.manifest()["data"] if self.exists() else ""
         data = f"v{int(old[1:] or 0) + 1 if old else 1:06d}"
         for name, df, by in (("chunks", chunks, "source_name"), ("embeddings", embeddings, None), ("state", state, None)):
             writer = df.write.mode("overwrite")
@@ -80,6 +102,8 @@ class Bundle:
         counts = {n: self.spark.read.parquet(f"{self.path}/{data}/{n}").count() for n in ("chunks", "embeddings", "state")}
         manifest = {"version": "0.2.0", "data": data, "model": asdict(model), "chunking_hash": chunking_hash, "indexed_at": datetime.now(timezone.utc).isoformat(), "sources": sources, "chunk_count": counts["chunks"], "embedding_count": counts["embeddings"], "file_count": counts["state"], "source_count": len(sources)}
         self._save(manifest)
-        if old:
-            shutil.rmtree(f"{self.path}/{old}", ignore_errors=True)
+        for x in self._files.listStatus(self._place("")):
+            name = x.getPath().getName()
+            if x.isDirectory() and name.startswith("v") and name < data and name != old:
+                self._files.delete(x.getPath(), True)
         return manifest

@@ -2,7 +2,8 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
-from gleaner.plans.queries import ORACLE_SQL, QUERIES
+
+QUERIES, ORACLE_SQL = entry.QUERIES, entry.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")

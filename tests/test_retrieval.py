@@ -78,7 +78,7 @@ def test_known_hashes(spark):
     row = spark.range(1).select(t.content_hash(F.lit("Test content")).alias("h"), t.chunk_id(F.lit("src"), F.lit("a.md"), F.lit(0), t.content_hash(F.lit("Test content"))).alias("i")).first()
     assert row["h"] == "bca20547e94049e1ffea27223581c567022a5774" and row["i"] == "734f719a678ef67e87e35330e7660b35709a3d8d"
     assert t.chunking_hash(2200, 300, 400, True) == "fab058534b5f30a9a69259c66e5dca8e3ac23d1f"
-    assert v.fnv1a("hello_world") == 3306612346356305768
+    assert v.fnv1a(["hello_world", "", "hello"]).tolist() == [3306612346356305768, v.BASIS, 11831194018420276491]
 
 
 @pytest.mark.parametrize("word, want", [("café", "cafe"), ("naïve", "naive"), ("résumé", "resume"), ("Zürich", "zurich"), ("Ångström señor", "angstrom senor"), ("", "")])
@@ -177,7 +177,7 @@ def test_engine_round(spark, tmp_path):
     cols = ["id", "content", "start_line", "end_line", "function_name"]
     assert sorted(map(tuple, engine.bundle.chunks().select(cols).collect())) == sorted(map(tuple, rebuilt.bundle.chunks().select(cols).collect()))
     assert engine.bundle.embeddings().count() == engine.bundle.chunks().count()
-    assert engine.status().first()["files"] == 2 and ("bundle", "ok") in [x[:2] for x in engine.doctor()]
+    assert engine.files_per_source().first()["files"] == 2 and engine.status()["sources"] == [("notes", 2)] and ("bundle", "ok") in [x[:2] for x in engine.doctor()]
 
 
 def test_config_is_validated(tmp_path):
