@@ -28,8 +28,8 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import free_name, freed, small_batches, staged
-from .textnp import mixed, prefix_hashes, span_hashes
+from .textnp import mixed, prefix_hashes, run_hashes, span_hashes
 
 LENGTH = 200
 GRAM = 32
@@ -56,19 +56,17 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
     (in the text), number of strings, hash of the anchor, digest of the context."""
     found = []
     window = length - gram + 1
+    whole = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+    left = np.repeat(at[1:], np.diff(at)) - np.arange(len(data))  # bytes from here to the text's end
     for low in range(0, max(1, len(data)), SEGMENT):
         part = data[low : low + SEGMENT + length - 1]
         n = len(part) - length + 1
         if n <= 0:
             break
-        prefix = prefix_hashes(part)
-        grams = mixed(span_hashes(prefix, np.arange(len(part) - gram + 1), np.arange(gram, len(part) + 1)))
+        grams = mixed(run_hashes(part, gram))
         key = (grams & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(grams), dtype=np.uint64)
-        least = sliding_least(key, window)[:n]
-        chosen = (least & np.uint64(0xFFFFFF)).astype(np.int64)
-        starts = np.arange(low, low + n)
-        text = np.searchsorted(at, starts, "right") - 1
-        valid = at[text + 1] - starts >= length
+        chosen = (sliding_least(key, window)[:n] & np.uint64(0xFFFFFF)).astype(np.int32)
+        text, valid = whole[low : low + n], left[low : low + n] >= length
         change = np.ones(n, bool)
         change[1:] = (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1]) | ~valid[:-1]
         first = np.flatnonzero(change & valid)
@@ -78,18 +76,19 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
         after = np.searchsorted(breaks, first, "right")
         last = np.where(after < len(breaks), breaks[np.minimum(after, len(breaks) - 1)], n)
         place = chosen[first]
-        owner, raw = text[first], part.tobytes()
-        # bytes of a context and the anchor's place in it
-        context = [digest(raw[x:y], z) for x, y, z in zip(first.tolist(), (last + length - 1).tolist(), (place - first).tolist())]
+        owner, raw = text[first].astype(np.int64), part.tobytes()
+        place = place.astype(np.int64)
+        # the bytes of a context give the anchor's place in it
+        context = [sha256(raw[x:y]).digest()[:16] for x, y in zip(first.tolist(), (last + length - 1).tolist())]
         found.append((owner, place + low - at[owner], first + low - at[owner], last - first, grams[place], np.frombuffer(b"".join(context), "V16")))
     if not found:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, "V16"))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def digest(data: bytes, offset: int, key: int = 0) -> bytes:
+def digest(data: bytes, offset: int, key: int) -> bytes:
     """What names equal bytes at equal offsets from equal keys: 128 bits of SHA-256."""
-    return hashlib.sha256(b"%d,%d;%b" % (key, offset, data)).digest()[:16]
+    return sha256(b"%d,%d;%b" % (key, offset, data)).digest()[:16]
 
 
 def sliding_least(key: np.ndarray, window: int) -> np.ndarray:
@@ -376,11 +375,13 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     copied = found.join(contexts.filter("copies > 1").select("anchor", "context"), ["anchor", "context"])
     spans = [copied.select("row", F.col("place").alias("start"), (F.col("place") + F.col("n") + (length - 1)).alias("end"))]
 
+    made: list[DataFrame] = []
     common = number.filter(F.col("contexts") > LIMIT).select(F.col("anchor").alias("key"))
     if common.isEmpty():
         few = part
     else:
         part = staged(part, "suffix-parts")
+        made.append(part)
         few = part.join(common, "key", "left_anti").select(*columns)
         width = 1 << (max(1, (length - gram + 1) // 5).bit_length() - 1)
         while True:
@@ -393,6 +394,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             sizes = part.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
             few = few.unionByName(part.join(sizes.filter((F.col("size") > 1) & (F.col("size") <= LIMIT)).select("key"), "key").select(*columns))
             common = staged(sizes.filter(F.col("size") > LIMIT).select("key"), "suffix-common")
+            made += [stretch, same, common]
             if width == 1 or common.isEmpty():  # the strings of a key of single ones are equal
                 break
             width //= 2
@@ -400,7 +402,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     all_spans = spans[0]
     for more in spans[1:]:
         all_spans = all_spans.unionByName(more)
-    return all_spans.distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    out = staged(all_spans.distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "suffix-spans")
+    freed(found, contexts, number, *made)
+    return out
 
 
 def numbered(docs: DataFrame, text: str, carry: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
@@ -442,7 +446,7 @@ def _removed(docs: DataFrame, text: str, carry: tuple[str, ...], with_text: bool
                     at = high
                 pieces.append(data[at:])
                 left = b"".join(pieces)
-                for column, v in zip(out, (len(data), len(data) - len(left), len(removed), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore"))):
+                for column, v in zip(out, (len(data), len(data) - len(left), len(removed), sha256(left).hexdigest(), left.decode("utf-8", "ignore"))):
                     column.append(v)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*[b[n] for n in names], *[pa.array(x, t) for x, t in zip(out, types)]], [*names, *[f.name for f in made]])
