@@ -12,6 +12,9 @@ k is the number of documents whose weight reaches what all but a LOSS of the hel
 documents reach.  The k-th largest value is found exactly, by histograms of bounded size that
 narrow it down, never by a sort.
 
+The target model is fitted on a sample of at most about LABELLED good documents; the raw model,
+weights, level and draws are over all documents.
+
 Defined results: a null or empty text has weight 0; repeated rows have equal weights and equal
 noise; rows that tie at the k-th value all stay; null ids are ids, and never labelled; if no
 label is good, all weights are 0 and everything is kept; an empty table gives an empty result;
@@ -26,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from .common import small_batches, staged
 from .textnp import flat, runs_hash, word_hashes, words
@@ -35,12 +38,12 @@ BUCKETS = 1 << 18
 #: A task's histogram is merged in so many slices.
 SLICES = 64
 #: Occurrences by which a bucket's target count is drawn towards what the raw model expects.  This and the next two
-#: were set on one half of the labels of a table of 10,000 documents and judged on the other.
+#: were chosen by their results on held-out labels of one table of 10,000 documents.
 PRIOR = 10.0
 TEMPERATURE = 0.2
 LOSS = 0.003
-#: About so many ids of good documents are broadcast at once; if there are more, their parts by hash take turns.
-LABELLED = 200_000
+#: About so many good documents, a sample by hash if there are more, fit the target model; their ids are broadcast.
+LABELLED = 20_000
 #: One in so many good documents, by hash, sets the level instead of training the target model.
 HELD_OUT = 4
 #: Cells of a histogram that finds the k-th largest value, and rows among which it is picked at last.
@@ -134,38 +137,49 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
     return sorted((r[0] for r in values.filter((x >= low) & (x <= high)).select(column).collect()), reverse=True)[k - 1]  # FEW rows at most
 
 
-def _scored(docs: DataFrame, labels: DataFrame, text: str, key: str, carry: list[str]) -> tuple[DataFrame, list[str]]:
-    """The carried columns under names of their own, log_weight, n_features, sample and kept; and those names."""
+def _drawn(docs: DataFrame, labels: DataFrame, text: str, key: str) -> tuple[DataFrame, np.ndarray, float]:
+    """id, log_weight, n_features, sample for each row, written; the log-ratios by bucket; and the least sample that stays."""
     small_batches(docs.sparkSession)
     good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("good")).distinct()
     good = staged(good, "quality-good")
-    body = F.col(f"`{text}`").cast("string")
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     held = F.pmod(F.xxhash64("good", F.lit("held out")), F.lit(HELD_OUT)) == 0
     fitting = good.filter(~held)
-    parts = max(1, -(-fitting.count() // LABELLED))
-    part = F.pmod(F.xxhash64("good", F.lit("part")), F.lit(parts))
-    texts = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(body, F.lit("")).alias("text"))
-    target = np.zeros(BUCKETS)
-    for k in range(parts):
-        target += counted(texts.join(F.broadcast(fitting.filter(part == k)), F.col("id") == F.col("good"), "left_semi").select("text"))
-    raw = counted(texts.select("text"))
-    names = [f"c{i}" for i in range(len(carry))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)], F.col(f"`{key}`").alias("id"), gumbel(body, F.col(f"`{key}`")).alias("noise"), F.coalesce(body, F.lit("")).alias("text"))
-    scored = weighed(rows, log_ratio(target, raw), "text").drop("text")
-    rows = staged(scored.withColumn("sample", F.col("log_weight") / TEMPERATURE + F.col("noise")), "quality-weights")
+    share = min(1.0, LABELLED / max(1, fitting.count()))
+    fitting = fitting.filter(F.pmod(F.xxhash64("good", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    texts = docs.select(F.col(f"`{key}`").alias("id"), body.alias("text"))
+    target = counted(texts.join(F.broadcast(fitting), F.col("id") == F.col("good"), "left_semi").select("text"))
+    ratio = log_ratio(target, counted(texts.select("text")))
+    scored = weighed(docs.select(F.col(f"`{key}`").alias("id"), _noise(text, key), body.alias("text")), ratio, "text")
+    rows = staged(scored.select("id", "log_weight", "n_features", _sample().alias("sample")), "quality-weights")
     known = rows.join(good.filter(held), F.col("id") == F.col("good"), "left_semi")
     level = known.agg(F.percentile_approx("log_weight", LOSS, 10_000)).first()[0]
     k = rows.count() if level is None else rows.filter(F.col("log_weight") >= level).count()
-    return rows.withColumn("kept", F.col("sample") >= kth_largest(rows, "sample", k)), names
+    return rows, ratio, kth_largest(rows, "sample", k)
+
+
+def _noise(text: str, key: str) -> Column:
+    return gumbel(F.col(f"`{text}`").cast("string"), F.col(f"`{key}`")).alias("noise")
+
+
+def _sample() -> Column:
+    return F.col("log_weight") / TEMPERATURE + F.col("noise")
 
 
 def resampled(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, log_weight, n_features, sample (tempered weight and noise) and kept for each row."""
-    rows, names = _scored(docs, labels, text, key, [key])
-    return rows.select(F.col(names[0]).alias(key), "log_weight", "n_features", "sample", "kept")
+    rows, _, least = _drawn(docs, labels, text, key)
+    return rows.select(F.col("id").alias(key), "log_weight", "n_features", "sample", (F.col("sample") >= least).alias("kept"))
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that are drawn, unchanged."""
-    rows, names = _scored(docs, labels, text, key, docs.columns)
-    return rows.filter("kept").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    """The rows of ``docs`` that are drawn, unchanged.  They are weighed once more on their way, rather than written or shuffled."""
+    _, ratio, least = _drawn(docs, labels, text, key)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], _noise(text, key))
+    if docs.schema[text].dataType == StringType():
+        scored = weighed(rows, ratio, names[docs.columns.index(text)])
+    else:
+        place = F.col(names[docs.columns.index(text)])
+        scored = weighed(rows.withColumn("text", F.coalesce(place.cast("string"), F.lit(""))), ratio, "text")
+    return scored.filter(_sample() >= least).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
