@@ -47,6 +47,10 @@ TOLERANCE = 1e-6
 CANDIDATE_BLOCK, VERIFY_BLOCK = 2048, 1024
 #: Fewer nodes than fill a block are still dealt over so many, if each gets SMALL_BLOCK or more.
 BLOCKS, SMALL_BLOCK = 4, 64
+#: Rows (two numbers each) that are broadcast to fetch their texts; more are joined by a shuffle.
+MOST_ROWS = 500_000
+#: Links that a task of a round of components writes.
+LINKS = 100_000
 #: Pairs in a tile beyond which matrix products intersect its sets, and shingles in a product.
 MANY_PAIRS, STRETCH = 200, 8192
 
@@ -245,19 +249,25 @@ def components(links: DataFrame, name: str) -> DataFrame:
     links move to where their ends point (large star), then pointers are shortened (small star).
     """
     edges = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    n = edges.count()
     before = None
+
+    def kept(df: DataFrame) -> DataFrame:
+        """Written by as many tasks as so few rows need; rows of a round are as many as links at most."""
+        return staged(df.coalesce(n // LINKS + 1), name)
+
     while True:
         old = edges
         # large star: every neighbour above the centre goes to the centre's smallest
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # written first, so that a hot centre's links can be split in the join
-        least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
+        least = kept(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: every neighbour below the centre, and the centre, goes to the smallest
-        large = staged(large.filter("a <> b").distinct(), name)
-        low = staged(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        large = kept(large.filter("a <> b").distinct())
+        low = kept(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        edges = staged(small.filter("a <> b").distinct(), name)
+        edges = kept(small.filter("a <> b").distinct())
         freed(old, least, large, low)
         state = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:
@@ -311,14 +321,19 @@ def classes(docs: DataFrame, row: str, text: str = "text", key: str = "doc_id")
     candidates = staged(keyed.join(crowded, "bucket"), "ngram-candidates")
     light = members.select("node", "light").join(candidates.select("node").distinct(), "node")
     near = in_tiles(tiles(candidates, "bucket", "node", CANDIDATE_BLOCK).join(light, "node"), "a long, b long", _linked)
-    cluster = staged(components(near, "ngram-near"), "ngram-clusters")
-
-    # texts of the clusters' nodes, one of each, for the exact sets
-    chosen = members.select("node", "row", "copies", "light").join(cluster, "node")
+    joined = components(near, "ngram-near")
+    cluster = staged(joined, "ngram-clusters")
+    freed(candidates, joined)
+
+    # texts of the clusters' nodes, one of each, for the exact sets; all other texts stay where they are if the rows wanted are few
+    chosen = staged(members.select("node", "row", "copies", "light").join(cluster, "node"), "ngram-chosen")
+    wanted = chosen.select("row", "node")
+    found = texts.select("row", "text").join(F.broadcast(wanted) if wanted.count() <= MOST_ROWS else wanted, "row")
+    plain = staged(_sets(found, ["node"]), "ngram-sets")
     size = cluster.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    found = texts.select("row", "text").join(chosen, "row")
-    sets = staged(_sets(found, ["node", "root", "copies", "light"]), "ngram-sets").join(size, "root")
+    sets = plain.join(chosen.drop("row"), "node").join(size, "root")
     verified = staged(in_tiles(tiles(sets, "root", "node", VERIFY_BLOCK), "a long, b long, links long", _verified), "ngram-verified")
+    freed(cluster, chosen, plain)
     links = verified.filter("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     root = components(verified.filter("links = 0").select("a", "b"), "ngram-class")
     nodes = members.select("node", "name", "copies", "first").join(root, "node", "left").join(links, "node", "left")
@@ -326,6 +341,7 @@ def classes(docs: DataFrame, row: str, text: str = "text", key: str = "doc_id")
     # written first, so that a large class and a large group of copies can be split in the joins
     named = staged(nodes.groupBy("root").agg(F.min("first").alias("class_id")), "ngram-named")
     per_name = staged(nodes.join(named, "root").select("name", "root", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "ngram-names")
+    freed(members, verified, root, nodes, named)
     all_rows = rows.select("id", "row", "name").join(per_name, "name", "left")
     return all_rows.select("id", "row", "name", "root", F.when(F.col("name").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
@@ -343,7 +359,9 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """
     columns = docs.columns
     docs, row = numbered(docs, "ngram-docs")
-    found = staged(classes(docs, row, text, key).select("id", F.col("row").alias(row), "name", "root"), "ngram-found")
+    whole = classes(docs, row, text, key)
+    found = staged(whole.select("id", F.col("row").alias(row), "name", "root"), "ngram-found")
+    freed(whole)
     best = found.filter("name is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).alias("best")).select(F.col(f"best.{row}").alias(row))
     stay = best.unionByName(found.filter("name is null").select(row))
     return docs.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in columns])
