@@ -1,16 +1,20 @@
 import hashlib
 import random
+import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import oracle
 import pytest
+import regex
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gleaner.llm import ann, bpe, ngram_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filters, warc
+from gleaner.llm import ann, bpe, ngram_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filters, warc, wordsplit
 from gleaner.llm.queries import ORACLE_SQL, QUERIES, VOCABULARY
 
 LONG = "word " * 40_000
@@ -67,8 +71,8 @@ def test_nearest_with_odd_vectors(spark):
 
 
 def test_blocks_and_bounds_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 4)
-    monkeypatch.setattr(ann, "BLOCK_VALUES", 64)
+    for name, n in {"QUERY_VALUES": 16, "BLOCK_VALUES": 64, "ROWS": 3, "TILE": 5, "PAIRS": 2}.items():
+        monkeypatch.setattr(ann, name, n)
     rng = random.Random(2)
     rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(150)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -77,6 +81,21 @@ def test_blocks_and_bounds_lose_nothing(spark, monkeypatch):
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == {(q, n, v) for q, x in want.items() for n, (v, _) in enumerate(x, 1)}
 
 
+def test_repeated_vectors_and_clashing_names(spark):
+    """A vector that most rows share, ids that come again, and columns with the names used inside."""
+    rng = random.Random(14)
+    hot = [1.0, 2.0, 3.0]
+    rows = [(i, hot) for i in range(0, 200)] + [(7, hot)] * 30 + [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(200, 260)] + [(20, [9.0, 9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df = df.select("*", *[F.lit(1).alias(c) for c in ("id", "v", "dim", "block", "query_block", "score", "rank")])
+    got = ann.nearest(df, df.filter("vec_id in (0, 7, 21, 220, 240)"), 6).collect()
+    want = brute_nearest(rows, [r for r in rows if r[0] in (0, 7, 21, 220, 240)], 6)
+    found = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert dict(found) == want
+
+
 # -- URL filters ---------------------------------------------------------------
 
 
@@ -164,6 +183,31 @@ def test_classes_of_odd_rows(odd, empty):
     assert kept.columns == odd.columns and Counter(r["doc_id"] for r in kept.collect())[4] == 1
 
 
+def thue_morse(n):
+    return ["".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n)) for flip in (0, 1)]
+
+
+def test_words_that_collide_under_polynomial_hashes_are_not_linked(spark):
+    """Opposite Thue-Morse words of 1024 characters have equal polynomial hashes modulo 2**64 for any base."""
+    texts = [*thue_morse(1024), *thue_morse(48), *[" ".join([x] * 7) for x in thue_morse(2048)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = ngram_join.jaccard_classes(df).collect()
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in got} == {(k, k, 0) for k in range(len(texts))}
+
+
+def test_clashing_names_stay_as_they_are(spark):
+    """Columns with the names that stages use inside."""
+    rows = [(1, "one two three four five six", 7), (2, "one two three four five six", 8), (2, "one two three four five six", 8), (None, "", 9)]
+    names = ["row", "__row", "__good", "name", "packed", "best", "kept", "sample", "c0", "missing", "spans", "n_bytes"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, v long").select("doc_id", "text", *[F.col("v").alias(c) for c in names])
+    got = ngram_join.one_of_each(df)
+    assert got.columns == df.columns and sorted((r["doc_id"] or 0, r["__row"], r["row"]) for r in got.collect()) == [(0, 9, 9), (1, 7, 7)]
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for stage in (lambda x: quality_classifier.keep_sampled(x, labels), quality_rules.keep_good, suffix_dedup.without_repeats):
+        out = stage(df)
+        assert out.columns == df.columns and all(len(set(list(r)[2:])) == 1 for r in out.collect())
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     rng = np.random.default_rng(4)
     lost = 0
@@ -206,9 +250,16 @@ def test_packed_rows(odd, empty):
     for r in rows:
         assert r["length"] == len(r["ids"]) <= 2048 and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
         pieces[r["doc_id"]].append(r)
-    one = sorted(pieces[6], key=lambda r: r["piece"])
-    assert tuple(x for r in one for x in r["ids"]) in {k[1] for k in want if k[0] == 6}
-    assert [r["start"] for r in one] == [sum(r["length"] for r in one[:n]) for n in range(len(one))] and all(r["length"] == 2048 for r in one[1:])
+    # repeated rows can't be told apart: of each id, all pieces and starts are those of its texts
+    for i in {i for i, _ in TEXTS}:
+        whole_pieces = Counter()
+        for (j, ids), times in want.items():
+            if j == i:
+                first = len(ids) % 2048 or 2048
+                bounds = [0, *range(first, len(ids) + 1, 2048)]
+                for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
+                    whole_pieces[k, low, ids[low:high]] += times
+        assert Counter((r["piece"], r["start"], tuple(r["ids"])) for r in pieces[i]) == whole_pieces
     by = defaultdict(list)
     for r in rows:
         by[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -222,10 +273,37 @@ def test_packed_rows(odd, empty):
 # -- BPE -----------------------------------------------------------------------
 
 
+PATTERN = regex.compile(bpe.PATTERN)
+
+
+@given(st.lists(st.text(max_size=12) | st.text(alphabet="ab '\n\t .1é_slrevmtd", max_size=12), max_size=5))
+@settings(max_examples=400, deadline=None)
+def test_words_of_batches_are_those_of_the_pattern(texts):
+    v = bpe.vocabulary(VOCABULARY)
+    data, start, end, n = v.spans(texts)
+    words = [data[a:b].tobytes().decode() for a, b in zip(start, end)]
+    want = [[w for part in v.cut.split(t) for w in ([part] if part in v.special else PATTERN.findall(part)) if w] for t in texts]
+    assert words == [w for t in want for w in t] and n.tolist() == [len(t) for t in want]
+    which, first = wordsplit.distinct(data, start, end)
+    assert [words[first[k]] for k in which] == words and [words[k] for k in first] == list(dict.fromkeys(words))
+
+
+def test_words_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(wordsplit, "word_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    data = np.frombuffer(b"one two one a long word of some bytes one two", np.uint8)
+    start, end = np.array([0, 4, 8, 12, 14, 38, 42]), np.array([3, 7, 11, 13, 37, 41, 45])
+    which, first = wordsplit.distinct(data, start, end)
+    assert which.tolist() == [0, 1, 0, 2, 3, 0, 1] and first.tolist() == [0, 1, 3, 4]
+
+
 @given(st.text() | st.text(alphabet="ab '\n\t\r\x1c\x85\xa0²½٣é日<|endoftx>_.s", max_size=60))
 @settings(max_examples=400, deadline=None)
 def test_words_encode_as_whole_texts_do(text):
     v = bpe.vocabulary(VOCABULARY)
+    assert v.split(text) == [w for part in v.cut.split(text) for w in ([part] if part in v.special else PATTERN.findall(part)) if w]
+    whole, bpe.STRETCH = bpe.STRETCH, 4
+    assert "".join(v.stretches(text)) == text and v.encode(text).tolist() == v.whole.encode(text, add_special_tokens=False).ids
+    bpe.STRETCH = whole
     want = v.whole.encode(text, add_special_tokens=False).ids
     words = v.split(text)
     assert "".join(words) == text
@@ -357,9 +435,61 @@ def test_classifier_on_held_out_labels(spark):
     top = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{top}/documents.parquet"), spark.read.parquet(f"{top}/labels.parquet")
     seen = labels.filter("doc_id % 3 <> 0")
-    got = quality_classifier.resampled(docs, seen).join(labels.filter("doc_id % 3 = 0"), F.col("id") == F.col("doc_id"))
-    share = {r["q"]: r["kept"] for r in got.groupBy(F.when(F.col("quality") == 0, "junk").when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("q")).agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
-    assert share["clean"] > 0.97 and share["junk"] < 0.15
+    got = quality_classifier.resampled(docs, seen).join(labels.filter("doc_id % 3 = 0"), "doc_id")
+    kind = F.when(F.col("quality") == 0, "junk").when(F.col("toxic") == 1, "toxic").otherwise("clean")
+    share = {r["q"]: r["kept"] for r in got.groupBy(kind.alias("q")).agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert share["clean"] > 0.98 and share["junk"] < 0.05
+
+
+def brute_resampled(rows, good):
+    """Weights, noise and the k largest, document by document; hashes of words are the operator's."""
+    import math
+
+    import pyarrow as pa
+
+    n = quality_classifier.BUCKETS
+    runs = {}
+    for i, t in rows:
+        w = [x for x in re.split("[\x20\x09-\x0d]+", t or "") if x]
+        h = [int(quality_classifier.features(pa.array([x]))[0][0]) for x in w]
+        pairs = [int(quality_classifier.features(pa.array([f"{x} {y}"]))[0][2]) for x, y in zip(w, w[1:])]
+        runs[i] = h + pairs
+    held = lambda i: to_signed(xxhash.xxh64_intdigest(b"held out", xxhash.xxh64_intdigest(struct.pack("<q", i), 42))) % 4 == 0
+    raw, target = Counter(), Counter()
+    for i, x in runs.items():
+        raw.update(x)
+        if i in good and not held(i):
+            target.update(x)
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {b: math.log((target[b] + 10) / (raw[b] * share + 10)) for b in raw}
+    weight = {i: sum(ratio[b] for b in x) / math.sqrt(max(1, len(x))) for i, x in runs.items()}
+    sample = {}
+    for i, t in rows:
+        h = xxhash.xxh64_intdigest((t or "").encode(), 42) if t is not None else 42
+        h = to_signed(xxhash.xxh64_intdigest(b"gumbel", xxhash.xxh64_intdigest(struct.pack("<q", i), h)))
+        sample[i] = weight[i] / 0.2 - math.log(-math.log((h % (1 << 52) + 0.5) / (1 << 52)))
+    known = sorted(weight[i] for i in good if i in weight and held(i))
+    level = known[max(0, math.ceil(0.003 * len(known)) - 1)]
+    k = sum(w >= level for w in weight.values())
+    least = sorted(sample.values(), reverse=True)[k - 1]
+    assert n == 1 << 18
+    return {i: (weight[i], len(runs[i]), sample[i], sample[i] >= least) for i in runs}
+
+
+def to_signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def test_weights_noise_and_draws_are_those_of_brute_force(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice("abcdefghij" if i % 3 else "bcdefghijk") for _ in range(rng.randint(0, 80)))) for i in range(400)] + [(400, None), (401, "")]
+    good = {i for i in range(402) if i % 3 and i % 2}
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(0, 402, 1)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_classifier.resampled(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    want = brute_resampled(rows, good)
+    assert all(abs(got[i]["log_weight"] - w) < 1e-9 and got[i]["n_features"] == n and abs(got[i]["sample"] - x) < 1e-6 and got[i]["kept"] == kept for i, (w, n, x, kept) in want.items())
+    by_weight = sorted(want, key=lambda i: -want[i][0])[: sum(x[3] for x in want.values())]
+    assert {i for i in want if want[i][3]} != set(by_weight)  # draws matter
 
 
 def test_classifier_on_odd_rows(spark, odd, empty):
@@ -370,25 +500,27 @@ def test_classifier_on_odd_rows(spark, odd, empty):
     assert quality_classifier.keep_sampled(odd, labels).columns == odd.columns
 
 
-def test_labels_are_broadcast_in_parts_without_loss(spark, monkeypatch):
+def test_ids_that_are_broadcast_are_bounded(spark, monkeypatch):
     rng = random.Random(10)
-    df = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghij" if i % 2 else "hijklmnopq") for _ in range(60))) for i in range(300)], "doc_id long, text string")
+    df = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghij" if i % 2 else "hijklmnopq") for _ in range(60))) for i in range(600)], "doc_id long, text string")
     labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
-    want = Counter(map(tuple, quality_classifier.resampled(df, labels).collect()))
     sizes, broadcast = [], F.broadcast
-    monkeypatch.setattr(quality_classifier, "LABELLED", 10)
     monkeypatch.setattr(F, "broadcast", lambda x: (sizes.append(x.count()), broadcast(x))[1])
-    assert Counter(map(tuple, quality_classifier.resampled(df, labels).collect())) == want
-    assert max(sizes) <= 30 < sum(sizes)
+    for labelled in (20_000, 50):
+        monkeypatch.setattr(quality_classifier, "LABELLED", labelled)
+        got = quality_classifier.resampled(df, labels).groupBy(F.col("doc_id") % 2).agg(F.avg(F.col("kept").cast("int"))).collect()
+        share = dict(map(tuple, got))
+        assert share[1] > 0.95 and share[0] < 0.1
+    assert sizes[0] > 200 and 20 < sizes[1] < 90
 
 
 def test_kth_largest(spark):
     rng = random.Random(8)
     values = [rng.gauss(0, 100) for _ in range(3000)] + [5.0] * 50
     df = spark.createDataFrame([(x,) for x in values], "x double")
-    for k in (1, 500, 3050):
-        level = quality_classifier.kth_largest(df, "x", k)
-        assert k <= sum(x >= level for x in values) <= k + 60
+    for k in (1, 500, 1525, 1550, 3050, 9999):
+        assert quality_classifier.kth_largest(df, "x", k) == sorted(values, reverse=True)[min(k, 3050) - 1]
+    assert quality_classifier.kth_largest(df.select(F.lit(2.0).alias("x")), "x", 7) == 2.0
 
 
 def test_rules_on_odd_rows(odd, empty):
@@ -398,6 +530,15 @@ def test_rules_on_odd_rows(odd, empty):
     assert quality_rules.keep_good(odd).columns == odd.columns and quality_rules.quality_rules(empty).count() == 0
 
 
+def test_counts_compare_lines_and_words_as_they_are(spark):
+    """Lines and words that collide under polynomial hashes are not equal."""
+    a, b = thue_morse(1024)
+    texts = [f"{a}\n{b}", f"{a}\n{a}\n \n\n{b}", f"{a} x y {b} x y {a} x y", "", " ", "a b c a b c", "a b a b a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"], r["n_lines"]) for r in quality_rules.quality_rules(df).collect()}
+    assert got == {0: (0, 0, 2), 1: (1, 0, 3), 2: (0, 6, 1), 3: (0, 0, 0), 4: (0, 0, 0), 5: (0, 6, 1), 6: (0, 6, 1)}
+
+
 def test_failed_lines_leave_the_texts_that_stay(spark):
     import corpus_pipeline
 
@@ -411,7 +552,7 @@ def test_failed_lines_leave_the_texts_that_stay(spark):
     assert got.schema == df.schema and sorted(map(tuple, got.collect())) == [(1, left, "en", len(left)), (2, plain, "en", len(plain))]
 
 
-@pytest.mark.parametrize("line, fails", [("A plain sentence with an end.", False), ("Home | About | Contact | Help", True), ("!! no", False), ("AAA!! BBB!! CCC!! DDD!!", True), ("we use cookies on this site", True), ("A title", False), ("a# b$ c% d&", True)])
+@pytest.mark.parametrize("line, fails", [("A plain sentence with an end.", False), ("Home | About | Contact | Help", True), ("!! no", False), ("AAA!! BBB!! CCC!! DDD!!", True), ("we use cookies on this site", True), ("A title", False), ("a# b$ c% d&", True), (" ".join(["word"] * 13), True), (" ".join(["word"] * 13) + "!\r", False), (" ".join(["word"] * 12), False), ("Alle Rechte vorbehalten", True), ("Cliquez ici", True), ("Política de privacidad", True), ("one\u00a0two\x85three", False)])
 def test_line_rules(line, fails):
     assert quality_rules.line_fails(line) == fails
 
@@ -436,6 +577,12 @@ def test_archives_of_odd_pages(spark):
     assert warc.archived(df.filter("false")).count() == 0
 
 
+def test_very_long_payloads(spark):
+    df = spark.range(6).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"), F.when(F.col("id") < 4, F.repeat(F.lit("<p>long é"), 600_000)).otherwise(F.repeat(F.lit("x"), F.col("id").cast("int"))).alias("html"))
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archived(df).collect())
+    assert got == [*[(i, 6_000_000, "response" if i == 3 else "revisit", None if i == 3 else 3) for i in range(4)], (4, 4, "response", None), (5, 5, "response", None)]
+
+
 def test_index_with_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK", 3)
     df = spark.range(100).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), (F.col("id") % 7).cast("string"), F.lit(".org/"), F.col("id").cast("string")).alias("url"), F.lit("x").alias("html"))
@@ -498,3 +645,87 @@ def test_pipeline(spark, sf):
     packed = corpus_pipeline.run(spark, sf)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def brute_pipeline(rows, good):
+    """Pieces of documents, by each stage's rules in plain Python."""
+    kept = {i for i, x in brute_resampled(rows, good).items() if x[3]}
+    found = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    clean = []
+    for i, t in rows:
+        lines, w = (t or "").split("\n"), found(t or "")
+        seen = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        repeated = {j for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1 for j in range(k, k + 3)}
+        failing = [bool(found(x)) and quality_rules.line_fails(x) for x in lines]
+        lost = sum(len(found(x)) for x, f in zip(lines, failing) if f)
+        if i in kept and len(w) >= 50 and 2 * len(repeated) <= len(w) and 2 * lost <= len(w):
+            clean.append((i, "\n".join(x for x, f in zip(lines, failing) if not f)))
+    clean.sort()
+    _, tops = brute_classes([t for _, t in clean])
+    clean = [x for k, x in enumerate(clean) if tops[k] == k]
+    counts = Counter(t.encode()[k : k + 200] for _, t in clean for k in range(len(t.encode()) - 199))
+    pieces = Counter()
+    for i, t in clean:
+        raw = t.encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 199):
+            if counts[raw[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        left = bytes(x for x, g in zip(raw, gone) if not g).decode("utf-8", "ignore")
+        ids = [*bpe.vocabulary(VOCABULARY).whole.encode(left, add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or 2048
+        bounds = [0, *range(first, len(ids) + 1, 2048)]
+        for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
+            pieces[i, k, low, high - low, zlib.crc32(np.array(ids[low:high], "<u4").tobytes())] += 1
+    return pieces
+
+
+def test_pipeline_is_that_of_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 4)))
+    line = lambda n: " ".join(word() for _ in range(n)) + "."
+    passage = " ".join(line(12) for _ in range(6))
+    rows = []
+    for i in range(70):
+        lines = [line(rng.randint(8, 20)) for _ in range(rng.randint(4, 12))]
+        if i % 6 == 0:
+            lines.insert(1, passage)
+        if i % 5 == 0:
+            lines += ["Home | About | Contact | Help", " ".join(word() for _ in range(15))]
+        rows.append((i, "\n".join(lines)))
+    rows += [(100 + i, rows[i][1] + " more") for i in range(0, 30, 3)]
+    rows += [(200 + i, " ".join(f"{rng.choice('xyzw') * 3}###" for _ in range(80))) for i in range(12)]
+    rows += [(300, None), (301, ""), (302, "short text."), (303, line(9000))]
+    good = {i for i, _ in rows if i < 200 and i % 2}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i in good), 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = brute_pipeline(rows, good)
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want and len(want) > 40
+    held = defaultdict(list)
+    for r in got:
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all([o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:k]) for k in range(len(x))] and sum(n for _, n in x) <= 2048 for x in held.values())
+
+
+def test_stages_of_an_empty_table_and_of_odd_rows(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(6, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (odd, empty):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, str(tmp_path))
+            assert out.columns == table.columns and out.count() <= table.count()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from gleaner.llm import common
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.shared_dir(unset)
