@@ -1,6 +1,13 @@
 """From raw documents to packed sequences: five stages, each on all that the one before kept.
 
 Counted as part of the subpackage of training-data operators; it goes where that goes.
+
+Defined results: null and empty texts have no words, so the quality rules drop them; a null
+doc_id is an id like any other and never labelled; repeated rows are judged alike, and the
+n-gram Jaccard join keeps one of them; of documents that tie for a class the one of the
+smallest id stays, null last; further columns of ``documents`` go through unchanged, whatever
+their names; ``n_chars`` follows the text where lines or passages are cut; empty tables give
+empty results, and without labels the classifier keeps everything.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ from gleaner.llm.suffix_dedup import without_repeats
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Importance resampling towards the labelled good documents; what is not drawn goes."""
+    """Importance resampling towards the labelled good documents; what isn't drawn goes."""
     return keep_sampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
