@@ -200,3 +200,29 @@ def test_watch_upserts(spark, tmp_path):
     stream = spark.readStream.schema(first.schema).parquet(str(tmp_path / "in"))
     watch(engine, stream, str(tmp_path / "ck")).awaitTermination()
     assert {r["content"] for r in engine.bundle.chunks().collect()} == {"alpha words", "gamma words"}
+
+
+@pytest.mark.parametrize("pattern, lines", [(r"\Afoo", [1, 3]), (r"line\z", [2]), ("^FOO", [1, 3]), ("(?i)x(?!.*line)", [3]), ("(?iu)foo$", [1])])
+def test_lines_are_matched_one_by_one(spark, pattern, lines):
+    got = s.exact_lines(documents(spark, ("s", "a.txt", "foo\nx the line\nfoo x\n")), pattern, 10).collect()
+    assert sorted(r["line_number"] for r in got) == lines
+
+
+def test_marks_in_output():
+    text, ranges = output.clean("  a \t hit\nand a hit", [(6, 9), (16, 19)])
+    assert text == "a hit and a hit" and [text[a:b] for a, b in ranges] == ["hit", "hit"]
+    shown = output.as_text({"results": [{"file_path": "f", "snippet": 'a "hit"', "matched_terms": [(3, 6)], "score": 1.0, "source_name": "s", "metadata": {"start_line": 1, "end_line": 1, "title": ""}}]})
+    assert f"{output.ON}hit{output.OFF}" in shown and "matched_terms" not in output.as_json({"results": [{"matched_terms": []}]})
+    assert [output.format_size(n) for n in (5, 2048, 3 << 20, 5 << 29)] == ["5B", "2KB", "3MB", "2.5GB"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from gleaner.plans.cli import main
+
+    (tmp_path / "notes").mkdir()
+    (tmp_path / "notes/a.md").write_text("# Plans\nWords about the river and its secret, at some length. " * 12)
+    run = lambda *args: main(["--base", str(tmp_path / "base"), *args], spark)
+    assert run("status") == 1 and run("init") == 0 and run("source", "add", str(tmp_path / "notes"), "--name", "notes") == 0
+    assert run("index", "--full") == 0 and run("search", "river", "--mode", "exact") == 0 and run("status") == 0 and run("doctor") == 0 and run("sync") == 0
+    said = capsys.readouterr()
+    assert output.ON in said.out and "Total: 1 files" in said.out and "State: indexed" in said.out and "0 new" in said.out and "Error" in said.err
