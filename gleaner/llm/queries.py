@@ -14,6 +14,7 @@ from .hard_negatives import hard_negatives
 from .merkle import folded_root, leaf_of, manifest
 from .ngram_join import jaccard_classes
 from .packing import pack
+from .pii import personal_data
 from .quality_classifier import resampled
 from .quality_rules import BOILERPLATE, quality_rules
 from .sharding import shard_documents
@@ -76,6 +77,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tampering: where 3 divides the checksum of the decimal id, the capitals A to Z of the text are lowered; a null id is left alone."""
     d = _read(spark, sf_dir, "documents")
@@ -89,7 +95,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest_neighbours, op2_url_filters, op3_ngram_jaccard, op4_best_fit_packing, op5_bpe, op6_suffix_dedup, op7_quality_classifier, op8_warc, op9_quality_rules, op10_sharding, op11_hard_negatives, op13_merkle_manifest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest_neighbours, op2_url_filters, op3_ngram_jaccard, op4_best_fit_packing, op5_bpe, op6_suffix_dedup, op7_quality_classifier, op8_warc, op9_quality_rules, op10_sharding, op11_hard_negatives, op12_personal_data, op13_merkle_manifest)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _BOILER = "|".join(BOILERPLATE).replace("'", "''")
