@@ -89,6 +89,15 @@ def needed(x: np.ndarray, ids: np.ndarray, labels: np.ndarray, k: int) -> np.nda
     return order[ranks(which[order], labels[order]) < 2 * k]
 
 
+def cut_at(along: np.ndarray) -> int:
+    """Where to cut sorted values: in a wide gap that leaves a sixteenth on each side, else in the middle."""
+    n = len(along)
+    edge = n // 16
+    gaps = np.diff(along[edge : n - edge])
+    widest = int(gaps.argmax())
+    return edge + widest + 1 if 10 * gaps[widest] >= along[-1] - along[0] > 0 else n // 2
+
+
 class BallTree:
     """Nodes over the rows of ``x``, which are put in the leaves' order."""
 
@@ -112,9 +121,11 @@ class BallTree:
             if high - low > LEAF and self.radii[here] > 0:
                 one = own[far.argmax()]
                 other = own[((own - one) ** 2).sum(axis=1).argmax()]
-                half = (high - low) // 2
-                order[low:high] = order[low:high][np.argpartition(own @ (other - one), half)]
-                stack += [(low, low + half, here, 0), (low + half, high, here, 1)]
+                along = own @ (other - one)
+                along_order = np.argsort(along, kind="stable")
+                order[low:high] = order[low:high][along_order]
+                cut = low + cut_at(along[along_order])
+                stack += [(low, cut, here, 0), (cut, high, here, 1)]
         self.centres = np.array(centres)
         self.x, self.ids, self.labels = x[order], ids[order], labels[order]
 
@@ -183,7 +194,7 @@ def search(a: np.ndarray, own_ids: np.ndarray, own_labels: np.ndarray, low: np.n
         if left < 0:
             scan(node, who)
             continue
-        lefts = bounds(a[who], norm[who], tree.centres[left], tree.radii[left])[1] >= bounds(a[who], norm[who], tree.centres[right], tree.radii[right])[1]
+        lefts = a[who] @ (tree.centres[left] - tree.centres[right]) >= 0
         stack += [(left, who[~lefts]), (right, who), (left, who[lefts])]  # the last goes first: each anchor's better side before the other
     return found
 

@@ -17,8 +17,8 @@ Rounds end when nothing new is known, ROUNDS at most.  A candidate whose form is
 spans of its document, besides those of the base rules, which stay.
 
 Patterns that a common word makes have a confidence near zero, since everything that follows it counts.  Occurrences
-are counted over whole texts for the patterns that have MIN_KNOWN instances; a filter of BITS bits
-tells executors which these are, and those that slip through are joined away.
+are counted over whole texts for the patterns that have MIN_KNOWN instances; filters of BITS bits
+tell executors which these and their words are, and those that slip through are joined away.
 
 Defined results: a null text is empty; empty texts have no spans; texts of any length are read whole, in time
 linear in their length; repeated rows are judged alike and each keeps its row; a null id is carried like any other;
@@ -30,7 +30,6 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,7 +58,7 @@ _ZEROS = str.maketrans("123456789", "000000000")
 #: Candidates: looser forms of each kind.
 _LOOSE = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:@| ?[(\[](?:at|AT)[)\]] ?)[A-Za-z0-9-]{1,63}(?:(?:\.| ?[(\[](?:dot|DOT)[)\]] ?)[A-Za-z0-9-]{1,63}){0,4}"),
-    "ip": re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){2,7}:?(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:.])"),
+    "ip": re.compile(r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}(?![0-9A-Fa-f:.])"),
     "digits": re.compile(r"(?<![0-9A-Za-z+.])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z])"),
 }
 _NEEDED = {"email": ("@", "(at", "(AT", "[at", "[AT"), "ip": (":",)}
@@ -144,7 +143,7 @@ def loose_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int,
             continue
         for m in pattern.finditer(text):
             low, high = m.span()
-            if kind == "ip" and "::" not in m[0] and m[0].count(":") != 7:
+            if kind == "ip" and m[0].count("::") != 1 and m[0].count(":") != 7:
                 continue  # a time of day, say
             at = bisect_left(starts, high)
             if not at or ends[at - 1] <= low:
@@ -188,19 +187,35 @@ def bit(pattern: str) -> int:
     return zlib.crc32(pattern.encode()) % BITS
 
 
-def occurring(texts: list[str]) -> Iterator[tuple[str, int]]:
-    """Contexts of some texts and how often each stands there: a word before anything, two before anything, two after anything."""
-    single, pairs, first, last = Counter(), Counter(), Counter(), Counter()
-    for t in texts:
-        w = words(t)
-        single.update(w)
-        single.subtract(w[-1:])
-        pairs.update(zip(w, w[1:]))
-        first.update(zip(w[:1], w[1:2]))
-        last.update(zip(w[-2:-1], w[-1:]))
-    yield from ((f"L {a}", n) for a, n in single.items() if n)
-    yield from ((f"L {a} {b}", n - last[a, b]) for (a, b), n in pairs.items() if n > last[a, b])
-    yield from ((f"R {a} {b}", n - first[a, b]) for (a, b), n in pairs.items() if n > first[a, b])
+class Numbers(dict):
+    """Words by number, in the order in which they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def occurring(texts: list[str], wanted: np.ndarray) -> Iterator[tuple[str, int]]:
+    """Contexts of some texts and how often each stands there: a word before anything, two before anything, two after anything.
+
+    ``wanted``: flags by ``bit`` of the words that count.
+    """
+    numbers = Numbers()
+    coded = [np.fromiter(map(numbers.__getitem__, words(t)), np.int64) for t in texts]
+    coded = [c for c in coded if len(c) > 1]
+    if not coded:
+        return
+    listed_, flat = list(numbers), np.concatenate(coded)
+    flags = np.array([wanted[bit(w)] for w in listed_])[flat]
+    ends = np.cumsum([len(c) for c in coded])
+    first, last = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+    first[ends - [len(c) for c in coded]] = last[ends - 1] = True
+    one, n = np.unique(flat[flags & ~last], return_counts=True)
+    yield from ((f"L {listed_[a]}", k) for a, k in zip(one.tolist(), n.tolist()))
+    pair = np.flatnonzero(flags[:-1] & flags[1:] & ~last[:-1])
+    for side, some in (("L", pair[~last[pair + 1]]), ("R", pair[~first[pair]])):
+        both, n = np.unique(flat[some] * len(listed_) + flat[some + 1], return_counts=True)
+        yield from ((f"{side} {listed_[x // len(listed_)]} {listed_[x % len(listed_)]}", k) for x, k in zip(both.tolist(), n.tolist()))
 
 
 _MENTION = pa.struct([("kind", pa.string()), ("name", pa.string()), ("seed", pa.bool_()), ("low", pa.int64()), ("high", pa.int64()), ("patterns", pa.list_(pa.string()))])
@@ -225,19 +240,25 @@ def found_by_rule(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
     return source.mapInArrow(run, made)
 
 
+def flagged(texts: DataFrame) -> np.ndarray:
+    """Flags by ``bit`` of the strings in the only column: BITS / 64 rows at most come to the driver."""
+    each = texts.select(F.pmod(F.crc32(F.col(texts.columns[0]).cast("binary")), F.lit(BITS)).alias("bit"))
+    rows = each.groupBy(F.expr("bit div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).collect()
+    out = np.zeros(BITS // 64, np.int64)
+    for r in rows:
+        out[r["at"]] = r["bits"]
+    return out
+
+
 def counted(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """pattern, occurrences: how often each wanted pattern's context stands in the texts."""
-    each = wanted.select(F.pmod(F.crc32(F.col("pattern").cast("binary")), F.lit(BITS)).alias("bit"))
-    words_ = each.groupBy(F.expr("bit div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).collect()  # BITS / 64 rows
-    bits = np.zeros(BITS // 64, np.int64)
-    for r in words_:
-        bits[r["at"]] = r["bits"]
-    held = docs.sparkSession.sparkContext.broadcast(bits.tobytes())  # BITS / 8 bytes
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast((flagged(wanted), flagged(wanted.select(F.explode(F.split(F.substring("pattern", 3, 1 << 30), " "))))))  # BITS / 4 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(np.frombuffer(held.value, np.uint8), bitorder="little")
+        of_patterns, of_words = [np.unpackbits(x.view(np.uint8), bitorder="little").astype(bool) for x in held.value]
         for b in batches:
-            kept = [(p, n) for p, n in occurring([t or "" for t in b.column(0).to_pylist()]) if marked[bit(p)]]
+            kept = [(p, n) for p, n in occurring([t or "" for t in b.column(0).to_pylist()], of_words) if of_patterns[bit(p)]]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["pattern", "n"])
 
     sums = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("occurrences"))

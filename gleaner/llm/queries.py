@@ -106,7 +106,39 @@ _FAILS = (
 )
 _COUNT = lambda text, marks: f"length({text}) - length(regexp_replace({text}, '[{marks}]', '', 'g'))"
 
+
+
+def _merkle_sql(levels: int = 7, of_groups: int = 3) -> str:
+    """The trees level by level: enough levels for 8 ** levels rows of a language and 8 ** of_groups languages."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    crc = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substring(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+          lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))))"""
+    steps = [f"""r AS (SELECT doc_id, coalesce('1' || lang, '0') AS g, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {leaf('text')} END AS fold FROM documents),
+      p0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i, '' AS proof FROM r),
+      n0 AS (SELECT g, i, leaf AS d, count(*) OVER (PARTITION BY g) AS n FROM p0)"""]
+
+    def level(k: int) -> None:
+        beside = "coalesce(string_agg(d, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN {}), '')"
+        steps.append(f"""s{k} AS (SELECT g, i, n, CASE WHEN n > 1 THEN {beside.format('UNBOUNDED PRECEDING AND 1 PRECEDING')} ELSE '' END AS b, CASE WHEN n > 1 THEN {beside.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')} ELSE '' END AS a FROM n{k}),
+      p{k + 1} AS (SELECT doc_id, p.g, leaf, p.i // 8 AS i, CASE WHEN n > 1 THEN sha256(b || fold || a) ELSE fold END AS fold, proof || b || a AS proof{', subroot' if k >= levels else ''} FROM p{k} p JOIN s{k} s ON s.g = p.g AND s.i = p.i),
+      n{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE min(d) END AS d, (n + 7) // 8 AS n FROM n{k} GROUP BY g, i // 8, n)""")
+
+    for k in range(levels):
+        level(k)
+    # the languages' roots are the nodes of one more tree
+    steps.append(f"""q AS (SELECT g, d, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM n{levels})""")
+    level(levels)
+    steps[-1] = steps[-1].replace(f"FROM n{levels})", "FROM t)").replace(f"FROM n{levels} GROUP", "FROM t GROUP").replace(f"FROM p{levels} p", "FROM u p")
+    steps.insert(-1, f"t AS (SELECT '' AS g, i, d, n FROM q), u AS (SELECT doc_id, '' AS g, leaf, fold, proof, q.i, q.d AS subroot FROM p{levels} p JOIN q USING (g))")
+    for k in range(levels + 1, levels + of_groups):
+        level(k)
+    last = levels + of_groups
+    return f"""WITH {', '.join(steps)} SELECT doc_id, leaf, subroot, (SELECT d FROM n{last}) AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = (SELECT d FROM n{last}) AS verified FROM p{last}"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_merkle_manifest": _merkle_sql(),
     "op2_url_filters": """
         WITH u AS (SELECT page_id, url, contains(url, '://') AS ok FROM pages),
         h AS (SELECT page_id, url, CASE WHEN ok THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
