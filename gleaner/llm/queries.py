@@ -98,11 +98,15 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest_neighbours, op2_url_filters, op3_ngram_jaccard, op4_best_fit_packing, op5_bpe, op6_suffix_dedup, op7_quality_classifier, op8_warc, op9_quality_rules, op10_sharding, op11_hard_negatives, op12_personal_data, op13_merkle_manifest)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
-_BOILER = "|".join(BOILERPLATE).replace("'", "''")
+_SPACED = [f" {'  '.join(x.split())} ".replace("'", "''") for x in BOILERPLATE]
+_LEFT = "padded"
+for _phrase in _SPACED:
+    _LEFT = f"replace({_LEFT}, '{_phrase}', ' # ')"
+_COVERED = "len(pieces) - len(list_filter(string_split(left_, ' '), lambda x: x <> '' AND x <> '#'))"
 _FAILS = (
     "(bars >= 3 AND 3 * bars >= n) OR (n >= 4 AND 4 * marks > n) OR (n >= 4 AND 2 * shouts > n)"
-    f" OR (n <= 20 AND regexp_matches(lower(line), '{_BOILER}'))"
-    " OR (n > 12 AND NOT regexp_matches(line, '[.!?:;,…\"''”»)][\\x20\\x09-\\x0D]*$'))"
+    " OR (covered > 0 AND 2 * covered >= len(pieces))"
+    " OR (n > 12 AND NOT more AND (NOT regexp_matches(line, '[\\p{Po}\\p{Pe}\\p{Pf}\\p{Pi}][\\x20\\x09-\\x0D]*$') OR regexp_matches(line, '[#*%&/\\\\@·•][\\x20\\x09-\\x0D]*$')))"
 )
 _COUNT = lambda text, marks: f"length({text}) - length(regexp_replace({text}, '[{marks}]', '', 'g'))"
 
@@ -183,11 +187,14 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d),
         h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 2]) AS c FROM g),
         p AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM h, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY doc_id),
-        l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
-        m AS (SELECT doc_id, line, len({_WORDS.format('line')}) AS n, {_COUNT('line', '|>»·•')} AS bars, {_COUNT('line', '#*$%&|<>')} AS marks,
-              (length(line) - length(replace(line, '!!', ''))) // 2 AS shouts FROM l),
+        l AS (SELECT doc_id, own, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM (SELECT *, row_number() OVER () AS own FROM d)),
+        m AS (SELECT doc_id, line, len({_WORDS.format('line')}) AS n, coalesce(lead(len({_WORDS.format('line')})) OVER (PARTITION BY own ORDER BY i), 0) > 0 AS more, {_COUNT('line', '|>»·•')} AS bars, {_COUNT('line', '#*$%&|<>')} AS marks,
+              (length(line) - length(replace(line, '!!', ''))) // 2 AS shouts, regexp_extract_all(lower(line), '[\\pL\\pN''’]+') AS pieces FROM l),
+        k AS (SELECT *, ' ' || array_to_string(pieces, '  ') || ' ' AS padded FROM m WHERE n > 0),
+        y AS (SELECT *, CASE WHEN regexp_matches(padded, '{'|'.join(_SPACED)}') THEN {_LEFT} ELSE padded END AS left_ FROM k),
+        x AS (SELECT *, CASE WHEN left_ = padded THEN 0 ELSE {_COVERED} END AS covered FROM y),
         f AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER ({_FAILS}) AS n_failed_lines,
-              coalesce(sum(n) FILTER ({_FAILS}), 0) AS failed_words FROM m WHERE n > 0 GROUP BY doc_id),
+              coalesce(sum(n) FILTER ({_FAILS}), 0) AS failed_words FROM x WHERE n > 0 GROUP BY doc_id),
         a AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
               CAST({_COUNT('t', '#*$%&|<>')} AS BIGINT) AS n_symbols FROM d),
         j AS (SELECT a.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,

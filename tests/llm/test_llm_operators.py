@@ -2,11 +2,14 @@ import hashlib
 import random
 import re
 import struct
+import textwrap
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -552,9 +555,66 @@ def test_failed_lines_leave_the_texts_that_stay(spark):
     assert got.schema == df.schema and sorted(map(tuple, got.collect())) == [(1, left, "en", len(left)), (2, plain, "en", len(plain))]
 
 
-@pytest.mark.parametrize("line, fails", [("A plain sentence with an end.", False), ("Home | About | Contact | Help", True), ("!! no", False), ("AAA!! BBB!! CCC!! DDD!!", True), ("we use cookies on this site", True), ("A title", False), ("a# b$ c% d&", True), (" ".join(["word"] * 13), True), (" ".join(["word"] * 13) + "!\r", False), (" ".join(["word"] * 12), False), ("Alle Rechte vorbehalten", True), ("Cliquez ici", True), ("Política de privacidad", True), ("one\u00a0two\x85three", False)])
-def test_line_rules(line, fails):
-    assert quality_rules.line_fails(line) == fails
+def brute_failing(lines):
+    """Which lines of a text fail, rule by rule, character by character."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", x) for x in lines]
+    out = []
+    for i, (line, w) in enumerate(zip(lines, words)):
+        n, last = len(w), i + 1 == len(lines) or not words[i + 1]
+        bars = sum(c in "|>»·•" for c in line)
+        pieces = re.findall(r"(?:[^\W_]|['’])+", line.lower())
+        taken = [False] * len(pieces)
+        for phrase in quality_rules.BOILERPLATE:
+            p = phrase.split()
+            for k in range(len(pieces) - len(p) + 1):
+                if pieces[k : k + len(p)] == p and not any(taken[k : k + len(p)]):
+                    taken[k : k + len(p)] = [True] * len(p)
+        end = w[-1][-1] if w else ""
+        closed = bool(w) and unicodedata.category(end) in ("Po", "Pe", "Pf", "Pi") and end not in "#*%&/\\@·•"
+        out.append(n > 0 and (
+            bars >= 3 and 3 * bars >= n or n >= 4 and (4 * sum(c in "#*$%&|<>" for c in line) > n or 2 * line.count("!!") > n)
+            or sum(taken) > 0 and 2 * sum(taken) >= len(pieces) or n > 12 and last and not closed
+        ))
+    return out
+
+
+LONG_LINE = " ".join(["word"] * 13)
+PROSE = "The river ran on past the mill and the old men who sat there every evening spoke of nothing but rain and of the harvest that would not come this year, nor the next, if the priest was right about the comet and its long pale tail above the hills"
+
+
+@pytest.mark.parametrize("line, fails", [("A plain sentence with an end.", False), ("Home | About | Contact | Help", True), ("!! no", False), ("AAA!! BBB!! CCC!! DDD!!", True), ("we use cookies on this site", True), ("A title", False), ("a# b$ c% d&", True), (LONG_LINE, True), (LONG_LINE + "!\r", False), (" ".join(["word"] * 12), False), ("Alle Rechte vorbehalten", True), ("Cliquez ici", True), ("Política de privacidad", True), ("one\u00a0two\x85three", False),
+    ("The design in this old house is plain.", False), ("It was found in the catalog in March.", False), ("She baked a cookie.", False), ("Please sign in", True), ("Sign-in", True), ("Das Impressum fehlt auf dieser Seite leider ganz.", False), ("Impressum", True), (LONG_LINE + "。", False), (LONG_LINE + "！", False), (LONG_LINE + "？", False), (LONG_LINE + "۔", False), (LONG_LINE + "।", False), (LONG_LINE + " “so”", False), (LONG_LINE + " #", True), (LONG_LINE + "\nand on it goes.", False), (LONG_LINE + "\n \nAnother paragraph.", True)])
+def test_line_rules(spark, line, fails):
+    lines = line.split("\n")
+    assert brute_failing(lines)[0] == fails
+    cleaned = quality_rules.judge(pa.array([line]), quality_rules.Words())[-1].to_pylist()[0]
+    assert cleaned == "\n".join(x for x, f in zip(lines, brute_failing(lines)) if not f)
+
+
+@pytest.mark.parametrize("width", [40, 72, 90])
+def test_wrapped_prose_stays(width):
+    text = "\n\n".join("\n".join(textwrap.wrap(f"{PROSE}, {i} times over.", width)) for i in range(4))
+    found = dict(zip([*quality_rules.COUNTS, "base_failed", "kept", "cleaned"], [x[0].as_py() for x in quality_rules.judge(pa.array([text]), quality_rules.Words())]))
+    assert found["n_failed_lines"] == 0 and found["cleaned"] == text
+
+
+PARTS = st.sampled_from(["word", "end.", "#", "|", "!!", "»", "sign", "in", "Privacy", "policy", "cookies", "we", "use", "。", "…", "'s", "\n", "\n", "\n \n", "•", "\t", "d’utilisation", "conditions", "\u00a0"])
+
+
+@settings(max_examples=200)
+@given(st.lists(st.lists(PARTS, max_size=60).map(" ".join), max_size=4))
+def test_rules_are_those_of_brute_force(texts):
+    known = quality_rules.Words()
+    got = list(zip(*[x.to_pylist() for x in quality_rules.judge(pa.array(texts, pa.string()), known)]))
+    for text, row in zip(texts, got):
+        lines = text.split("\n")
+        words = [re.findall(r"[^\x20\x09-\x0D]+", x) for x in lines]
+        flat, fails = [w for x in words for w in x], brute_failing(lines)
+        seen = Counter(tuple(flat[k : k + 3]) for k in range(len(flat) - 2))
+        again = {j for k in range(len(flat) - 2) if seen[tuple(flat[k : k + 3])] > 1 for j in range(k, k + 3)}
+        worded = [x for x, w in zip(lines, words) if w]
+        want = (len(flat), sum(map(len, flat)), sum(c in "#*$%&|<>" for c in text), len(worded) - len(set(worded)), len(again), len(worded), sum(fails), sum(len(w) for w, f in zip(words, fails) if f))
+        assert row[: len(want)] == want and row[-1] == "\n".join(x for x, f in zip(lines, fails) if not f)
 
 
 # -- WARC ----------------------------------------------------------------------
@@ -656,7 +716,7 @@ def brute_pipeline(rows, good):
         lines, w = (t or "").split("\n"), found(t or "")
         seen = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
         repeated = {j for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1 for j in range(k, k + 3)}
-        failing = [bool(found(x)) and quality_rules.line_fails(x) for x in lines]
+        failing = brute_failing(lines)
         lost = sum(len(found(x)) for x, f in zip(lines, failing) if f)
         if i in kept and len(w) >= 50 and 2 * len(repeated) <= len(w) and 2 * lost <= len(w):
             clean.append((i, "\n".join(x for x, f in zip(lines, failing) if not f)))
