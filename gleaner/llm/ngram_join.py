@@ -352,16 +352,18 @@ def jaccard_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return classes(docs, row, "text", "id").select(F.col("id").alias(key), "class_id", "n_links")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", left: list[DataFrame] | None = None) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class the one of the smallest id (null last), and one of repeated rows.
 
-    Documents without words stay, each of them.
+    Documents without words stay, each of them.  ``left`` gets the written tables that the result reads, to be freed once it is written.
     """
     columns = docs.columns
     docs, row = numbered(docs, "ngram-docs")
     whole = classes(docs, row, text, key)
     found = staged(whole.select("id", F.col("row").alias(row), "name", "root"), "ngram-found")
     freed(whole)
+    if left is not None:
+        left += [docs, found]
     best = found.filter("name is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).alias("best")).select(F.col(f"best.{row}").alias(row))
     stay = best.unionByName(found.filter("name is null").select(row))
     return docs.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in columns])

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .common import small_batches, staged
+from .common import freed, small_batches, staged
 from .textnp import flat, runs_hash, word_hashes, words
 
 BUCKETS = 1 << 18
@@ -155,7 +155,9 @@ def _drawn(docs: DataFrame, labels: DataFrame, text: str, key: str) -> tuple[Dat
     known = rows.join(good.filter(held), F.col("id") == F.col("good"), "left_semi")
     level = known.agg(F.percentile_approx("log_weight", LOSS, 10_000)).first()[0]
     k = rows.count() if level is None else rows.filter(F.col("log_weight") >= level).count()
-    return rows, ratio, kth_largest(rows, "sample", k)
+    least = kth_largest(rows, "sample", k)
+    freed(good)
+    return rows, ratio, least
 
 
 def _noise(text: str, key: str) -> Column:
@@ -174,7 +176,8 @@ def resampled(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that are drawn, unchanged.  They are weighed once more on their way, rather than written or shuffled."""
-    _, ratio, least = _drawn(docs, labels, text, key)
+    drawn, ratio, least = _drawn(docs, labels, text, key)
+    freed(drawn)
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], _noise(text, key))
     if docs.schema[text].dataType == StringType():

@@ -424,7 +424,7 @@ def numbered(docs: DataFrame, text: str, carry: tuple[str, ...]) -> tuple[DataFr
     return staged(rows.mapInArrow(squeeze, rows.schema), "suffix-texts"), names
 
 
-def _removed(docs: DataFrame, text: str, carry: tuple[str, ...], with_text: bool, length: int, gram: int) -> tuple[DataFrame, list[str], list[str]]:
+def _removed(docs: DataFrame, text: str, carry: tuple[str, ...], with_text: bool, length: int, gram: int, left: list[DataFrame] | None = None) -> tuple[DataFrame, list[str], list[str]]:
     """What ``remove_repeats`` returns, with the carried columns under names of their own: those, and the names made."""
     small_batches(docs.sparkSession)
     texts, names = numbered(docs, text, carry)
@@ -445,13 +445,16 @@ def _removed(docs: DataFrame, text: str, carry: tuple[str, ...], with_text: bool
                     pieces.append(data[at:low])
                     at = high
                 pieces.append(data[at:])
-                left = b"".join(pieces)
-                for column, v in zip(out, (len(data), len(data) - len(left), len(removed), sha256(left).hexdigest(), left.decode("utf-8", "ignore"))):
+                rest = b"".join(pieces)
+                for column, v in zip(out, (len(data), len(data) - len(rest), len(removed), sha256(rest).hexdigest(), rest.decode("utf-8", "ignore"))):
                     column.append(v)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*[b[n] for n in names], *[pa.array(x, t) for x, t in zip(out, types)]], [*names, *[f.name for f in made]])
 
-    ready = texts.join(repeated_spans(texts, length, gram), "row", "left").select("packed", "spans", *names)
+    spans = repeated_spans(texts, length, gram)
+    if left is not None:
+        left += [texts, spans]
+    ready = texts.join(spans, "row", "left").select("packed", "spans", *names)
     return ready.mapInArrow(run, StructType([*[texts.schema[n] for n in names], *made])), names, [f.name for f in made]
 
 
@@ -461,14 +464,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", carry: tuple[str, ...] =
     return done.select(*[F.col(n).alias(c) for n, c in zip(names, carry)], *made)
 
 
-def without_repeats(docs: DataFrame, text: str = "text", count: str | None = "n_chars") -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", count: str | None = "n_chars", left: list[DataFrame] | None = None) -> DataFrame:
     """The rows of ``docs`` with repeated passages cut out of their texts (and the column ``count`` brought up to date).
 
-    A character of which only some bytes stay goes too; null texts stay null.
+    A character of which only some bytes stay goes too; null texts stay null.  ``left`` gets the written tables that the
+    result reads, to be freed once it is written.
     """
     missing = free_name(docs, "missing")
     carry = [*[c for c in docs.columns if c != text], missing]
-    done, names, _ = _removed(docs.withColumn(missing, F.col(f"`{text}`").isNull()), text, tuple(carry), True, LENGTH, GRAM)
+    done, names, _ = _removed(docs.withColumn(missing, F.col(f"`{text}`").isNull()), text, tuple(carry), True, LENGTH, GRAM, left)
     at = {c: F.col(n) for c, n in zip(carry, names)}
     at[text] = F.when(at[missing], F.lit(None).cast("string")).otherwise(F.col("kept"))
     if count in docs.columns and count != text:

@@ -707,6 +707,21 @@ def test_pipeline(spark, sf):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+def test_pipeline_leaves_what_its_result_reads(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        packed = corpus_pipeline.run(spark, sf)
+        read = {x.rpartition("/")[0].rpartition("/")[2] for x in packed.inputFiles()}
+        left = {x.name for x in tmp_path.iterdir()}
+        assert left <= read | {x for x in left if x.startswith("pipeline-suffix")} and len(left) <= 2
+        assert packed.count() > 0
+    finally:
+        spark.conf.set("spark.checkpoint.dir", shared)
+
+
 def brute_pipeline(rows, good):
     """Pieces of documents, by each stage's rules in plain Python."""
     kept = {i for i, x in brute_resampled(rows, good).items() if x[3]}
