@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import blocks, let, running
 from ..functions.text import chunk_id, classify_kind, content_hash, detect_language, line_breaks, trim_space
 
 # Lines at which code of a language is cut, first match wins; group 1 is the name.
@@ -21,6 +22,8 @@ BOUNDARIES = {
     "ts": (*_JS, r"^(?:export\s+)?(?:abstract\s+)?class\s+(\w+)"),
     "rs": (r"^(?:pub\s+)?(?:async\s+)?fn\s+(\w+)\s*\(", r"^(?:pub\s+)?(?:struct|enum|trait|impl)\s+(?:<[^>]+>\s+)?(\w+)"),
 }
+#: Characters of a text from which on windows are cut out of its form in UTF-32.
+LONG = 1 << 16
 _MARK = "struct<offset:int,name:string,level:int,line:int>"
 
 
@@ -42,17 +45,29 @@ def windows(start: Column, end: Column, max_chars: int, overlap: int) -> Column:
 
 
 def marks(content: Column, of_line) -> Column:
-    """Array of (offset, name, level, line) for the lines on which ``of_line`` gives (matches, name, level)."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast(f"array<{_MARK}>").alias("found"))
+    """Array of (offset, name, level, line) for the lines on which ``of_line`` gives (matches, name, level).
+
+    Lines are folded block by block, so what a fold has found is copied for its block's marks only.
+    """
+    none = F.array().cast(f"array<{_MARK}>")
 
     def step(state: Column, line: Column) -> Column:
         matches, name, level = of_line(line["text"])
         mark = F.struct(state["at"].alias("offset"), name.alias("name"), level.cast("int").alias("level"), state["line"].alias("line"))
         return F.struct((state["at"] + line["size"]).alias("at"), (state["line"] + 1).alias("line"), F.when(matches, F.concat(state["found"], F.array(mark))).otherwise(state["found"]).alias("found"))
 
+    def of_block(lines: Column) -> Column:
+        return F.aggregate(lines, F.struct(F.lit(0).alias("at"), F.lit(0).alias("line"), none.alias("found")), step)
+
+    def joined(parts: Column) -> Column:
+        at, line = (let(running(F.transform(parts, lambda p: p[c].cast("long"))), lambda x: F.transform(x, lambda n: n.cast("int"))) for c in ("at", "line"))
+        starts = F.zip_with(at, line, lambda a, n: F.struct(a.alias("at"), (n + 1).alias("line")))
+        move = lambda s: lambda m: F.struct((m["offset"] + s["at"]).alias("offset"), m["name"].alias("name"), m["level"].alias("level"), (m["line"] + s["line"]).alias("line"))
+        return F.flatten(F.zip_with(parts, starts, lambda p, s: F.transform(p["found"], move(s))))
+
     # trimmed once, before what is asked of a line
     lines = F.transform(F.split(content, "\n", -1), lambda x: F.struct(trim_space(x).alias("text"), (F.length(x) + 1).alias("size")))
-    return F.aggregate(lines, start, step, lambda s: s["found"])
+    return let(lines, lambda x: let(F.transform(blocks(x), of_block), joined))
 
 
 def headings(content: Column) -> Column:
@@ -93,17 +108,20 @@ def build_chunks(docs: DataFrame, config: Chunking = Chunking()) -> DataFrame:
     whole = F.array(F.struct(F.lit(0).alias("offset"), F.lit("").alias("name"), F.lit(0).alias("level"), F.lit(1).alias("line")))
     # what stands before the first boundary of code is a section; before the first heading it is lost
     lead = F.when(some & (F.col("kind") == "code") & (F.col("_marks")[0]["offset"] > 0), whole).otherwise(none)
+    # characters of a long text are found by their place where each has four bytes, not by counting from its start
+    wide = F.when(F.col("_n") > LONG, F.encode(content, "UTF-32"))
     base = base.withColumn("_sections", F.when(some, F.concat(lead, F.col("_marks"))).otherwise(whole))
     sections = F.col("_sections")
 
     step = config.max_chars - config.overlap_chars if config.max_chars > config.overlap_chars else config.max_chars
 
-    def cut(mark: Column, i: Column) -> Column:
+    def cut(mark: Column, i: Column, wide: Column) -> Column:
         """A section's windows with their text and the line breaks in it, and in what the next window doesn't repeat."""
         end = F.coalesce(F.get(sections, i + 1)["offset"], F.col("_n"))
 
         def window(w: Column) -> Column:
-            raw = F.substring(content, w["s"] + 1, w["e"] - w["s"])
+            far = F.decode(F.substring(wide, 4 * w["s"] + 1, 4 * (w["e"] - w["s"])), "UTF-32")
+            raw = F.when(wide.isNotNull(), far).otherwise(F.substring(content, w["s"] + 1, w["e"] - w["s"]))
             return F.struct(raw.alias("raw"), F.when(w["first"], mark["name"]).otherwise("").alias("name"), F.when(w["first"], mark["level"]).otherwise(0).alias("level"), mark["line"].alias("line"))
 
         # one step after another, so that no text is cut out twice
@@ -113,13 +131,12 @@ def build_chunks(docs: DataFrame, config: Chunking = Chunking()) -> DataFrame:
     def numbered(section: Column) -> Column:
         """Windows with trimmed text, first and last line: a section's lines are counted from its mark's, each character once."""
 
-        def window(w: Column, i: Column) -> Column:
-            before = F.aggregate(F.slice(section["own"], F.lit(1), i), F.lit(0), lambda n, x: n + x)
+        def window(w: Column, before: Column) -> Column:
             return F.struct(trim_space(w["raw"]).alias("body"), w["name"].alias("name"), w["level"].alias("level"), (w["line"] + before).cast("long").alias("line"), w["breaks"].alias("breaks"))
 
-        return F.transform(section, window)
+        return F.zip_with(section, running(F.transform(section, lambda w: w["own"].cast("long"))), window)
 
-    base = base.withColumn("_cut", F.transform(sections, cut))
+    base = base.withColumn("_cut", let(wide, lambda x: F.transform(sections, lambda mark, i: cut(mark, i, x))))
     base = base.withColumn("_windows", F.flatten(F.transform("_cut", numbered)))
     count = F.size("_windows")
     record = F.transform("_windows", lambda w, i: F.struct(i.cast("long").alias("index"), *[w[c].alias(c) for c in ("body", "name", "level", "line")], (w["line"] + w["breaks"]).alias("end_line")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.arrays import let, running
 from ..functions.text import WHITE_SPACE, snippet, trim_space
 from ..functions.vectors import cosine
 
@@ -30,31 +31,33 @@ def vector_top_k(embeddings: DataFrame, query: list[float], k: int, key: str = "
 
 
 def submatches(line: Column, pattern: str) -> Column:
-    """Byte start, byte end and text of every match; matches of nothing are left out."""
-    texts = F.filter(F.regexp_extract_all(line, F.lit(f"({pattern})"), 1), lambda x: x != "")
-    gaps = F.split(line, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    """Byte start, byte end and text of every match, from left to right; matches of nothing are left out.
 
-    def step(s: Column, x: Column) -> Column:
-        low = s["at"] + F.octet_length(x["gap"])
-        high = low + F.octet_length(x["text"])
-        return F.struct(high.alias("at"), F.concat(s["out"], F.array(F.struct(low.alias("start"), high.alias("end"), x["text"].alias("text")))).alias("out"))
+    One pass sets a mark on both sides of every match, of those of nothing too; the mark holds the line's own hash, so no line
+    has it.  What stands between marks is then a gap, a match, a gap and so on.
+    """
+    mark = F.concat(F.lit("\ufdd0"), F.sha1(line.cast("binary")), F.lit("\ufdd0"))
+    parts = F.split(F.regexp_replace(line, F.lit(pattern), F.concat(mark, F.lit("$0"), mark)), mark, -1)
+
+    def placed(parts: Column) -> Column:
+        starts = running(F.transform(parts, lambda x: F.octet_length(x).cast("long")))
+        struct = lambda x, at: F.struct(at.cast("int").alias("start"), (at + F.octet_length(x)).cast("int").alias("end"), x.alias("text"))
+        return F.filter(F.zip_with(parts, starts, struct), lambda x, i: (i % 2 == 1) & (x["text"] != ""))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(texts)), texts, lambda g, t: F.struct(g.alias("gap"), t.alias("text")))
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
+    return let(parts, placed)
 
 
 def exact_lines(docs: DataFrame, query: str, limit: int, per_file: int = LINES_PER_FILE) -> DataFrame:
-    """The first ``limit`` lines, by path, that match a case-insensitive regular expression, at most per_file a file.
+    """The first ``limit`` lines, by path, that match a case-insensitive regular expression, at most per_file a file (a row).
 
     ``submatches`` count bytes of the line as it stands; ``line_text`` is trimmed, by ``lead`` bytes in front.
     """
     pattern = f"(?iu){query}"
     # line by line: over a whole text, anchors and look-around would see what a line doesn't have
     numbered = F.transform(F.split("content", "\n", -1), lambda line, at: F.struct((at + 1).cast("long").alias("line_number"), line.alias("line")))
-    hits = docs.select(F.col("abs_path").alias("file_path"), "rel_path", "source_name", F.explode(F.filter(numbered, lambda x: x["line"].rlike(pattern))).alias("x"))
+    own = F.slice(F.filter(numbered, lambda x: x["line"].rlike(pattern)), F.lit(1), F.lit(per_file))
+    hits = docs.select(F.col("abs_path").alias("file_path"), "rel_path", "source_name", F.explode(own).alias("x"))
     found = hits.select("file_path", "rel_path", "source_name", "x.line_number", "x.line")
-    found = found.withColumn("_n", F.row_number().over(W.partitionBy("file_path").orderBy("line_number"))).filter(F.col("_n") <= per_file)
     top = found.select("file_path", "rel_path", "source_name", "line_number", trim_space(F.col("line")).alias("line_text"), "line").orderBy("file_path", "line_number").limit(limit)
     ranked = top.withColumn("rank", (F.row_number().over(W.orderBy("file_path", "line_number")) - 1).cast("int"))
     lead = F.octet_length("line") - F.octet_length(F.ltrim("line", F.lit(WHITE_SPACE)))

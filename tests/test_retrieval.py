@@ -1,4 +1,7 @@
 import os
+import random
+import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -7,7 +10,9 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as t
 from gleaner.functions import vectors as v
+from gleaner.functions.arrays import running
 from gleaner.functions.catalog import MODELS
+from gleaner.operators import chunking
 from gleaner.operators import search as s
 from gleaner.operators.chunking import Chunking, build_chunks, windows
 from gleaner.plans import output
@@ -122,6 +127,49 @@ def test_submatches_are_byte_offsets(spark):
     assert [(x["start"], x["end"], x["text"]) for x in got] == [(3, 5, "ab"), (6, 8, "Ab")]
 
 
+@pytest.mark.parametrize("pattern", ["x*", "a|b*", "a{0,2}b?", r"\bx", "^a|c$", "x(?=a)", r"(a|b)\1", "[^a]", "é+", r"$|x", "(?<=a)x+", "(x)(a)?"])
+def test_submatches_are_those_of_a_search(spark, pattern):
+    rng = random.Random(len(pattern))
+    lines = ["abxxc xx", "", "aaaa", "x" * 5000, "\ufdd0x\ufdd0", "$0 \\x"] + ["".join(rng.choice("abcxé日 X") for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    got = spark.createDataFrame([(x,) for x in lines], "l string").select("l", s.submatches(F.col("l"), f"(?iu){pattern}").alias("m")).collect()
+    for r in got:
+        at = lambda n, line=r["l"]: len(line[:n].encode())
+        want = [(at(m.start()), at(m.end()), m[0]) for m in re.finditer(f"(?i){pattern}", r["l"]) if m[0]]
+        assert [(x["start"], x["end"], x["text"]) for x in r["m"]] == want, r["l"]
+
+
+def test_running_sums(spark):
+    rows = [([3] * n,) for n in (0, 1, 2, 3, 4, 5, 16, 17, 1000)] + [(list(range(77)),)]
+    got = spark.createDataFrame(rows, "v array<long>").select("v", running(F.col("v")).alias("r")).collect()
+    assert all(r["r"] == [sum(r["v"][:i]) for i in range(len(r["v"]))] for r in got)
+
+
+@pytest.mark.parametrize("ext", ["md", "txt"])
+def test_long_texts_are_cut_as_short_ones(spark, monkeypatch, ext):
+    """Windows from the form of four bytes a character, in characters of one to four bytes; many sections and windows."""
+    body = "".join(f"# Head {i} é\n" + "wörd 日本 🙂 word\n" * (i % 40) for i in range(300))
+    plain = chunks(spark, f"a.{ext}", body)
+    assert len(plain) > 90
+    monkeypatch.setattr(chunking, "LONG", 10)
+    assert [r.asDict() | {"created_at": None} for r in chunks(spark, f"a.{ext}", body)] == [r.asDict() | {"created_at": None} for r in plain]
+
+
+def test_time_of_chunking_is_linear(spark):
+    """Ten times the text with ten times the headings takes no more than some ten times the time."""
+    body = "# Head\n" + "word wörd " * 20 + "\n"
+
+    def seconds(n):
+        docs = documents(spark, ("s", "a.md", body * n)).cache()
+        docs.count()
+        began = time.monotonic()
+        build_chunks(docs).select(F.sum(F.length("content"))).collect()
+        docs.unpersist()
+        return time.monotonic() - began
+
+    seconds(2_000)
+    assert seconds(40_000) < 25 * max(seconds(4_000), 0.5)
+
+
 @pytest.mark.parametrize("ranges, want", [([(0, 5)], "[hello] world"), ([(0, 5), (3, 8)], "[hello wo]rld"), ([], "hello world"), ([(20, 30)], "hello world"), ([(6, 11), (0, 2)], "[he]llo [world]")])
 def test_highlight(ranges, want):
     assert output.highlight("hello world", ranges).replace(output.ON, "[").replace(output.OFF, "]") == want
