@@ -601,7 +601,7 @@ def test_wrapped_prose_stays(width):
 PARTS = st.sampled_from(["word", "end.", "#", "|", "!!", "»", "sign", "in", "Privacy", "policy", "cookies", "we", "use", "。", "…", "'s", "\n", "\n", "\n \n", "•", "\t", "d’utilisation", "conditions", "\u00a0"])
 
 
-@settings(max_examples=200)
+@settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(PARTS, max_size=60).map(" ".join), max_size=4))
 def test_rules_are_those_of_brute_force(texts):
     known = quality_rules.Words()
