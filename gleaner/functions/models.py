@@ -1,15 +1,23 @@
-"""Embedding by a model's files: token ids, batches, mean pooling.  Workers open a model once."""
+"""Embedding by a model's files: token ids, batches, mean pooling.  Workers open a model once.
+
+The files are sent to the executors with the job.  A model that can't be opened there fails the job; only texts that an open
+model fails on are hashed instead, and each vector says whether it was.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import logging
 import os
 import shutil
+import tempfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Model
@@ -18,6 +26,7 @@ from .wordpiece import hashed_ids, load
 
 # Names of the files of a model, texts that it is given at once, and texts that are hashed together if it fails.
 MODEL_FILE, TOKENIZER_FILE, TEXTS, TOGETHER = "model.onnx", "tokenizer.json", 8, 32
+log = logging.getLogger("gleaner")
 
 
 def ensure_model(model: Model, folder: str, mirror: str) -> str:
@@ -47,15 +56,33 @@ def available(folder: str) -> bool:
     return os.path.isfile(os.path.join(folder, MODEL_FILE))
 
 
+def sent(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """Names under which executors find a model's file and its tokenizer's ('' if there is none): one for each state of the file."""
+    names = []
+    for file in (MODEL_FILE, TOKENIZER_FILE):
+        path = os.path.join(os.path.abspath(folder), file)
+        if not os.path.isfile(path):
+            names.append("")
+            continue
+        about = os.stat(path)
+        name = f"{hashlib.sha1(f'{path}|{about.st_size}|{about.st_mtime_ns}'.encode()).hexdigest()}-{file}"
+        if not os.path.exists(SparkFiles.get(name)):
+            link = os.path.join(tempfile.mkdtemp(prefix="gleaner-model-"), name)
+            os.symlink(path, link)
+            spark.sparkContext.addFile(f"file://{link}")  # without a scheme, the name would be that of what the link points to
+        names.append(name)
+    return names[0], names[1]
+
+
 @lru_cache(4)
-def open_session(folder: str):
+def open_session(path: str):
     """An inference session on one core: Spark runs a worker for each."""
     import onnxruntime
 
     options = onnxruntime.SessionOptions()
     options.intra_op_num_threads = 1
     options.graph_optimization_level = onnxruntime.GraphOptimizationLevel.ORT_ENABLE_ALL
-    return onnxruntime.InferenceSession(os.path.join(folder, MODEL_FILE), options, providers=["CPUExecutionProvider"])
+    return onnxruntime.InferenceSession(path, options, providers=["CPUExecutionProvider"])
 
 
 def mean_pooled(states: np.ndarray, mask: np.ndarray, normalize: bool) -> np.ndarray:
@@ -82,29 +109,47 @@ def embed_batch(session, ids: list[list[int]], dim: int, normalize: bool) -> np.
     return mean_pooled(np.asarray(states), mask, normalize)
 
 
-def embed_texts(texts: list[str], model: Model, folder: str, opened: Callable = open_session) -> list[np.ndarray]:
-    """Vectors of texts.  What a session fails on is hashed instead, batch by batch."""
-    path = os.path.join(folder, TOKENIZER_FILE)
-    encode = load(path).encode if os.path.isfile(path) else hashed_ids
+def embed_texts(texts: list[str], model: Model, session, tokenizer: str = "") -> tuple[list[np.ndarray], list[bool]]:
+    """Vectors of texts by an open session, and which are hashed because it failed on their batch; tokenizer: its file, '' for hashed ids."""
+    encode = load(tokenizer).encode if tokenizer else hashed_ids
     out: list[np.ndarray] = []
+    hashed: list[bool] = []
     for k in range(0, len(texts), TOGETHER):
         some = texts[k : k + TOGETHER]
         ids = [encode(t)[: model.max_tokens] for t in some]
         try:
-            parts = [embed_batch(opened(folder), ids[i : i + TEXTS], model.dimension, model.normalize) for i in range(0, len(ids), TEXTS)]
+            parts = [embed_batch(session, ids[i : i + TEXTS], model.dimension, model.normalize) for i in range(0, len(ids), TEXTS)]
             out += [v for part in parts for v in part]
-        except Exception:  # whatever the runtime raises for these texts
+            hashed += [False] * len(some)
+        except Exception as e:  # whatever the runtime raises for these texts
+            log.warning("the model failed on %d texts, which are hashed: %s", len(some), e)
             out += [embed_text(t, model.dimension, model.normalize) for t in some]
-    return out
-
-
-def embedder(model: Model, folder: str | None = None, opened: Callable = open_session) -> Callable[[Column], Column]:
-    """Arrow function text -> array<float>: the model's, or hashed words where its files aren't found."""
-    if folder is None or not available(folder):
-        return hash_embedder(model.dimension, model.normalize)
-
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            hashed += [True] * len(some)
+    return out, hashed
+
+
+def embed_here(text: str, model: Model, folder: str) -> np.ndarray:
+    """The vector of one text by the model's files on this machine."""
+    tokenizer = os.path.join(folder, TOKENIZER_FILE)
+    session = open_session(os.path.join(folder, MODEL_FILE))
+    vectors, hashed = embed_texts([text], model, session, tokenizer if os.path.isfile(tokenizer) else "")
+    if hashed[0]:
+        raise RuntimeError(f"{model.name} failed on the text")
+    return vectors[0]
+
+
+def embedder(model: Model, spark: SparkSession | None = None, folder: str | None = None, opened: Callable = open_session) -> Callable[[Column], Column]:
+    """Expression text -> struct(vector, hashed): the model's vectors, or hashed words if no folder is given (those don't count as hashed)."""
+    if folder is None:
+        return lambda text: F.struct(hash_embedder(model.dimension, model.normalize)(text).alias("vector"), F.lit(False).alias("hashed"))
+    name, tokenizer = sent(spark, folder)
+    if not name:
+        raise FileNotFoundError(f"no {MODEL_FILE} in {folder}")
+
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        session = opened(SparkFiles.get(name))
         for s in batches:
-            yield pd.Series(embed_texts(s.fillna("").tolist(), model, folder, opened))
+            vectors, hashed = embed_texts(s.fillna("").tolist(), model, session, SparkFiles.get(tokenizer) if tokenizer else "")
+            yield pd.DataFrame({"vector": vectors, "hashed": hashed})
 
-    return F.pandas_udf(embed, "array<float>")
+    return F.pandas_udf(embed, "vector array<float>, hashed boolean")

@@ -43,6 +43,26 @@ def records_by_file(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined.select(*KEY, "content_hash", "modified_at", "byte_size", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"))
 
 
+def files_by_time(files: DataFrame, state: DataFrame) -> DataFrame:
+    """Listed files with ``same``: whether the state has them with their time, so that nobody need read them."""
+    then = state.select(*KEY, F.col("modified_at").alias("_m0"), F.lit(True).alias("_old"))
+    return files.join(then, KEY, "left").withColumn("same", F.coalesce(F.col("_old") & F.col("modified_at").eqNullSafe(F.col("_m0")), F.lit(False))).drop("_m0", "_old")
+
+
+def listed_diff(files: DataFrame, read: DataFrame, state: DataFrame) -> DataFrame:
+    """``state_diff`` from a listing with ``same`` and the documents read of those that aren't."""
+    read = read.select(*KEY, "modified_at", "content_hash")
+    known = files.filter("same").select(*KEY).join(state.select(*KEY, "modified_at", "content_hash"), KEY)
+    return state_diff(read.unionByName(known), state)
+
+
+def records_of_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """State rows of listed files from their chunks; files without chunks are there if they are empty (others aren't text)."""
+    own = chunks.groupBy(*KEY).agg(F.first("content_hash").alias("content_hash"), F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "id"))), lambda x: x["id"]).alias("chunk_ids"))
+    joined = files.join(own, KEY, "left").filter(F.col("chunk_ids").isNotNull() | (F.col("byte_size") == 0))
+    return joined.select(*KEY, F.coalesce("content_hash", F.sha1(F.lit("").cast("binary"))).alias("content_hash"), "modified_at", "byte_size", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"))
+
+
 def update_state(state: DataFrame, diff: DataFrame, fresh: DataFrame) -> DataFrame:
     """State without deleted and changed files, and with the fresh rows; touched but unchanged files keep their old time."""
     gone = diff.filter(F.col("status").isin("deleted", "changed"))

@@ -47,6 +47,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         logging.basicConfig(stream=sys.stderr, format="%(name)s: %(message)s")
         logging.getLogger("gleaner").setLevel(logging.DEBUG)
     spark = spark or SparkSession.builder.appName("gleaner").config("spark.ui.showConsoleProgress", str(not verbose).lower()).getOrCreate()
+    engine = None
     try:
         if a.command == "init":
             Engine.init(spark, a.base, a.force)
@@ -74,7 +75,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             for check, state, message, hint in engine.doctor():
                 print(f"{state}\t{check}\t{message}" + (f"\t{hint}" if hint else ""))
     except KeyboardInterrupt:
-        spark.sparkContext.cancelAllJobs()
+        if engine:
+            engine.cancel()
         print("Cancelled", file=sys.stderr)
         return 130
     except (ConfigError, FileNotFoundError, ValueError) as e:

@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import MODELS
 from ..functions.text import chunking_hash, content_hash, kind_of_path, language_of_path, snippet
-from ..functions.models import available, embed_texts, embedder
+from ..functions.models import available, embed_here, embedder
 from ..functions.vectors import embed_text
 from ..operators import maintenance as m
 from ..operators import search as s
+from ..operators import trigrams
 from ..operators.chunking import build_chunks
 from ..sources.bundle import Bundle, ModelMismatch
-from ..sources.scan import Source, scan_sources
+from ..sources.scan import Source, list_files, read_files
+from ..sources.shared import remove
 from .config import Config, ConfigError
 from .output import format_size
 
@@ -92,14 +94,33 @@ class Engine:
 
     # -- indexing ---------------------------------------------------------
 
-    def scan(self, only: str = "") -> DataFrame:
-        docs = scan_sources(self.spark, self.config.sources, only, defaults=self.config.ignore, use_gitignore=self.config.use_gitignore)
-        return docs.withColumn("content_hash", content_hash(F.col("content")))
+    @contextmanager
+    def listing(self, only: str = "") -> Iterator[DataFrame]:
+        """What is in the sources now: paths, sizes and times, kept until the end of the block."""
+        work = f"{self.bundle.path}/scan-{uuid.uuid4().hex}"
+        try:
+            yield list_files(self.spark, self.config.sources, only, defaults=self.config.ignore, use_gitignore=self.config.use_gitignore, work=work)
+        finally:
+            remove(self.spark, work)
 
-    def embed(self, chunks: DataFrame) -> DataFrame:
-        """chunk_id, vector; ids travel with the texts, so nothing is paired by position."""
+    def scan(self, only: str = "") -> DataFrame:
+        """Documents of the sources; their listing stays in the shared folder, since the result reads it."""
+        return _hashed(read_files(list_files(self.spark, self.config.sources, only, defaults=self.config.ignore, use_gitignore=self.config.use_gitignore)))
+
+    def by_model(self) -> bool:
+        """Whether a model's files are there; if not, words are hashed."""
+        return available(self.model_folder(self.model.mode))
+
+    def embed(self, chunks: DataFrame, by_model: bool | None = None) -> DataFrame:
+        """source_name, rel_path, chunk_id, vector, hashed (whether the model failed on it); ids travel with the texts, so nothing is paired by position."""
+        folder = self.model_folder(self.model.mode)
+        if by_model is None:
+            by_model = self.by_model()
+        if not by_model:
+            log.warning("no files of %s in %s: words are hashed", self.model.name, folder)
         text = F.concat(F.lit(self.model.document_prefix), "content")
-        return chunks.select(F.col("id").alias("chunk_id"), embedder(self.model, self.model_folder(self.model.mode))(text).alias("vector"))
+        made = chunks.select("source_name", "rel_path", F.col("id").alias("chunk_id"), embedder(self.model, self.spark, folder if by_model else None)(text).alias("x"))
+        return made.select("source_name", "rel_path", "chunk_id", "x.vector", "x.hashed")
 
     def model_folder(self, mode: str) -> str:
         return os.path.join(self.config.base_dir, "models", mode)
@@ -108,60 +129,94 @@ class Engine:
         c = self.config.chunking
         return chunking_hash(c.max_chars, c.overlap_chars, c.min_chars, c.respect_headings)
 
-    def _write(self, chunks: DataFrame, embeddings: DataFrame, state: DataFrame) -> dict:
-        return self.bundle.write(chunks, embeddings, state, self.model, self._hash(), [asdict(x) for x in self.config.sources if x.enabled])
+    def _write(self, begun: dict, segment: str, docs: DataFrame, files: DataFrame | None, dead: DataFrame | None, by_model: bool, **about) -> dict:
+        """A segment of documents: chunks first, vectors and state from them; files: their listing, if they were listed; dead: files whose earlier rows go."""
+        with self.phase("chunks"):
+            chunks = self.bundle.put(segment, "chunks", build_chunks(docs, self.config.chunking))
+        with self.phase("trigrams"):
+            self.bundle.put(segment, "grams", trigrams.postings(docs))
+        with self.phase("vectors"):
+            self.bundle.put(segment, "embeddings", self.embed(chunks, by_model))
+        with self.phase("state"):
+            self.bundle.put(segment, "state", m.records_by_file(docs, chunks) if files is None else m.records_of_files(files, chunks))
+            gone = 0 if dead is None else self.bundle.put(segment, "dead", dead).count()
+            about |= {"tables": ["grams"], "embedded": "model" if by_model else "hash"}
+            out = self.bundle.note(segment, gone, begun, self.model, self._hash(), [asdict(x) for x in self.config.sources if x.enabled], dead is None, **about)
+        if out["hashed_count"]:
+            log.warning("%d vectors are hashed words, since the model failed on their texts", out["hashed_count"])
+        return out
 
     def rebuild(self, docs: DataFrame | None = None, only: str = "") -> dict:
         """Index everything anew; with ``only``, the bundle then holds that source alone."""
-        docs = self.scan(only) if docs is None else docs
-        docs = docs.persist()
-        chunks = build_chunks(docs, self.config.chunking).persist()
-        try:
-            with self.phase("index"):
-                return self._write(chunks, self.embed(chunks), m.records_by_file(docs, chunks))
-        finally:
-            chunks.unpersist()
-            docs.unpersist()
+        begun, segment = self.bundle.begin()
+        if docs is not None:
+            return self._write(begun, segment, _hashed(docs), None, None, self.by_model())
+        with self.listing(only) as files:
+            return self._write(begun, segment, read_files(files), files, None, self.by_model())
 
     def index(self, full: bool = False, only: str = "") -> dict:
         """Full if asked for, if nothing is indexed, or if model or chunking changed; else a sync."""
         manifest = self.bundle.manifest()
-        stale = not manifest["data"] or manifest["chunking_hash"] != self._hash() or manifest["model"]["mode"] != self.model.mode
+        stale = not manifest["segments"] or manifest["chunking_hash"] != self._hash() or manifest["model"]["mode"] != self.model.mode or (manifest["embedded"] == "model") != self.by_model()
         return self.rebuild(only=only) if full or stale else self.sync(only=only)
 
     def sync(self, docs: DataFrame | None = None, only: str = "") -> dict:
-        """Bring the bundle up to date; with ``only``, other sources are left as they are."""
-        manifest = self.bundle.manifest()
-        if not manifest["data"]:
+        """Bring the bundle up to date by a segment of what is new or changed; with ``only``, other sources are left as they are.
+
+        Without ``docs``, sources are listed, and only files that are new or of another time are read.
+        """
+        begun, segment = self.bundle.begin()
+        if not begun["segments"]:
             return self.rebuild(docs, only)
-        if manifest["model"]["mode"] != self.model.mode:
-            raise ModelMismatch(f"indexed with {manifest['model']['mode']}, not {self.model.mode}: rebuild")
-        docs = (self.scan(only) if docs is None else docs).persist()
-        state = self.bundle.state()
+        self._suits(begun)
+        state = self.bundle.live("state", begun)
         scope = state.filter(F.col("source_name") == only) if only else state
-        diff = m.state_diff(docs, scope).persist()
-        counts = {r["status"]: r["count"] for r in diff.groupBy("status").count().collect()}  # four rows at most
+        if docs is not None:
+            docs = _hashed(docs)
+            return self._sync(begun, segment, docs, None, m.state_diff(docs, scope))
+        with self.listing(only) as files:
+            files = m.files_by_time(files, scope)
+            read = files.filter("not same").drop("same")
+            touched = _hashed(read_files(read))
+            return self._sync(begun, segment, touched, read, m.listed_diff(files, touched, scope))
+
+    def _suits(self, begun: dict) -> None:
+        if begun["model"]["mode"] != self.model.mode:
+            raise ModelMismatch(f"indexed with {begun['model']['mode']}, not {self.model.mode}: rebuild")
+        if begun["embedded"] == "model" and not self.by_model():
+            raise ModelMismatch(f"indexed by {self.model.name}, whose files aren't in {self.model_folder(self.model.mode)}: rebuild to hash words")
+
+    def upsert(self, docs: DataFrame, **about) -> dict:
+        """Put documents in the place of what the bundle has of their files, whatever that is: it isn't read.  about: what the manifest keeps with it."""
+        begun, segment = self.bundle.begin()
+        docs = _hashed(docs)
+        if not begun["segments"]:
+            return self._write(begun, segment, docs, None, None, self.by_model(), **about)
+        self._suits(begun)
+        self._write(begun, segment, docs, None, docs.select(*m.KEY).distinct(), begun["embedded"] == "model", counted=False, **about)
+        return self.bundle.compact()
+
+    def _sync(self, begun: dict, segment: str, docs: DataFrame, files: DataFrame | None, diff: DataFrame) -> dict:
+        with self.phase("differences"):
+            diff = self.bundle.put(segment, "diff", diff)
+            counts = {r["status"]: r["count"] for r in diff.groupBy("status").count().collect()}  # four rows at most
         out = {k: counts.get(k, 0) for k in ("new", "changed", "deleted", "unchanged")}
-        if counts.keys() - {"unchanged"}:
-            gone = m.expand_state_ids(scope, diff.filter(F.col("status").isin("changed", "deleted")))
-            delta = m.files_to_process(docs, diff)
-            fresh = build_chunks(delta, self.config.chunking).persist()
-            chunks = m.merge_rows(m.remove_chunks(self.bundle.chunks(), gone), fresh)
-            vectors = m.merge_rows(m.remove_chunks(self.bundle.embeddings(), gone, "chunk_id"), self.embed(fresh), "chunk_id")
-            with self.phase("sync"):
-                manifest = self._write(chunks, vectors, m.update_state(state, diff, m.records_by_file(delta, fresh)))
-            fresh.unpersist()
-        for df in (docs, diff):
-            df.unpersist()
-        return manifest | out
+        log.debug("%(new)d new, %(changed)d changed, %(deleted)d deleted, %(unchanged)d unchanged", out)
+        if not counts.keys() - {"unchanged"}:
+            self.bundle.abandon(segment)
+            return begun | out
+        dead = diff.filter(F.col("status").isin("changed", "deleted")).select(*m.KEY)
+        listed = None if files is None else m.files_to_process(files, diff)
+        self._write(begun, segment, m.files_to_process(docs, diff), listed, dead, begun["embedded"] == "model")
+        with self.phase("compaction"):
+            return self.bundle.compact() | out
 
     # -- searching --------------------------------------------------------
 
     def query_vector(self, query: str) -> list[float]:
         model = MODELS[self.bundle.manifest()["model"]["mode"]]  # the bundle's, not the configuration's
-        folder = self.model_folder(model.mode)
-        if available(folder):
-            return embed_texts([model.query_prefix + query], model, folder)[0].tolist()
+        if self.bundle.manifest()["embedded"] == "model":  # with hashed words, no vector would be near
+            return embed_here(model.query_prefix + query, model, self.model_folder(model.mode)).tolist()
         return embed_text(model.query_prefix + query, model.dimension, model.normalize).tolist()
 
     def search(self, query: str, mode: str = "hybrid", limit: int = 10, source: str = "", language: str = "", kind: str = "", directory: str = "", documents: DataFrame | None = None, prefilter: bool = False) -> DataFrame:
@@ -182,7 +237,7 @@ class Engine:
         else:
             fetch = s.hybrid_fetch(limit)
             hits = s.vector_top_k(self._vectors(chunks if prefilter else None), self.query_vector(query), fetch)
-            docs = self._documents(documents, source)
+            docs = self._documents(documents, source, query)
             found = s.rrf_fuse(hits, s.exact_lines(docs, query, fetch), chunks)
         order = [F.desc("score"), F.asc("semantic_rank"), F.asc("chunk_id")] if mode == "semantic" else [F.asc("exact_rank")] if mode == "exact" else [F.desc("score"), F.asc("chunk_id")]
         fetched = s.filtered(found, source=source).orderBy(*order).limit(fetch)
@@ -192,12 +247,20 @@ class Engine:
         vectors = self.bundle.embeddings()
         return vectors if chunks is None else vectors.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
 
-    def _documents(self, documents: DataFrame | None, source: str) -> DataFrame:
-        docs = self.scan(source) if documents is None else documents
-        return docs.filter(F.col("source_name") == source) if source else docs
+    def _documents(self, documents: DataFrame | None, source: str, pattern: str) -> DataFrame:
+        """What may hold lines of a pattern: indexed files that hold its trigrams, and all whose time isn't the indexed one."""
+        rows = documents
+        if documents is None:
+            rows = list_files(self.spark, self.config.sources, source, defaults=self.config.ignore, use_gitignore=self.config.use_gitignore)
+        if source:
+            rows = rows.filter(F.col("source_name") == source)
+        manifest, asked = self.bundle.manifest(), trigrams.condition(pattern)
+        if asked and "grams" in manifest.get("tables", []):
+            rows = trigrams.worth_searching(m.files_by_time(rows, self.bundle.live("state", manifest)), "same", self.bundle.grams(manifest), asked).drop("same")
+        return read_files(rows) if documents is None else rows
 
     def exact(self, query: str, limit: int, source: str = "", documents: DataFrame | None = None) -> DataFrame:
-        lines = s.exact_lines(self._documents(documents, source), query, limit)
+        lines = s.exact_lines(self._documents(documents, source, query), query, limit)
         return lines.select(
             F.lit("").alias("chunk_id"), "file_path", "rel_path", snippet(F.col("line_text")).alias("snippet"), F.lit(1.0).alias("score"), F.lit(-1).alias("semantic_rank"), F.col("rank").alias("exact_rank"), "source_name", kind_of_path(F.col("file_path")).alias("kind"), language_of_path(F.col("file_path")).alias("language"),
             F.lit("").alias("title"), F.col("line_number").alias("start_line"), F.col("line_number").alias("end_line"), F.lit("").alias("function_name"), F.lit(0).cast("long").alias("section_level"),
@@ -221,6 +284,7 @@ class Engine:
     def status(self) -> dict:
         """Bundle, time of indexing, model, files of each source, totals, and whether there is any state."""
         found = self.bundle.manifest()
+        found |= self.bundle.counts(found)
         when = found.get("indexed_at")
         counts = {r["name"]: r["files"] for r in self.files_per_source().collect()}  # a row for each source
         return {
@@ -249,12 +313,16 @@ class Engine:
             out.append((f"source {x.name}", "ok" if there else "warn", x.path, "" if there else "see that the path exists and can be read"))
         try:
             found = self.bundle.manifest()
-            out.append(("bundle", "ok" if found["data"] else "warn", f"{found.get('chunk_count', 0)} chunks, {format_size(self.bundle.size())}", "" if found["data"] else "run index"))
+            out.append(("bundle", "ok" if found["segments"] else "warn", f"{found.get('chunk_count', 0)} chunks, {format_size(self.bundle.size())}", "" if found["segments"] else "run index"))
         except FileNotFoundError as e:
             out.append(("bundle", "fail", str(e), "run init"))
         return out
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs if "content_hash" in docs.columns else docs.withColumn("content_hash", content_hash(F.col("content")))
+
+
 def _characters(text: str, terms: list | None) -> list[tuple[int, int]]:
     """Ranges of bytes as ranges of characters, those that lie in the text."""
     raw = text.encode()

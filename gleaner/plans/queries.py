@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +11,7 @@ from ..operators import maintenance as m
 from ..operators import search as s
 from ..operators.chunking import Chunking, build_chunks, code_boundaries, headings
 from ..sources.scan import table_documents
+from ..sources.shared import work_dir
 
 SMALL = Chunking(1000, 100, 10)
 TERM, LIMIT = "there", 500
@@ -23,16 +20,6 @@ EXTENSIONS = ("md", "markdown", "go", "rs", "tsx", "py", "java", "h", "zsh", "ym
 SOURCES = (("all", "/"), ("zero", "/src0"), ("zero deep", "/src0/en"), ("one", "/src1"), ("eleven", "/src11"))
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: below the checkpoint folder; a local one only where all run in one process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
-    return f"{shared.rstrip('/')}/retrieval-{uuid.uuid4().hex}"
-
-
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
