@@ -1,16 +1,19 @@
-"""Hash embeddings and similarity as column expressions; an Arrow function where Spark has no expression."""
+"""Hash embeddings, accents and similarity as column expressions; an Arrow function for whole hash vectors."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 # Fixed values of the 64-bit FNV-1a hash.
 BASIS, PRIME_LOW = 0xCBF29CE484222325, 435
 _MASK = 0xFFFFFFFF
@@ -37,14 +40,54 @@ def without_marks(text: str) -> str:
     return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
 
 
-def strip_accents(text: Column) -> Column:
-    """Arrow function, since Spark has no expression for decomposition."""
+@lru_cache(1)
+def _accents() -> tuple[str, str, dict[str, str], str]:
+    """From Unicode's canonical decompositions: characters that lose their marks and become one, those that they become; characters that become several; a class of marks."""
+    single, several, marks = {}, {}, []
+    for c in range(0x110000):
+        if 0xAC00 <= c < 0xD7A4 or 0xD800 <= c < 0xE000:  # Hangul syllables follow a rule of their own
+            continue
+        left = without_marks(chr(c))
+        if not left:
+            marks.append(c)
+        elif left != chr(c):
+            (single if len(left) == 1 else several)[chr(c)] = left
+    low = [c for c in marks if c - 1 not in set(marks)]
+    high = [c for c in marks if c + 1 not in set(marks)]
+    return "".join(single), "".join(single.values()), several, "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(low, high)) + "]"
 
-    def strip(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(lambda t: None if t is None else without_marks(t))
 
-    return F.pandas_udf(strip, "string")(text)
+def _syllables(text: Column) -> Column:
+    """Hangul syllables as their letters: 588 syllables begin alike, 28 have the first two letters in common."""
+    leads, vowels, tails = ("".join(map(chr, range(low, low + n))) for low, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+    letter = lambda letters, n: F.substring(F.lit(letters), n.cast("int") + 1, F.lit(1))
+
+    def split(c: Column) -> Column:
+        n = F.ascii(c) - 0xAC00
+        tail = F.when(n % 28 > 0, letter(tails, n % 28 - 1)).otherwise("")
+        return F.when((n >= 0) & (n < 11172), F.concat(letter(leads, F.floor(n / 588)), letter(vowels, F.floor(n % 588 / 28)), tail)).otherwise(c)
+
+    return F.array_join(F.transform(F.split(text, ""), split), "")
+
+
+def strip_accents(text: Column) -> Column:
+    """Canonical decomposition without combining marks, by characters: each is translated, and what marks are left go.
+
+    Texts of ASCII stay as they are.  Spacing marks keep their order.
+    """
+    before, after, several, marks = _accents()
+
+    def replaced(t: Column) -> Column:
+        out = t
+        for c, left in several.items():
+            out = F.replace(out, F.lit(c), F.lit(left))
+        return F.when(t.rlike(f"[{''.join(several)}]"), out).otherwise(t)
+
+    hangul = lambda t: F.when(t.rlike("[\uac00-\ud7a3]"), _syllables(t)).otherwise(t)
+    # a class of hundreds of ranges is slow to ask; marks that the regular expressions' version of Unicode doesn't know are unassigned there
+    unmarked = lambda t: F.when(t.rlike(r"[\p{Mn}\p{Cn}]"), F.regexp_replace(t, marks, "")).otherwise(t)
+    rest = lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(let(let(let(t, replaced), hangul), unmarked))
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(let(F.translate(text, before, after), rest))
 
 
 def tokenize(text: Column) -> Column:

@@ -91,6 +91,18 @@ def test_accents(spark, word, want):
     assert spark.createDataFrame([(word,)], "w string").select(v.normalize_text(F.col("w"))).first()[0] == want
 
 
+def test_accents_of_all_characters(spark):
+    """Every character that has a decomposition or is a mark, others by chance, and texts of several."""
+    rng = random.Random(6)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    own = [c for c in every if v.without_marks(c) != c] + rng.sample(every, 3000)
+    texts = [f"a{c}b" for c in own] + ["".join(rng.choice(own[:3000] + list("abc ")) for _ in range(20)) for _ in range(500)] + ["", "plain", "한글 e\u0301 ß"]
+    odd = [t for t in texts if "\u302e" in t or "\u302f" in t]  # spacing marks keep their order
+    got = spark.createDataFrame([(t,) for t in texts if t not in odd], "t string").select("t", v.strip_accents(F.col("t")).alias("s"))
+    assert [(r["t"], r["s"]) for r in got.collect() if r["s"] != v.without_marks(r["t"])] == [] and len(own) > 15_000
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_hash_vector(spark):
     e = v.embed_text("hello world", 384, False)
     assert {i: float(e[i]) for i in e.nonzero()[0]} == {267: 1, 298: 0.5, 371: -1, 140: 0.5, 104: 0.5, 381: 0.25}
