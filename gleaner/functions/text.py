@@ -67,6 +67,11 @@ def chunking_hash(max_chars: int, overlap: int, min_chars: int, headings: bool)
     return hashlib.sha1(f"{max_chars}|{overlap}|{min_chars}|{str(headings).lower()}".encode()).hexdigest()
 
 
+def chunking_hash_of(max_chars: Column, overlap: Column, min_chars: Column, headings: Column) -> Column:
+    """``chunking_hash`` of columns."""
+    return F.sha1(F.concat_ws("|", *[c.cast("string") for c in (max_chars, overlap, min_chars, headings)]).cast("binary"))
+
+
 def shortened(text: Column, most: int) -> Column:
     """At most ``most`` code points; a cut shows as three dots."""
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)

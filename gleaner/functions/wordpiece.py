@@ -35,7 +35,17 @@ def pre_tokenize(text: str) -> list[str]:
 class WordPiece:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            self._read(f.read())
+
+    @classmethod
+    def of(cls, text: str) -> WordPiece:
+        """From what a tokenizer's file holds."""
+        out = cls.__new__(cls)
+        out._read(text)
+        return out
+
+    def _read(self, text: str) -> None:
+        model = json.loads(text)["model"]
         if model.get("type") != "WordPiece":
             raise ValueError(f"a tokenizer of type {model.get('type')!r}; only WordPiece is read")
         self.vocabulary: dict[str, int] = model["vocab"]

@@ -22,6 +22,7 @@ from ..functions.vectors import embed_text
 from ..operators import maintenance as m
 from ..operators import search as s
 from ..operators import trigrams
+from ..operators.cells import CELL_ROWS, MOST_CELLS
 from ..operators.chunking import build_chunks
 from ..sources.bundle import Bundle, ModelMismatch
 from ..sources.scan import Source, list_files, read_files
@@ -136,7 +137,10 @@ class Engine:
         with self.phase("trigrams"):
             self.bundle.put(segment, "grams", trigrams.postings(docs))
         with self.phase("vectors"):
-            self.bundle.put(segment, "embeddings", self.embed(chunks, by_model))
+            n = min(MOST_CELLS, 1 + chunks.count() // CELL_ROWS)
+            # directions for cells: a sample of the chunks by hash, embedded twice, rather than all vectors written twice
+            sample = self.embed(chunks.orderBy("id").limit(n), by_model).select("vector").collect()  # MOST_CELLS rows at most
+            self.bundle.put_vectors(segment, self.embed(chunks, by_model), [r["vector"] for r in sample])
         with self.phase("state"):
             self.bundle.put(segment, "state", m.records_by_file(docs, chunks) if files is None else m.records_of_files(files, chunks))
             gone = 0 if dead is None else self.bundle.put(segment, "dead", dead).count()
@@ -154,11 +158,11 @@ class Engine:
         with self.listing(only) as files:
             return self._write(begun, segment, read_files(files), files, None, self.by_model())
 
-    def index(self, full: bool = False, only: str = "") -> dict:
-        """Full if asked for, if nothing is indexed, or if model or chunking changed; else a sync."""
+    def index(self, full: bool = False, only: str = "", docs: DataFrame | None = None) -> dict:
+        """Full if asked for, if nothing is indexed, or if model or chunking changed; else a sync.  docs: instead of the sources."""
         manifest = self.bundle.manifest()
         stale = not manifest["segments"] or manifest["chunking_hash"] != self._hash() or manifest["model"]["mode"] != self.model.mode or (manifest["embedded"] == "model") != self.by_model()
-        return self.rebuild(only=only) if full or stale else self.sync(only=only)
+        return self.rebuild(docs, only) if full or stale else self.sync(docs, only)
 
     def sync(self, docs: DataFrame | None = None, only: str = "") -> dict:
         """Bring the bundle up to date by a segment of what is new or changed; with ``only``, other sources are left as they are.
@@ -232,20 +236,22 @@ class Engine:
             fetch = 5 * limit
         elif mode == "semantic":
             fetch = s.semantic_fetch(limit)
-            hits, few = s.held(s.vector_top_k(self._vectors(chunks if prefilter else None), self.query_vector(query), fetch))
+            hits, few = s.held(self._nearest(query, fetch, chunks if prefilter else None))
             found = (F.broadcast(hits) if few else hits).join(chunks, F.col("chunk_id") == F.col("id")).select("chunk_id", "file_path", "rel_path", snippet(F.col("content")).alias("snippet"), F.col("score").cast("double").alias("score"), F.col("rank").alias("semantic_rank"), F.lit(-1).alias("exact_rank"), "source_name", "kind", "language", "title", "start_line", "end_line", "function_name", "section_level")
         else:
             fetch = s.hybrid_fetch(limit)
-            hits = s.vector_top_k(self._vectors(chunks if prefilter else None), self.query_vector(query), fetch)
+            hits = self._nearest(query, fetch, chunks if prefilter else None)
             docs = self._documents(documents, source, query)
             found = s.rrf_fuse(hits, s.exact_lines(docs, query, fetch), chunks)
         order = [F.desc("score"), F.asc("semantic_rank"), F.asc("chunk_id")] if mode == "semantic" else [F.asc("exact_rank")] if mode == "exact" else [F.desc("score"), F.asc("chunk_id")]
         fetched = s.filtered(found, source=source).orderBy(*order).limit(fetch)
         return s.filtered(fetched, language, kind, directory).orderBy(*order).limit(limit)
 
-    def _vectors(self, chunks: DataFrame | None) -> DataFrame:
-        vectors = self.bundle.embeddings()
-        return vectors if chunks is None else vectors.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+    def _nearest(self, query: str, k: int, chunks: DataFrame | None) -> DataFrame:
+        """The k nearest vectors, of some chunks or by cells of all."""
+        if chunks is None:
+            return self.bundle.nearest(self.query_vector(query), k)[0]
+        return s.vector_top_k(self.bundle.embeddings().join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi"), self.query_vector(query), k)
 
     def _documents(self, documents: DataFrame | None, source: str, pattern: str) -> DataFrame:
         """What may hold lines of a pattern: indexed files that hold its trigrams, and all whose time isn't the indexed one."""

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import json
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import vectors as v
 from ..functions.catalog import MODELS, QUERY_PREFIX
-from ..functions.wordpiece import hashed_ids, plain, pre_tokenize
+from ..functions.registered import register_chunks, register_embed
+from ..functions.wordpiece import WordPiece, hashed_ids, plain, pre_tokenize
+from ..operators import cells, trigrams
 from ..operators import search as s
 from ..operators.chunking import Chunking, build_chunks, code_boundaries
 from ..sources.scan import Source, scan_sources, table_documents
 from . import output
 from .config import Config
 from .engine import Engine
-from .queries import DOCS, FNV, LINES, MATCHED, SMALL, TERM, TEXT_CHUNKS, before, chunk_sql, documents, exact_sql, now, read, work_dir
+from .queries import BOUNDS, CODE, DOCS, FNV, HEADS, HITS, LIMIT, LINES, MARKDOWN, MATCHED, SMALL, _code, _markdown, _query, _vectors, TERM, TEXT_CHUNKS, before, chunk_sql, documents, exact_sql, now, read, work_dir
 
 QUESTION = "secret of the river"
 
@@ -132,11 +137,55 @@ def rrf_synthetic(spark, sf):
 
 
 def highlight(spark, sf):
-    """At most 500 lines, marked as output for people marks them."""
-    rows = s.exact_lines(documents(spark, sf), TERM, 500).select("file_path", "line_number", "line_text", "lead", "submatches").collect()
-    at = lambda text, n: len(text.encode()[:n].decode(errors="ignore"))
-    made = [(r["file_path"], r["line_number"], output.highlight(r["line_text"], [(at(r["line_text"], x["start"] - r["lead"]), at(r["line_text"], x["end"] - r["lead"])) for x in r["submatches"]])) for r in rows]
-    return spark.createDataFrame(made, "file_path string, line_number long, marked string")
+    """Lines, marked as output for people marks them."""
+    found = s.exact_lines(documents(spark, sf), TERM, 500)
+    place = lambda side: F.transform("submatches", lambda x: x[side] - F.col("lead"))
+
+    def mark(lines: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        at = lambda text, n: len(text.encode()[:n].decode(errors="ignore"))
+        return pd.Series([output.highlight(x, [(at(x, a), at(x, b)) for a, b in zip(low, high)]) for x, low, high in zip(lines, starts, ends)], dtype=str)
+
+    return found.select("file_path", "line_number", F.pandas_udf(mark, "string")("line_text", place("start"), place("end")).alias("marked"))
+
+
+def exact_submatches_empty(spark, sf):
+    """Places of an expression that matches nothing almost everywhere."""
+    found = s.exact_lines(documents(spark, sf), "e*", LIMIT).select("file_path", "line_number", F.posexplode("submatches").alias("n", "x"))
+    return found.select("file_path", "line_number", "n", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+
+
+def exact_lines_indexed(spark, sf):
+    """Lines of the texts that posting lists let through."""
+    docs, path = documents(spark, sf), f"{work_dir(spark)}/grams"
+    trigrams.postings(docs).write.parquet(path)
+    some = trigrams.worth_searching(docs.withColumn("same", F.lit(True)), "same", spark.read.parquet(path), trigrams.condition(TERM))
+    return s.exact_lines(some, TERM, LIMIT).drop("submatches", "rel_path", "lead")
+
+
+def vector_top_k_cells(spark, sf):
+    """The nearest vectors, from the cells that can hold them."""
+    vectors, path = _vectors(spark, sf), f"{work_dir(spark)}/cells"
+    centres = cells.centres_of([r["vector"] for r in vectors.orderBy(F.xxhash64("chunk_id")).limit(16).select("vector").collect()], 16)
+    cells.with_cells(vectors, centres).write.partitionBy("cell").parquet(path)
+    written = spark.read.parquet(path)
+    read = lambda some: written.filter(F.col("cell").isin([c["cell"] for c in some]))
+    found, _ = cells.top_k_by_cells(read, cells.cells_of(written, centres).collect(), _query(spark, sf), 50)
+    return found.select("chunk_id", F.round(F.col("score").cast("double"), 5).alias("score"), "rank")
+
+
+def chunks_in_sql(spark, sf):
+    """The table function over markdown and code."""
+    register_chunks(spark, "chunks", SMALL)
+    both = _markdown(spark, sf).unionByName(_code(spark, sf))
+    both.createOrReplaceTempView("gleaner_texts")
+    return spark.sql("SELECT c.id, t.rel_path, c.chunk_index, c.content, c.start_line, c.end_line, c.section_level, c.function_name, c.kind FROM gleaner_texts t, LATERAL chunks(t.content, t.source_name, t.rel_path) c")
+
+
+def embed_in_sql(spark, sf):
+    register_embed(spark, MODELS["balanced"], name="embed")
+    read(spark, sf, "benchmark").createOrReplaceTempView("gleaner_items")
+    e = spark.sql("SELECT item_id, posexplode(embed(text)) AS (slot, x) FROM gleaner_items").filter("x <> 0")
+    return e.select("item_id", F.col("slot").cast("long").alias("slot"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 # -- chunks ------------------------------------------------------------------------------
@@ -181,25 +230,32 @@ def fallback_record(spark, sf):
 _EXT = ("md", "txt", "MD", "exe", "min.js", "py")
 
 
+def _put(path: str, raw: bytes) -> None:
+    store, place = pafs.FileSystem.from_uri(path)
+    store.create_dir(place.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(place) as f:
+        f.write(raw)
+
+
 def scan_files(spark, sf):
     """Directories as a scan reads them: kinds of files, ignore files, patterns, binary files, two sources and one that is off.
 
-    The files are written by the driver, where a scan lists them, so this is for a session in one process.
+    Executors write a file for each document to the shared folder, then list and read them.
     """
-    top = tempfile.mkdtemp(prefix="gleaner-scan-")
-    rows = read(spark, sf, "documents").select("doc_id", "lang", "text").toLocalIterator()
-    for r in rows:
-        i = r["doc_id"]
-        folder = os.path.join(top, r["lang"], "node_modules" if i % 11 == 0 else "drafts" if i % 7 == 0 else "kept")
-        os.makedirs(folder, exist_ok=True)
-        raw = (r["text"] or "").encode()
-        with open(os.path.join(folder, f"doc_{i}.{_EXT[i % 6]}"), "wb") as f:
-            f.write(raw + b"\0" if i % 13 == 0 else raw + b"\xff" if i % 17 == 0 else raw)
+    top = work_dir(spark)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, lang, text in zip(*[c.to_pylist() for c in b.columns]):
+                folder = "node_modules" if i % 11 == 0 else "drafts" if i % 7 == 0 else "kept"
+                raw = (text or "").encode()
+                _put(f"{top}/{lang}/{folder}/doc_{i}.{_EXT[i % 6]}", raw + b"\0" if i % 13 == 0 else raw + b"\xff" if i % 17 == 0 else raw)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    read(spark, sf, "documents").select("doc_id", "lang", "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
     for lang in ("fr", "de"):
-        if os.path.isdir(os.path.join(top, lang)):
-            with open(os.path.join(top, lang, ".gitignore"), "w", encoding="utf-8") as f:
-                f.write("# names that end in 1\n*1.txt\n!doc_*21.txt\nkept/*2.md\n")
-    sources = [Source("english", os.path.join(top, "en"), exclude_patterns=["drafts/**", "*3.py"]), Source("other", top, exclude_patterns=["en/**"]), Source("off", top, enabled=False)]
+        _put(f"{top}/{lang}/.gitignore", b"# names that end in 1\n*1.txt\n!doc_*21.txt\nkept/*2.md\n")
+    sources = [Source("english", f"{top}/en", exclude_patterns=["drafts/**", "*3.py"]), Source("other", top, exclude_patterns=["en/**"]), Source("off", top, enabled=False)]
     return scan_sources(spark, sources).select("source_name", "rel_path", "extension", "byte_size", t.content_hash(F.col("content")).alias("content_hash"))
 
 
@@ -234,24 +290,67 @@ def cosine_mixed_length(spark, sf):
 
 
 def chunking_hashes(spark, sf):
-    rows = [(m, o, n, h, t.chunking_hash(m, o, n, h)) for m, o, n, h in ((2200, 300, 400, True), (1000, 100, 10, False))]
-    return spark.createDataFrame(rows, "max_chars int, overlap int, min_chars int, headings boolean, hash string")
+    """Hashes of configurations made of parts' sizes."""
+    size = F.col("p_size")
+    sized = read(spark, sf, "part").select("p_partkey", (100 * size).alias("max_chars"), (10 * size).alias("overlap"), size.alias("min_chars"), (size % 2 == 0).alias("headings"))
+    return sized.withColumn("hash", t.chunking_hash_of(*[F.col(c) for c in ("max_chars", "overlap", "min_chars", "headings")]))
 
 
 def model_catalog(spark, sf):
-    rows = [(m.mode, m.name, m.dimension, m.max_tokens, m.size_mb, m.query_prefix != "", m.normalize) for m in MODELS.values()]
-    return spark.createDataFrame(rows, "mode string, name string, dimension int, max_tokens int, size_mb int, prefixed boolean, normalize boolean")
+    """What each document would take under a mode: windows of its model's length at four characters a token, and bytes of vectors."""
+    rows = [(i, m.mode, m.name, m.dimension, m.max_tokens, m.size_mb, m.query_prefix != "", m.normalize) for i, m in enumerate(MODELS.values())]
+    models = spark.createDataFrame(rows, "at int, mode string, name string, dimension int, max_tokens int, size_mb int, prefixed boolean, normalize boolean")
+    joined = read(spark, sf, "documents").withColumn("at", (F.col("doc_id") % len(rows)).cast("int")).join(F.broadcast(models), "at").drop("at")  # a row for each mode
+    windows = F.ceil(F.col("n_chars") / (4 * F.col("max_tokens"))).cast("long")
+    return joined.select("doc_id", "mode", "name", "size_mb", "prefixed", "normalize", windows.alias("windows"), (4 * windows * F.col("dimension")).alias("vector_bytes"))
 
 
 def model_variants(spark, sf):
-    rows = [(m.mode, arch, place, file, priority) for m in MODELS.values() for arch in ("x86_64", "arm64") for place, (_, file, priority) in enumerate(m.best_first(arch))]
-    return spark.createDataFrame(rows, "mode string, arch string, place int, file string, priority int")
+    """The files that each document's mode tries on its machine, best first."""
+    rows = [(i, k, m.mode, arch, place, file, priority) for i, m in enumerate(MODELS.values()) for k, arch in enumerate(("x86_64", "arm64")) for place, (_, file, priority) in enumerate(m.best_first(arch))]
+    variants = spark.createDataFrame(rows, "at int, machine int, mode string, arch string, place int, file string, priority int")
+    docs = read(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 4).cast("int").alias("at"), F.expr("doc_id div 4 % 2").cast("int").alias("machine"))
+    return docs.join(F.broadcast(variants), ["at", "machine"]).drop("at", "machine")  # a row for each file of the catalogue
+
+
+def engine_markdown(spark, sf):
+    """Headings of markdown files as a bundle keeps them."""
+    docs = _markdown(spark, sf).withColumn("content_hash", t.content_hash(F.col("content")))
+    return engine(spark, docs, chunking=SMALL).bundle.chunks().select("id", "rel_path", "chunk_index", "title", "headings_json", "section_level")
+
+
+def engine_index_choice(spark, sf):
+    """A bundle of an earlier state, indexed once more with other settings, is rebuilt; with the same ones it is synced."""
+    done, docs = _synced(spark, sf)
+    synced = done.index(docs=docs)
+    done.config.chunking = SMALL
+    rebuilt = done.index(docs=docs)
+    counts = spark.createDataFrame([(synced["new"], "new" in rebuilt, len(done.bundle.manifest()["segments"]))], "synced_new long, synced_twice boolean, segments int")
+    return done.bundle.chunks().select("id", "rel_path", "chunk_index", "start_line", "end_line").crossJoin(F.broadcast(counts))  # one row
+
+
+_WHOLE_WORDS = ("the", "river", "secret", "th", "of")
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def wordpiece_ids(spark, sf):
+    """Ids of documents under a vocabulary of letters and some words."""
+    vocabulary = {w: 1000 + i for i, w in enumerate(_WHOLE_WORDS)} | {c: ord(c) for c in _LETTERS} | {f"##{c}": 500 + ord(c) for c in _LETTERS}
+    piece = WordPiece.of(json.dumps({"model": {"type": "WordPiece", "vocab": vocabulary}}))
+
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield pd.Series([piece.encode(t) for t in x.fillna("")])
+
+    ids = read(spark, sf, "documents").select("doc_id", F.pandas_udf(encode, "array<long>")("text").alias("ids"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n"), F.sha1(F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))).cast("binary")).alias("digest"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         engine_index, engine_state, engine_totals, engine_embeddings, engine_sync, engine_sync_counts, engine_sync_one_source, engine_search_semantic, engine_search_exact, engine_search_hybrid, engine_search_prefiltered,
+        engine_markdown, engine_index_choice, exact_lines_indexed, exact_submatches_empty, vector_top_k_cells, chunks_in_sql, embed_in_sql, wordpiece_ids,
         exact_cap_of_fifty, rrf_synthetic, highlight, boundary_languages, chunk_languages, fallback_record, scan_files, normalized_texts, pre_tokens, hashed_token_ids, hash_embed_query, cosine_mixed_length, chunking_hashes, model_catalog, model_variants,
     )
 }
@@ -336,9 +435,32 @@ ORACLE_SQL = {
     "hashed_token_ids": r"SELECT item_id, CAST(i - 1 AS INTEGER) AS at, CAST(list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(w[i], ''), lambda c: unicode(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619::HUGEINT) % 18446744073709551616::HUGEINT) % 30000 + 1000 AS BIGINT) AS id FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[^\s]+') AS w FROM benchmark))",
     "hash_embed_query": f"WITH said AS (SELECT item_id AS key, '{QUERY_PREFIX}' || text AS said FROM benchmark), {_SLOTS} SELECT key AS item_id, slot, round(x, 5) AS x FROM unit",
     "cosine_mixed_length": "SELECT vec_id, CASE WHEN n = 0 THEN 0 ELSE round(list_cosine_similarity(CAST(embedding[1:n] AS DOUBLE[]), CAST(list_reverse(embedding)[1:n] AS DOUBLE[]))::FLOAT::DOUBLE, 5) END AS score, 0.0::DOUBLE AS of_zero FROM (SELECT vec_id, embedding, vec_id % 65 AS n FROM embeddings)",
-    "chunking_hashes": "SELECT *, sha1(max_chars || '|' || overlap || '|' || min_chars || '|' || CAST(headings AS VARCHAR)) AS hash FROM (VALUES (2200, 300, 400, true), (1000, 100, 10, false)) x(max_chars, overlap, min_chars, headings)",
-    "model_catalog": "SELECT * FROM (VALUES ('light', 'all-MiniLM-L6-v2', 384, 256, 23, false, true), ('balanced', 'bge-small-en-v1.5', 384, 512, 33, true, true), ('quality', 'bge-base-en-v1.5', 768, 512, 218, true, true), ('nomic', 'nomic-embed-text-v1', 768, 2048, 550, false, true)) x(mode, name, dimension, max_tokens, size_mb, prefixed, normalize)",
-    "model_variants": """WITH x(mode, file, priority, arm) AS (VALUES ('light', 'onnx/model_qint8_arm64.onnx', 100, true), ('light', 'onnx/model_O4.onnx', 90, false), ('light', 'onnx/model_O3.onnx', 80, false), ('light', 'onnx/model_O2.onnx', 70, false), ('light', 'onnx/model.onnx', 10, false),
-        ('balanced', 'model_qint8.onnx', 100, false), ('balanced', 'onnx/model.onnx', 10, false), ('quality', 'model_optimized.onnx', 100, false), ('quality', 'onnx/model.onnx', 10, false), ('nomic', 'onnx/model.onnx', 10, false))
-        SELECT mode, arch, CAST(row_number() OVER (PARTITION BY mode, arch ORDER BY priority DESC) - 1 AS INTEGER) AS place, file, priority FROM x, (VALUES ('x86_64'), ('arm64')) a(arch) WHERE arch = 'arm64' OR NOT arm""",
+    "chunking_hashes": """SELECT *, sha1(max_chars || '|' || overlap || '|' || min_chars || '|' || CAST(headings AS VARCHAR)) AS hash
+        FROM (SELECT p_partkey, 100 * p_size AS max_chars, 10 * p_size AS overlap, p_size AS min_chars, p_size % 2 = 0 AS headings FROM part)""",
+    "model_catalog": """WITH m(nth, mode, name, dimension, max_tokens, size_mb, prefixed, normalize) AS (VALUES (0, 'light', 'all-MiniLM-L6-v2', 384, 256, 23, false, true), (1, 'balanced', 'bge-small-en-v1.5', 384, 512, 33, true, true),
+        (2, 'quality', 'bge-base-en-v1.5', 768, 512, 218, true, true), (3, 'nomic', 'nomic-embed-text-v1', 768, 2048, 550, false, true))
+        SELECT doc_id, mode, name, size_mb, prefixed, normalize, CAST(ceil(n_chars / (4.0 * max_tokens)) AS BIGINT) AS windows, CAST(4 * dimension * ceil(n_chars / (4.0 * max_tokens)) AS BIGINT) AS vector_bytes FROM documents JOIN m ON m.nth = doc_id % 4""",
+    "model_variants": """WITH x(nth, mode, file, priority, arm) AS (VALUES (0, 'light', 'onnx/model_qint8_arm64.onnx', 100, true), (0, 'light', 'onnx/model_O4.onnx', 90, false), (0, 'light', 'onnx/model_O3.onnx', 80, false), (0, 'light', 'onnx/model_O2.onnx', 70, false), (0, 'light', 'onnx/model.onnx', 10, false),
+        (1, 'balanced', 'model_qint8.onnx', 100, false), (1, 'balanced', 'onnx/model.onnx', 10, false), (2, 'quality', 'model_optimized.onnx', 100, false), (2, 'quality', 'onnx/model.onnx', 10, false), (3, 'nomic', 'onnx/model.onnx', 10, false)),
+        v AS (SELECT nth, machine, mode, arch, CAST(row_number() OVER (PARTITION BY mode, arch ORDER BY priority DESC) - 1 AS INTEGER) AS place, file, priority FROM x, (VALUES ('x86_64', 0), ('arm64', 1)) a(arch, machine) WHERE arch = 'arm64' OR NOT arm)
+        SELECT doc_id, mode, arch, place, file, priority FROM documents JOIN v ON v.nth = doc_id % 4 AND v.machine = doc_id // 4 % 2""",
+    "engine_markdown": f"""WITH {MARKDOWN}, {LINES}, {HEADS}, {chunk_sql(_MARKED, SMALL)}, h AS (SELECT rel_path, arg_min(name, "offset") AS first, '["' || string_agg(name, '","' ORDER BY "offset") || '"]' AS headings_json FROM marks GROUP BY rel_path)
+        SELECT id, rel_path, chunk_index, CASE WHEN name <> '' THEN name ELSE first END AS title, headings_json, CAST(level AS BIGINT) AS section_level FROM chunks JOIN h USING (rel_path)""",
+    "engine_index_choice": f"WITH {DOCS}, {chunk_sql(_WHOLE, SMALL)} SELECT id, rel_path, chunk_index, start_line, end_line, (SELECT count(*) FILTER (doc_id % 10 = 0) FROM documents) AS synced_new, false AS synced_twice, 1 AS segments FROM chunks",
+    "exact_lines_indexed": f"WITH {DOCS}, {exact_sql()} SELECT file_path, source_name, line_number, line_text, rank FROM hits",
+    "exact_submatches_empty": f"""WITH {DOCS}, {exact_sql().replace(f'(?i){TERM}', '(?i)e*')},
+        g AS (SELECT file_path, line_number, regexp_extract_all(line, '(?i)e+') AS m, string_split_regex(line, '(?i)e+') AS gaps FROM hits),
+        x AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM g)
+        SELECT file_path, line_number, CAST(i - 1 AS INTEGER) AS n, CAST(strlen(array_to_string(gaps[1:i], '')) + strlen(array_to_string(m[1:i - 1], '')) AS INTEGER) AS start,
+               CAST(strlen(array_to_string(gaps[1:i], '')) + strlen(array_to_string(m[1:i], '')) AS INTEGER) AS "end" FROM x""",
+    "vector_top_k_cells": f"WITH {HITS} SELECT vec_id AS chunk_id, round(score::DOUBLE, 5) AS score, rank FROM near WHERE rank < 50",
+    "chunks_in_sql": f"""SELECT * FROM (WITH {MARKDOWN}, {LINES}, {HEADS}, {chunk_sql(_MARKED, SMALL)} SELECT id, rel_path, chunk_index, content, start_line, end_line, CAST(level AS BIGINT) AS section_level, '' AS function_name, 'markdown' AS kind FROM chunks)
+        UNION ALL SELECT * FROM (WITH {CODE}, {LINES}, {BOUNDS}, {chunk_sql(_MARKED + _LEAD, SMALL)} SELECT id, rel_path, chunk_index, content, start_line, end_line, 0::BIGINT AS section_level, name AS function_name, 'code' AS kind FROM chunks)""",
+    "embed_in_sql": f"WITH said AS (SELECT item_id AS key, text AS said FROM benchmark), {_SLOTS} SELECT key AS item_id, slot, round(x, 5) AS x FROM unit",
+    # a word begins with the longest word of the vocabulary, or a letter; the rest are letters
+    "wordpiece_ids": rf"""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[{_PUNCT}]|[^\s{_PUNCT}]+'), lambda x: CASE
+            WHEN NOT regexp_matches(x, '^[a-z]+$') OR strlen(x) > 100 THEN ['100']
+            ELSE list_concat([CASE regexp_extract(x, '^(secret|river|the|th|of|[a-z])', 1) WHEN 'the' THEN '1000' WHEN 'river' THEN '1001' WHEN 'secret' THEN '1002' WHEN 'th' THEN '1003' WHEN 'of' THEN '1004' ELSE CAST(ascii(x) AS VARCHAR) END],
+                 list_transform(regexp_extract_all(regexp_replace(x, '^(secret|river|the|th|of|[a-z])', ''), '[a-z]'), lambda c: CAST(500 + ascii(c) AS VARCHAR))) END) AS ids FROM documents),
+        f AS (SELECT doc_id, list_concat(['101'], flatten(ids), ['102']) AS ids FROM w) SELECT doc_id, CAST(len(ids) AS BIGINT) AS n, sha1(array_to_string(ids, ',')) AS digest FROM f""",
 }

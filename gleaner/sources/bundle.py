@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.catalog import Model
+from ..operators.cells import CELL_ROWS, MOST_CELLS, cells_of, centres_of, top_k_by_cells, with_cells
 
 CHUNKS = "id string, source_name string, file_path string, rel_path string, content string, start_line long, end_line long, chunk_index long, kind string, extension string, language string, title string, headings_json string, byte_size long, content_hash string, created_at timestamp, function_name string, section_level long"
 EMBEDDINGS = "chunk_id string, vector array<float>"
 STATE = "source_name string, rel_path string, content_hash string, modified_at timestamp, byte_size long, chunk_ids array<string>"
 KEY = ["source_name", "rel_path"]
-#: What a segment's tables hold, with the file of each embedding and whether words were hashed in the model's stead.
-TABLES = {"chunks": CHUNKS, "embeddings": f"source_name string, rel_path string, {EMBEDDINGS}, hashed boolean", "state": STATE, "dead": "source_name string, rel_path string", "grams": "gram long, files array<long>"}
+#: What a segment's tables hold; embeddings with their file, whether words were hashed in the model's stead, and their cell.
+TABLES = {"chunks": CHUNKS, "embeddings": f"source_name string, rel_path string, {EMBEDDINGS}, hashed boolean, far float, cell int", "cells": "cell int, n long, radius float, centre array<float>", "state": STATE, "dead": "source_name string, rel_path string", "grams": "gram long, files array<long>"}
 _TEXTS, _NUMBERS = ("language", "title", "headings_json", "function_name"), ("section_level",)
 #: Neighbouring segments that are worth compacting; a segment joins those after it up to this many times their size.
 RUN, FACTOR = 4, 1.5
@@ -114,12 +115,12 @@ class Bundle:
         listed = [self._table(x["name"], "dead").withColumn("_dead", F.lit(x["serial"])) for x in segments if x["dead"]]
         return reduce(DataFrame.unionByName, listed).groupBy(*KEY).agg(F.max("_dead").alias("_dead")) if listed else None
 
-    def live(self, name: str, manifest: dict | None = None, run: slice = slice(None)) -> DataFrame:
-        """A table's live rows, of all segments or of a run of them."""
+    def live(self, name: str, manifest: dict | None = None, run: slice = slice(None), keep=lambda segment, rows: rows) -> DataFrame:
+        """A table's live rows, of all segments or of a run of them; keep: what is read of a segment's rows."""
         segments = (manifest or self.manifest())["segments"]
         if not segments:
             raise IndexNotFound(f"nothing is indexed in {self.path}")
-        parts = [self._table(x["name"], name).withColumn("_serial", F.lit(x["serial"])) for x in segments[run]]
+        parts = [keep(x, self._table(x["name"], name)).withColumn("_serial", F.lit(x["serial"])) for x in segments[run]]
         rows, dead = reduce(DataFrame.unionByName, parts), self._dead(segments[(run.start or 0) + 1 :])
         if dead is not None:
             rows = rows.join(dead, KEY, "left").filter(F.col("_dead").isNull() | (F.col("_serial") >= F.col("_dead")))
@@ -132,6 +133,22 @@ class Bundle:
     def embeddings(self) -> DataFrame:
         return self.live("embeddings").select("chunk_id", "vector")
 
+    def nearest(self, query: list[float], k: int) -> tuple[DataFrame, float]:
+        """chunk_id, score, rank of the k nearest vectors, and the share of all that were read for it."""
+        manifest = self.manifest()
+        segments = {x["name"]: x for x in manifest["segments"]}
+        listed = reduce(DataFrame.unionByName, [self._table(n, "cells").withColumn("segment", F.lit(n)) for n in segments])
+        cells = listed.collect()  # MOST_CELLS + 1 rows of a segment at most
+
+        def read(some: list) -> DataFrame:
+            wanted: dict[str, list[int]] = {}
+            for c in some:
+                wanted.setdefault(c["segment"], []).append(c["cell"])
+            keep = lambda x, rows: rows.filter(F.col("cell").isin(wanted.get(x["name"], []))) if len(wanted.get(x["name"], [])) else rows.filter("false")
+            return self.live("embeddings", manifest, keep=keep).select("chunk_id", "vector")
+
+        return top_k_by_cells(read, cells, query, k)
+
     def state(self) -> DataFrame:
         """Empty if there is none."""
         try:
@@ -157,12 +174,22 @@ class Bundle:
         manifest = self.manifest()
         return manifest, f"s{manifest['serial'] + 1:06d}"
 
+    def put_vectors(self, segment: str, vectors: DataFrame, sample: list) -> None:
+        """Write embeddings (but for far and cell) in cells around directions of a sample, and the cells."""
+        centres = centres_of(sample, MOST_CELLS)
+        rows = with_cells(vectors, centres)
+        # a cell's rows go to a few tasks, so that its folder holds few files
+        parts = max(1, min(len(centres), 32))
+        written = self.put(segment, "embeddings", rows.repartition("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(parts))) if len(centres) > 1 else rows)
+        self.put(segment, "cells", cells_of(written, centres))
+
     def put(self, segment: str, name: str, rows: DataFrame) -> DataFrame:
         """Write a table of a segment and read it back."""
         columns = [x.split()[0] for x in TABLES[name].split(", ")] if name in TABLES else rows.columns
         writer = rows.select(*columns).write.mode("overwrite")
         path = f"{self.path}/{segment}/{name}"
-        (writer.partitionBy("source_name") if name == "chunks" else writer).parquet(path)
+        by = {"chunks": "source_name", "embeddings": "cell"}.get(name)
+        (writer.partitionBy(by) if by else writer).parquet(path)
         return self._table(segment, name) if name in TABLES else self.spark.read.schema(rows.schema).parquet(path)
 
     def commit(self, begun: dict, segment: str, dead: int, replaces: range, serial: int | None = None, **about) -> dict:
@@ -173,7 +200,7 @@ class Bundle:
         if self.manifest()["serial"] != begun["serial"]:
             raise Conflict(f"{self.path} has been written to since")
         own, now = begun["segments"], begun["serial"] + 1
-        new = {"name": segment, "serial": now if serial is None else serial, "dead": dead, "bytes": self.size(segment)}
+        new = {"name": segment, "serial": now if serial is None else serial, "dead": dead, "bytes": self.size(segment), "vectors": self._table(segment, "cells").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]}
         kept = [*own[: replaces.start], new, *own[replaces.stop :]]
         manifest = begun | about | {"version": "0.3.0", "serial": now, "segments": kept}
         manifest["previous"] = [x["name"] for x in own if x not in kept]
@@ -203,8 +230,12 @@ class Bundle:
         if due is None:
             return manifest
         run = slice(due[0], due[1] + 1)
-        for name in ("chunks", "embeddings", "state"):
+        for name in ("chunks", "state"):
             self.put(segment, name, self.live(name, manifest, run))
+        vectors = self.live("embeddings", manifest, run).drop("far", "cell")
+        n = min(MOST_CELLS, 1 + sum(x["vectors"] for x in own[run]) // CELL_ROWS)
+        sample = vectors.orderBy(F.xxhash64("chunk_id")).limit(n).select("vector").collect()  # MOST_CELLS rows at most
+        self.put_vectors(segment, vectors, [r["vector"] for r in sample])
         if "grams" in manifest.get("tables", []):
             self.put(segment, "grams", reduce(DataFrame.unionByName, [self._table(x["name"], "grams") for x in own[run]]).orderBy("gram"))
         dead = 0

@@ -2,12 +2,14 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as t
+from gleaner.operators import cells
 from gleaner.operators import search as s
 from gleaner.operators import trigrams
 from gleaner.operators.chunking import build_chunks
@@ -252,6 +254,71 @@ def _searched(spark, tmp_path):
     return _MADE["x"]
 
 
+# -- vectors in cells -------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("k", [1, 7, 50, 5000, 0])
+def test_search_by_cells_is_the_scan(spark, tmp_path, k):
+    """Clusters, ties, vectors without a direction and of another length; queries near, far and without a direction."""
+    rng = np.random.default_rng(k)
+    heads = rng.normal(size=(12, 16))
+    rows = [(f"v{i:04d}", (heads[i % 12] * rng.uniform(0.1, 9) + 0.1 * rng.normal(size=16)).tolist()) for i in range(1200)]
+    rows += [(f"t{i}", heads[3].tolist()) for i in range(9)] + [("null", None), ("zero", [0.0] * 16), ("empty", []), ("short", heads[3][:5].tolist())]
+    vectors = spark.createDataFrame(rows, "chunk_id string, vector array<float>")
+    sample = [heads[i % 12].tolist() for i in range(30)] + [None, [], [1.0]]
+    centres = cells.centres_of(sample, 20)
+    path = str(tmp_path / "v")
+    cells.with_cells(vectors, centres).write.partitionBy("cell").parquet(path)
+    written = spark.read.parquet(path)
+    listed = cells.cells_of(written, centres).collect()
+    assert sum(c["n"] for c in listed) == len(rows) and len(centres) == 12
+    read = lambda some: written.filter(F.col("cell").isin([c["cell"] for c in some]))
+    plain = spark.read.parquet(path).select("chunk_id", "vector")
+    for query in (heads[3].tolist(), (-heads[5]).tolist(), rng.normal(size=16).tolist(), [0.0] * 16, heads[0][:4].tolist()):
+        found, share = cells.top_k_by_cells(read, listed, query, k)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, s.vector_top_k(plain, query, k).collect()))
+        if k == 7 and query == heads[3].tolist():
+            assert share < 0.2
+
+
+def test_search_reads_few_cells_of_a_bundle(spark, tmp_path, monkeypatch):
+    """Cells of several segments, with dead rows among them."""
+    import gleaner.plans.engine as e
+
+    monkeypatch.setattr(e, "CELL_ROWS", 10)
+    topics = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdefgh"]
+    files = {("s", f"f{i:03d}.txt"): (f"{topics[i % 8]} note{i}", 0) for i in range(120)}
+    engine = Engine.init(spark, str(tmp_path))
+    engine.rebuild(table(spark, files))
+    for i in range(20, 26):
+        files["s", f"f{i:03d}.txt"] = (f"{topics[0]} changed{i}", 1)
+    engine.sync(table(spark, files))
+    for query in (topics[0], topics[5] + " note13", "nothing like it"):
+        vector = engine.query_vector(query)
+        found, share = engine.bundle.nearest(vector, 6)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, s.vector_top_k(engine.bundle.embeddings(), vector, 6).collect()))
+        assert share < 0.6 or query != topics[0]  # a topic that the sample has missed shares a wide cell
+
+
+# -- functions for SQL ------------------------------------------------------------------------
+
+
+def test_chunks_in_sql_are_those_of_tables(spark):
+    from gleaner.functions.registered import register_chunks
+    from gleaner.operators.chunking import Chunking
+
+    rng = random.Random(8)
+    parts = ["# Head é\n", "## Two ##\n", "####### no\n", "#\n", "word wörd \u00a0\n", "  def f_1(x):\n", "class A(B):\n", "func (t *T) go(x int) {\n", "type S struct {\n", "const f = async (x) => {\n", "pub fn x() {\n", "\n", " \t \n", "日本 " * 30, "x" * 150, "export abstract class Q {\n"]
+    files = {("s", f"f{i}.{rng.choice(['md', 'py', 'go', 'ts', 'rs', 'txt', 'exe', 'js', 'MD'])}"): ("".join(rng.choice(parts) for _ in range(rng.randint(0, 25))), 0) for i in range(150)}
+    docs = table(spark, files).withColumn("extension", F.lower("extension"))
+    columns = ["id", "rel_path", "content", "start_line", "end_line", "chunk_index", "kind", "language", "title", "headings_json", "content_hash", "function_name", "section_level"]
+    for config in (Chunking(120, 30, 20), Chunking(60, 0, 0, False), Chunking(100, 10, 90)):
+        register_chunks(spark, "chunks", config)
+        docs.createOrReplaceTempView("gleaner_docs")
+        got = spark.sql("SELECT d.rel_path AS rel_path, c.* FROM gleaner_docs d, LATERAL chunks(d.content, d.source_name, d.rel_path) c").select(columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, build_chunks(docs, config).select(columns).collect()))
+
+
 # -- streams ---------------------------------------------------------------------------------
 
 
