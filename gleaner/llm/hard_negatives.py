@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
 from .common import freed, small_batches, staged
 
@@ -42,7 +43,6 @@ CELLS, CELL_VALUES, BLOCK_VALUES, ANCHOR_VALUES = 1024, 1 << 18, 1 << 22, 1 << 1
 #: Rows of a leaf, anchors scored at once.
 LEAF, TOGETHER = 128, 2048
 LEAST, GREATEST = -(1 << 63), (1 << 63) - 1
-_UNIT = "a long, id long, label long, v array<double>, dim int, ps array<long>, kth array<long>"
 
 
 def codes(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -246,7 +246,7 @@ def dealt(vectors: DataFrame, values: int) -> Cells:
                 far = np.sqrt(((x - c[cell]) ** 2).sum(axis=1)) * (1 + 1e-9)
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(cell, pa.int32()), pa.array(far)], [*some.schema.names, "cell", "far"])
 
-    return Cells(staged(vectors.mapInArrow(near, "id long, label long, v array<double>, dim int, cell int, far double"), "negatives-cells"), centres)
+    return Cells(staged(vectors.mapInArrow(near, StructType([*vectors.schema, StructField("cell", IntegerType()), StructField("far", DoubleType())])), "negatives-cells"), centres)
 
 
 def routed(units: DataFrame, cells: Cells, low: int, high: int, home: bool) -> DataFrame:
@@ -276,7 +276,7 @@ def routed(units: DataFrame, cells: Cells, low: int, high: int, home: bool) -> D
                 out = some.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(at[ball], pa.int32())], [*out.schema.names, "cell"])
 
-    return units.mapInArrow(route, _UNIT + ", cell int")
+    return units.mapInArrow(route, StructType([*units.schema, StructField("cell", IntegerType())]))
 
 
 def searched(routes: DataFrame, cells: Cells, k: int, low: int, high: int, same: bool) -> DataFrame:
@@ -329,10 +329,12 @@ def hard_negatives(vectors: DataFrame, anchors: DataFrame, positives: int = 5, n
     nearest rows of its label in ``vectors`` the nearest rows of other labels with low to high per cent of the positive's score."""
     small_batches(vectors.sparkSession)
     v = F.col("v")
-    whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * SCALE) < float("inf")))
+    whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * SCALE) < float("inf")))
 
     def pick(df: DataFrame) -> DataFrame:
-        named = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{label}`").cast("long").alias("label"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+        own = F.col(f"`{vector}`")
+        own = own if df.schema[vector].dataType == ArrayType(FloatType()) else own.cast("array<double>")  # half the bytes on their way
+        named = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{label}`").cast("long").alias("label"), own.alias("v"))
         return named.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & whole).withColumn("dim", F.size("v"))
 
     rows = pick(vectors)
