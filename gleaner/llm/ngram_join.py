@@ -17,7 +17,8 @@ the verified links' components are the classes.
 
 Defined results: words are runs of characters other than 0x20 and 0x09 to 0x0D, as they
 stand; a document of one to four words has one shingle, all its words; null, empty or blank
-texts have none, no links, and are a class each; repeated rows are documents of their own
+texts have none, no links, and are a class each; texts of any length count with all their shingles, a set of eight bytes a
+shingle being held for one text at a time and compared in stretches; repeated rows are documents of their own
 (and linked, if they have words); class_id is the class's smallest id (null if it has none);
 an empty table gives an empty result; columns of any other name are not read.
 """

@@ -15,7 +15,8 @@ A plan is a list of runs, "so many sequences that hold these lengths", never of
 In Spark each piece gets its number among the pieces of its length (bucketed prefix sums)
 and finds its run by binary search.
 
-Defined results: a null or empty text is the end token alone; repeated rows and null ids are
+Defined results: a null or empty text is the end token alone; texts of any length are encoded whole, in stretches cut between
+words; repeated rows and null ids are
 packed as rows of their own; equal lengths are interchangeable; an empty table gives an empty
 result; other columns aren't read.
 """

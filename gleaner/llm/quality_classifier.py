@@ -15,7 +15,7 @@ narrow it down, never by a sort.
 The target model is fitted on a sample of at most about LABELLED good documents; the raw model,
 weights, level and draws are over all documents.
 
-Defined results: a null or empty text has weight 0; repeated rows have equal weights and equal
+Defined results: a null or empty text has weight 0; texts of any length count with all their runs; repeated rows have equal weights and equal
 noise; rows that tie at the k-th value all stay; null ids are ids, and never labelled; if no
 label is good, all weights are 0 and everything is kept; an empty table gives an empty result;
 columns of any other name are not read.

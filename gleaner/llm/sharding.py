@@ -10,8 +10,8 @@ by aggregation before any shuffle of rows, and ranks within a shard come from bu
 sums, so no task holds a whole shard or group.  DataFrame functions only.
 
 Defined results: a null text has no bytes (size 1, CRC 0) and counts as equal to an empty
-one; repeated rows are rows of their own, with slots of their own; a null id is an id; ties
-fall by hash; an empty table gives an empty result; other columns are not read.
+one; texts of any length count whole, by their bytes and hashes, which never leave the first scan; repeated rows are rows of
+their own, with slots of their own; a null id is an id; ties fall by hash; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import partitions, prefix_ranks, staged
+from .common import freed, partitions, prefix_ranks, staged
 
 SHARDS = 16
 
@@ -83,6 +83,14 @@ def propagated(at: DataFrame, quota: int, n_shards: int, buckets: int) -> DataFr
     """
     closed: set[int] = set()
     any_moved = False
+    made: list[DataFrame] = []  # written in earlier rounds
+
+    def next_at(df: DataFrame) -> DataFrame:
+        out = staged(df, "shard-cohorts")
+        freed(*made)
+        made[:] = [out]
+        return out
+
     while True:
         order = F.struct("n", (-F.col("shard")).alias("s"))
         best = F.max(F.when(~F.col("shard").isin(*closed), order) if closed else order).over(W.partitionBy("grp"))
@@ -96,15 +104,19 @@ def propagated(at: DataFrame, quota: int, n_shards: int, buckets: int) -> DataFr
             closed |= {t for (s, t), n in wished.items() if met[s, t] < n}
             if any(met.values()):
                 any_moved = True
-                at = staged(moved(wishes, met, n_shards, buckets), "shard-cohorts")
+                at = next_at(moved(wishes, met, n_shards, buckets))
+            freed(wishes)
             continue
+        freed(wishes)
         if not any_moved:
             if max(room) <= 0:
                 return at
             found = staged(gathered(at, room, buckets), "shard-gathered")
             if found.filter("to is not null").limit(1).count() == 0:
+                freed(found)
                 return at
-            at = staged(found.groupBy("grp", F.coalesce("to", "shard").alias("shard")).agg(F.sum("n").alias("n")), "shard-cohorts")
+            at = next_at(found.groupBy("grp", F.coalesce("to", "shard").alias("shard")).agg(F.sum("n").alias("n")))
+            freed(found)
         closed, any_moved = set(), False
 
 
@@ -114,7 +126,7 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS, text: str = "text",
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(f"`{key}`").alias("id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("crc"), F.md5(body).alias("grp"))
     rows = staged(rows.withColumn("first", F.pmod(F.xxhash64("id", "grp"), F.lit(n_shards)).cast("int")), "shard-rows")
-    total = rows.count()
+    first_rows, total = rows, rows.count()
     buckets = max(4, partitions(spark), total // 100_000)
 
     cohorts = rows.groupBy("grp", "first").agg(F.count(F.lit(1)).alias("n"))
@@ -135,6 +147,7 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS, text: str = "text",
     many = many.select("id", "size", "crc", "grp", held.alias("shard"), F.lit(0).alias("lone"), part, salt(F.col("members"), 2_000).alias("salt"))
     lone = rows.filter("ends is null").select("id", "size", "crc", "grp", F.col("first").alias("shard"), F.lit(1).alias("lone"), part, F.lit(0).alias("salt"))
     rows = staged(prefix_ranks(many.unionByName(lone), ["shard"], [F.col("grp"), F.col("id"), F.col("size")], ["lone", "part", "salt"]), "shard-ranked")
+    freed(first_rows, cohorts, at)
 
     # n_shards rows: how many each holds, may hold, must give and can take
     load = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -9,7 +9,7 @@ DataFrame functions only.  The models become one array of ALPHABET**3 difference
 doubles, whatever the input), which the scoring projection reads as a scalar subquery.
 
 Defined results: a null URL or one without ``://`` has empty host and path, no rule, and is
-judged by the models on the empty string (difference 0); repeated rows are judged alike; an
+judged by the models on the empty string (difference 0); URLs of any length are judged whole; repeated rows are judged alike; an
 empty table gives an empty result; if either class has no URL, all differences are 0 and
 everything unruled is allowed.  Columns of the input with clashing names are never read.
 """
