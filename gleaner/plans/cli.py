@@ -14,6 +14,11 @@ from .engine import MODES, Engine
 from .output import as_json, as_text, status_text
 
 
+def _shown(phase: str, done: int, known: int) -> None:
+    """A line of progress that the next one overwrites."""
+    print(f"\r{phase}: {done} of {known} tasks\033[K", end="\n" if done == known == 1 else "", file=sys.stderr, flush=True)
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     top = argparse.ArgumentParser(prog="gleaner")
     top.add_argument("--base", default=os.path.join(os.path.expanduser("~"), ".gleaner"))
@@ -52,7 +57,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.command == "init":
             Engine.init(spark, a.base, a.force)
             return 0
-        engine = Engine(spark, Config.load(a.base))
+        engine = Engine(spark, Config.load(a.base), _shown if a.command in ("index", "sync") and sys.stderr.isatty() else None)
         if a.command == "source":
             if a.action == "add":
                 engine.add_source(a.path, a.name)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import importlib.util
 import logging
 import os
+import threading
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import asdict
 from datetime import datetime
@@ -31,6 +32,8 @@ from .config import Config, ConfigError
 from .output import format_size
 
 MODES = ("semantic", "exact", "hybrid")
+#: Seconds between reports of progress.
+EVERY = 0.5
 log = logging.getLogger("gleaner")
 
 
@@ -40,24 +43,42 @@ def dir_size(path: str) -> int:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, config: Config):
-        self.spark, self.config = spark, config
+    def __init__(self, spark: SparkSession, config: Config, progress: Callable[[str, int, int], None] | None = None):
+        """progress: called with a phase, its tasks that are done and those known; with 1 and 1 once it is over."""
+        self.spark, self.config, self.progress = spark, config, progress
         self.bundle = Bundle(spark, config.bundle_path)
         self.model = MODELS[config.mode]
         self.group = f"gleaner-{uuid.uuid4().hex}"
 
     @contextmanager
     def phase(self, what: str) -> Iterator[None]:
-        """Jobs of a phase run in the engine's group, named for the user interface, and are logged with their time."""
-        began = time.monotonic()
+        """Jobs of a phase run in the engine's group, named for the user interface; their progress and their time are told."""
+        began, over = time.monotonic(), threading.Event()
         self.spark.sparkContext.setJobGroup(self.group, what, interruptOnCancel=True)
+        teller = threading.Thread(target=self._tell, args=(what, over), daemon=True)
+        if self.progress:
+            teller.start()
         try:
             yield
             log.debug("%s took %.1f s", what, time.monotonic() - began)
         finally:
+            over.set()
+            if self.progress:
+                teller.join()
+                self.progress(what, 1, 1)
             for key in ("spark.jobGroup.id", "spark.job.description"):
                 self.spark.sparkContext.setLocalProperty(key, None)
 
+    def _tell(self, what: str, over: threading.Event) -> None:
+        """Finished and known tasks of the group's running stages, now and then."""
+        tracker = self.spark.sparkContext.statusTracker()
+        while not over.wait(EVERY):
+            jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(self.group)]
+            stages = [tracker.getStageInfo(i) for j in jobs if j and j.status == "RUNNING" for i in j.stageIds]
+            known = [x for x in stages if x]
+            if known:
+                self.progress(what, sum(x.numCompletedTasks for x in known), sum(x.numTasks for x in known))
+
     def cancel(self) -> None:
         """End what the engine is running, from another thread; a bundle that is being written stays as it was."""
         self.spark.sparkContext.cancelJobGroup(self.group)

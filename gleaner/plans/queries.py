@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import vectors as v
+from ..functions.arrays import let
 from ..operators import maintenance as m
 from ..operators import search as s
 from ..operators.chunking import Chunking, build_chunks, code_boundaries, headings
@@ -142,8 +143,9 @@ def l2_normalize(spark, sf):
 
 
 def tokenize(spark, sf):
-    each = read(spark, sf, "documents").select("doc_id", v.tokenize(F.col("text")).alias("t")).filter(F.size("t") > 0)
-    return each.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.array_min("t").alias("least"), F.array_max("t").alias("greatest"))
+    # behind a generator, or the filter would have every text tokenized twice
+    of_text = let(v.tokenize(F.col("text")), lambda t: F.struct(F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"), F.array_min(t).alias("least"), F.array_max(t).alias("greatest")))
+    return read(spark, sf, "documents").select("doc_id", F.explode_outer(F.array(of_text)).alias("x")).select("doc_id", "x.*").filter("n_tokens > 0")
 
 
 def hash_embed_tokens(spark, sf):

@@ -240,6 +240,32 @@ def test_engine_round(spark, tmp_path):
     assert engine.files_per_source().first()["files"] == 2 and engine.status()["sources"] == [("notes", 2)] and ("bundle", "ok") in [x[:2] for x in engine.doctor()]
 
 
+def test_progress_is_told(spark, tmp_path, monkeypatch):
+    import gleaner.plans.engine as e
+
+    monkeypatch.setattr(e, "EVERY", 0.01)
+    told = []
+    engine = Engine(spark, Config(str(tmp_path)), lambda *x: told.append(x))
+    engine.bundle.initialize(engine.model)
+    engine.rebuild(documents(spark, *[("s", f"f{i}.md", f"# Head {i}\n" + "words " * 300) for i in range(50)]))
+    assert {x[0] for x in told} >= {"chunks", "trigrams", "vectors", "state"} and all(0 <= done <= known for _, done, known in told)
+    assert any(known > 1 for _, _, known in told) and [x for x in told if x[1:] == (1, 1)][-1][0] == "state"
+
+
+def test_doctor_and_status_say_what_is_there(spark, tmp_path):
+    (tmp_path / "notes").mkdir()
+    (tmp_path / "notes/a.md").write_text("# A\nwords")
+    engine = Engine.init(spark, str(tmp_path / "base"))
+    engine.add_source(str(tmp_path / "notes"), "notes")
+    engine.config.sources.append(Source("gone", str(tmp_path / "gone")))
+    checks = {x[0]: x for x in engine.doctor()}
+    assert checks["bundle"][1] == checks["source gone"][1] == checks["model light"][1] == "warn" and checks["source notes"][1] == checks["config"][1] == checks["spark"][1] == "ok"
+    assert engine.status()["indexed_at"] == "never" and engine.status()["state"].startswith("empty")
+    engine.index(only="notes")
+    status = engine.status()
+    assert re.fullmatch(r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d", status["indexed_at"]) and status["files"] == 1 and {x[0]: x for x in engine.doctor()}["bundle"][1] == "ok"
+
+
 def test_config_is_validated(tmp_path):
     with pytest.raises(ConfigError):
         Config(str(tmp_path), chunking=Chunking(100, 100, 10)).validate()
