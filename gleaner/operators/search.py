@@ -114,7 +114,8 @@ def rrf_fuse(semantic: DataFrame, exact: DataFrame, chunks: DataFrame, k: int =
     empty = F.lit("")
     alone = last.select(
         F.concat(F.lit("exact:"), "file_path", F.lit(":"), F.col("line_number").cast("string")).alias("chunk_id"), "file_path", F.col("x.rel_path").alias("rel_path"), snippet(F.col("x.line_text")).alias("snippet"), part(F.col("x.rank")).alias("score"), none.alias("semantic_rank"),
-        F.col("x.rank").alias("exact_rank"), F.col("x.source_name").alias("source_name"), empty.alias("kind"), empty.alias("language"), empty.alias("title"), F.col("line_number").alias("start_line"), F.col("line_number").alias("end_line"), empty.alias("function_name"), F.lit(0).cast("long").alias("section_level"),
+        F.col("x.rank").alias("exact_rank"), F.col("x.source_name").alias("source_name"), empty.alias("kind"), empty.alias("language"), empty.alias("title"),
+        F.col("line_number").alias("start_line"), F.col("line_number").alias("end_line"), empty.alias("function_name"), F.lit(0).cast("long").alias("section_level"),
     )
     return known.unionByName(alone)
 

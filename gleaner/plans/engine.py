@@ -258,7 +258,10 @@ class Engine:
         elif mode == "semantic":
             fetch = s.semantic_fetch(limit)
             hits, few = s.held(self._nearest(query, fetch, chunks if prefilter else None))
-            found = (F.broadcast(hits) if few else hits).join(chunks, F.col("chunk_id") == F.col("id")).select("chunk_id", "file_path", "rel_path", snippet(F.col("content")).alias("snippet"), F.col("score").cast("double").alias("score"), F.col("rank").alias("semantic_rank"), F.lit(-1).alias("exact_rank"), "source_name", "kind", "language", "title", "start_line", "end_line", "function_name", "section_level")
+            found = (F.broadcast(hits) if few else hits).join(chunks, F.col("chunk_id") == F.col("id")).select(
+                "chunk_id", "file_path", "rel_path", snippet(F.col("content")).alias("snippet"), F.col("score").cast("double").alias("score"), F.col("rank").alias("semantic_rank"), F.lit(-1).alias("exact_rank"),
+                "source_name", "kind", "language", "title", "start_line", "end_line", "function_name", "section_level",
+            )
         else:
             fetch = s.hybrid_fetch(limit)
             hits = self._nearest(query, fetch, chunks if prefilter else None)
@@ -289,7 +292,8 @@ class Engine:
     def exact(self, query: str, limit: int, source: str = "", documents: DataFrame | None = None) -> DataFrame:
         lines = s.exact_lines(self._documents(documents, source, query), query, limit)
         return lines.select(
-            F.lit("").alias("chunk_id"), "file_path", "rel_path", snippet(F.col("line_text")).alias("snippet"), F.lit(1.0).alias("score"), F.lit(-1).alias("semantic_rank"), F.col("rank").alias("exact_rank"), "source_name", kind_of_path(F.col("file_path")).alias("kind"), language_of_path(F.col("file_path")).alias("language"),
+            F.lit("").alias("chunk_id"), "file_path", "rel_path", snippet(F.col("line_text")).alias("snippet"), F.lit(1.0).alias("score"), F.lit(-1).alias("semantic_rank"), F.col("rank").alias("exact_rank"),
+            "source_name", kind_of_path(F.col("file_path")).alias("kind"), language_of_path(F.col("file_path")).alias("language"),
             F.lit("").alias("title"), F.col("line_number").alias("start_line"), F.col("line_number").alias("end_line"), F.lit("").alias("function_name"), F.lit(0).cast("long").alias("section_level"),
             F.transform("submatches", lambda x: F.struct((x["start"] - F.col("lead")).alias("start"), (x["end"] - F.col("lead")).alias("end"))).alias("matched_terms"),
         )
@@ -299,7 +303,14 @@ class Engine:
         with self.phase(f"search ({mode})"):
             rows = self.search(query, mode, **how).collect()  # at most the limit
         filters = {"source": how.get("source", ""), "language": how.get("language", ""), "kind": how.get("kind", ""), "dir": how.get("directory", "")}
-        results = [{"chunk_id": r["chunk_id"], "file_path": r["file_path"], "snippet": r["snippet"], "score": r["score"], "source_name": r["source_name"], "metadata": {"file_kind": r["kind"], **{k: r[k] for k in ("language", "title", "start_line", "end_line", "function_name", "section_level")}}, "matched_terms": _characters(r["snippet"], r["matched_terms"]) if mode == "exact" else []} for r in rows]
+        results = [
+            {
+                **{k: r[k] for k in ("chunk_id", "file_path", "snippet", "score", "source_name")},
+                "metadata": {"file_kind": r["kind"], **{k: r[k] for k in ("language", "title", "start_line", "end_line", "function_name", "section_level")}},
+                "matched_terms": _characters(r["snippet"], r["matched_terms"]) if mode == "exact" else [],
+            }
+            for r in rows
+        ]
         return {"query": query, "mode": mode, "filters": filters, "results": results, "total": len(results), "elapsed_ms": round(1000 * (time.monotonic() - began))}
 
     # -- state ------------------------------------------------------------

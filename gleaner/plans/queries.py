@@ -247,7 +247,14 @@ def status_counts(spark, sf):
     return m.count_files_per_source(before(spark, sf), sources)
 
 
-QUERIES = {f.__name__: f for f in (chunk_windows, chunk_headings, chunk_code, heading_marks, boundary_marks, content_hashes, classify_kind, detect_language, snippets, exact_lines, exact_cap_per_file, exact_submatches, longest_prefix_source, interval_join_chunks, vector_cosine, vector_top_k, l2_normalize, tokenize, hash_embed_tokens, hash_embed, rrf_fuse, search_hybrid, search_exact, search_semantic, filters, sync_diff, sync_remove, sync_merge, sync_state, status_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        chunk_windows, chunk_headings, chunk_code, heading_marks, boundary_marks, content_hashes, classify_kind, detect_language, snippets, exact_lines,
+        exact_cap_per_file, exact_submatches, longest_prefix_source, interval_join_chunks, vector_cosine, vector_top_k, l2_normalize, tokenize, hash_embed_tokens, hash_embed,
+        rrf_fuse, search_hybrid, search_exact, search_semantic, filters, sync_diff, sync_remove, sync_merge, sync_state, status_counts,
+    )
+}
 
 # -- the same in SQL ------------------------------------------------------
 
