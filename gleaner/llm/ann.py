@@ -157,14 +157,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(tile, "query_id long, vec_id long, score double")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict[int, list[tuple[float, int]]] = {}
+        """Rows come query by query: only one heap is held, and what a batch completes goes on."""
+        query, heap = None, []
         for b in batches:
+            done: dict[int, list[tuple[float, int]]] = {}
             for i, v, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                heap = heaps.setdefault(i, [])
+                if i != query:
+                    if heap:
+                        done[query] = heap
+                    query, heap = i, []
                 if len(heap) < k:
                     heapq.heappush(heap, (s, -v))
                 elif (s, -v) > heap[0]:
                     heapq.heapreplace(heap, (s, -v))
-        yield rows_of(heaps, pa.int64(), True)
+            yield rows_of(done, pa.int64(), True)
+        if heap:
+            yield rows_of({query: heap}, pa.int64(), True)
 
-    return found.repartition("query_id").mapInArrow(merged, "query_id long, rank int, vec_id long, score double")
+    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merged, "query_id long, rank int, vec_id long, score double")
