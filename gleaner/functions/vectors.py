@@ -45,15 +45,16 @@ def _accents() -> tuple[str, str, dict[str, str], str]:
     """From Unicode's canonical decompositions: characters that lose their marks and become one, those that they become; characters that become several; a class of marks."""
     single, several, marks = {}, {}, []
     for c in range(0x110000):
-        if 0xAC00 <= c < 0xD7A4 or 0xD800 <= c < 0xE000:  # Hangul syllables follow a rule of their own
+        if 0xAC00 <= c < 0xD7A4 or unicodedata.category(chr(c)) != "Mn" and unicodedata.decomposition(chr(c))[:1] in ("", "<"):  # Hangul syllables follow a rule of their own
             continue
         left = without_marks(chr(c))
         if not left:
             marks.append(c)
         elif left != chr(c):
             (single if len(left) == 1 else several)[chr(c)] = left
-    low = [c for c in marks if c - 1 not in set(marks)]
-    high = [c for c in marks if c + 1 not in set(marks)]
+    known = set(marks)
+    low = [c for c in marks if c - 1 not in known]
+    high = [c for c in marks if c + 1 not in known]
     return "".join(single), "".join(single.values()), several, "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(low, high)) + "]"
 
 
@@ -92,7 +93,7 @@ def strip_accents(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Lower-case runs of letters, numbers and underscores, without accents."""
-    return F.regexp_extract_all(F.lower(strip_accents(text)), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    return F.regexp_extract_all(F.lower(strip_accents(text)), F.lit(r"[\p{L}\p{N}_]+"), 0)
 
 
 def normalize_text(text: Column) -> Column:
