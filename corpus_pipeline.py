@@ -25,7 +25,7 @@ from gleaner.llm.quality_rules import keep_good
 from gleaner.llm.queries import VOCABULARY
 from gleaner.llm.suffix_dedup import without_repeats
 
-#: Written tables that results of earlier stages read.
+#: Written tables that results of earlier stages read: of a run, or of stages called one by one.
 _left: list[DataFrame] = []
 
 
@@ -76,6 +76,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    global _left
+    others, _left = _left, []  # tables of stages called elsewhere are none of a run's
+    try:
+        return _run(spark, sf_dir)
+    finally:
+        _left = others
+
+
+def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for at, (name, stage) in enumerate(STAGES[:-1]):
         before, docs = docs, staged(stage(spark, docs, sf_dir), f"pipeline-{name.split()[0]}")
