@@ -715,7 +715,7 @@ def test_pipeline_leaves_what_its_result_reads(spark, sf):
     before = set(os.listdir(shared))
     packed = corpus_pipeline.run(spark, sf)
     left = {x.partition("-")[0] if x.startswith("pieces") else x.rpartition("-")[0] for x in set(os.listdir(shared)) - before}
-    assert left <= {"pieces", "pipeline-suffix"} and packed.count() > 0
+    assert left <= {"pieces", "pipeline-suffix-array"} and packed.count() > 0
 
 
 def brute_pipeline(rows, good):
