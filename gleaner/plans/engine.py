@@ -49,6 +49,7 @@ class Engine:
         self.bundle = Bundle(spark, config.bundle_path)
         self.model = MODELS[config.mode]
         self.group = f"gleaner-{uuid.uuid4().hex}"
+        self._scans: list[str] = []
 
     @contextmanager
     def phase(self, what: str) -> Iterator[None]:
@@ -245,7 +246,8 @@ class Engine:
         return embed_text(model.query_prefix + query, model.dimension, model.normalize).tolist()
 
     def search(self, query: str, mode: str = "hybrid", limit: int = 10, source: str = "", language: str = "", kind: str = "", directory: str = "", documents: DataFrame | None = None, prefilter: bool = False) -> DataFrame:
-        """Results, best first.  Filters come after the fetch limit, unless ``prefilter``."""
+        """Results, best first.  Filters come after the fetch limit, unless ``prefilter``.  Lines are searched in ``documents`` or else in the
+        sources, whose listing is kept until ``forget``."""
         if mode not in MODES:
             raise ValueError(f"the mode must be one of {', '.join(MODES)}")
         limit = limit if limit > 0 else 10
@@ -281,7 +283,8 @@ class Engine:
         """What may hold lines of a pattern: indexed files that hold its trigrams, and all whose time isn't the indexed one."""
         rows = documents
         if documents is None:
-            rows = list_files(self.spark, self.config.sources, source, defaults=self.config.ignore, use_gitignore=self.config.use_gitignore)
+            self._scans.append(f"{self.bundle.path}/scan-{uuid.uuid4().hex}")
+            rows = list_files(self.spark, self.config.sources, source, defaults=self.config.ignore, use_gitignore=self.config.use_gitignore, work=self._scans[-1])
         if source:
             rows = rows.filter(F.col("source_name") == source)
         manifest, asked = self.bundle.manifest(), trigrams.condition(pattern)
@@ -289,6 +292,11 @@ class Engine:
             rows = trigrams.worth_searching(m.files_by_time(rows, self.bundle.live("state", manifest)), "same", self.bundle.grams(manifest), asked).drop("same")
         return read_files(rows) if documents is None else rows
 
+    def forget(self) -> None:
+        """Delete the listings that results of searches read; ``respond`` does so itself."""
+        while self._scans:
+            remove(self.spark, self._scans.pop())
+
     def exact(self, query: str, limit: int, source: str = "", documents: DataFrame | None = None) -> DataFrame:
         lines = s.exact_lines(self._documents(documents, source, query), query, limit)
         return lines.select(
@@ -302,6 +310,7 @@ class Engine:
         began = time.monotonic()
         with self.phase(f"search ({mode})"):
             rows = self.search(query, mode, **how).collect()  # at most the limit
+        self.forget()
         filters = {"source": how.get("source", ""), "language": how.get("language", ""), "kind": how.get("kind", ""), "dir": how.get("directory", "")}
         results = [
             {

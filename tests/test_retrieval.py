@@ -224,6 +224,7 @@ def test_engine_round(spark, tmp_path):
     assert engine.index()["file_count"] == 2
     for mode in ("semantic", "exact", "hybrid"):
         assert any("auth" in r["file_path"] for r in engine.respond("log in", mode)["results"])
+        assert not [x for x in os.listdir(engine.bundle.path) if x.startswith("scan-")]
     assert {r["kind"] for r in engine.search("log", language="go").collect()} <= {"code"}
     assert engine.sync()["unchanged"] == 2
     (top / "main.go").write_text("package main\n\nfunc Deployment() {\n}\n")
