@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,7 +18,8 @@ from .arrays import let
 # Fixed values of the 64-bit FNV-1a hash.
 BASIS, PRIME_LOW = 0xCBF29CE484222325, 435
 _MASK = 0xFFFFFFFF
-_WORD = re.compile(r"\w+")
+#: Characters whose words are hashed together, and hashes from which on those left are carried on one by one.
+TOGETHER, FEW = 1 << 19, 8
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -35,9 +37,22 @@ def l2_normalize(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: (x / norm).cast("float"))).otherwise(v)
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+@lru_cache(1)
+def _unmarked() -> np.ndarray:
+    """For every code point whether it is no combining mark."""
+    return np.fromiter((unicodedata.category(chr(c)) != "Mn" for c in range(sys.maxunicode + 1)), bool)
+
+
 def without_marks(text: str) -> str:
     """Canonical decomposition without combining marks."""
-    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+    if text.isascii():
+        return text
+    codes = code_points(unicodedata.normalize("NFD", text))
+    return codes[_unmarked()[codes]].tobytes().decode("utf-32-le", "surrogatepass")
 
 
 @lru_cache(1)
@@ -121,40 +136,88 @@ def token_slots(token: Column, dim: int) -> tuple[Column, Column, Column]:
     return first, sign, (h["hi"] * 65536 + F.shiftright(h["lo"], 16)) % dim
 
 
+def _hash_on(h: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """FNV-1a hashes, each carried on over ``size`` bytes of ``data`` from ``start`` on: all together byte position by byte position, the last few each alone."""
+    order = np.argsort(-size, kind="stable")
+    out, start, size = h[order], start[order], size[order]
+    open_, k = np.searchsorted(-size, 0), 0
+    while open_ > FEW:
+        out[:open_] = (out[:open_] ^ data[start[:open_] + k]) * np.uint64((1 << 40) + PRIME_LOW)
+        k += 1
+        open_ = np.searchsorted(-size[:open_], -k)
+    for i in range(open_):
+        x = int(out[i])
+        for byte in data[start[i] + k : start[i] + size[i]].tobytes():
+            x = (x ^ byte) * ((1 << 40) + PRIME_LOW) & 0xFFFFFFFFFFFFFFFF
+        out[i] = x
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 def fnv1a(tokens: list[str]) -> np.ndarray:
-    """64-bit FNV-1a of many tokens, byte position by byte position."""
+    """64-bit FNV-1a of many tokens."""
     raw = [t.encode() for t in tokens]
     size = np.array([len(x) for x in raw], np.int64)
-    start = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    out = np.full(len(raw), BASIS, np.uint64)
-    open_ = np.flatnonzero(size > 0)
-    k = 0
-    while len(open_):
-        out[open_] = (out[open_] ^ data[start[open_] + k]) * np.uint64((1 << 40) + PRIME_LOW)
-        k += 1
-        open_ = open_[size[open_] > k]
+    return _hash_on(np.full(len(raw), BASIS, np.uint64), np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size)
+
+
+@lru_cache(1)
+def _in_words() -> np.ndarray:
+    """For every code point whether it belongs to words: what ``\\w`` matches."""
+    out = np.zeros(sys.maxunicode + 1, bool)
+    out[[m.start() for m in re.finditer(r"\w", "".join(map(chr, range(sys.maxunicode + 1))))]] = True
     return out
 
 
-def embed_texts(texts: list[str | None], dim: int, normalize: bool = True, memory: dict[str, int] | None = None) -> list[np.ndarray]:
+def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words and pairs of neighbours in texts: the text's place, the hash, the weight."""
+    raw = [t.encode("utf-32-le", "surrogatepass") for t in texts]
+    codes = np.frombuffer(b"\n\0\0\0".join([b"", *raw, b""]), "<u4")
+    inside = _in_words()[codes]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    first, last = edges[::2], edges[1::2]  # a break stands at both ends
+    ends = np.cumsum([len(x) // 4 + 1 for x in raw])
+    text = np.searchsorted(ends, first, "right")
+    width = np.ones(len(codes), np.int8)
+    for least in (0x80, 0x800, 0x10000):
+        width += codes >= least
+    at = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
+    data = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-8", "surrogatepass"), np.uint8)
+    start, size = at[first], at[last] - at[first]
+    own = _hash_on(np.full(len(first), BASIS, np.uint64), data, start, size)
+    # a pair's hash is its first word's, carried on
+    pair = np.flatnonzero(text[1:] == text[:-1])
+    joined = (own[pair] ^ np.uint64(ord("_"))) * np.uint64((1 << 40) + PRIME_LOW)
+    joined = _hash_on(joined, data, start[pair + 1], size[pair + 1])
+    return np.concatenate([text, text[pair]]), np.concatenate([own, joined]), np.repeat([1.0, 0.5], [len(own), len(joined)])
+
+
+def slices(texts: list[str | None], most: int = TOGETHER) -> Iterator[list[str | None]]:
+    """Texts in turn, of so many characters together at most, a longer one alone."""
+    low = held = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > low and held + n > most:
+            yield texts[low:i]
+            low, held = i, 0
+        held += n + 32  # that empty texts count, too
+    if low < len(texts):
+        yield texts[low:]
+
+
+def embed_texts(texts: list[str | None], dim: int, normalize: bool = True) -> list[np.ndarray]:
     """Words count 1, pairs of neighbours a half; each adds its sign to one slot and a half of its weight to another."""
-    memory = {} if memory is None else memory
-    listed = []
-    for t in texts:
-        words = _WORD.findall(without_marks(t or "").lower())
-        listed.append((len(words), [*words, *[f"{a}_{b}" for a, b in zip(words, words[1:])]]))
-    new = list({t for _, tokens in listed for t in tokens if t not in memory})
-    memory.update(zip(new, fnv1a(new).tolist()))
-    out = []
-    for n, tokens in listed:
-        h = np.fromiter(map(memory.__getitem__, tokens), np.uint64, len(tokens))
-        weight = np.where(np.arange(len(tokens)) < n, 1.0, 0.5)
+    out: list[np.ndarray] = []
+    for some in slices(texts):
+        place, h, weight = _word_hashes([without_marks(t or "").lower() for t in some])
         sign = np.where((h >> np.uint64(8)) & np.uint64(1), weight, -weight)
         slots = np.concatenate([h % np.uint64(dim), (h >> np.uint64(16)) % np.uint64(dim)]).astype(np.int64)
-        v = np.bincount(slots, np.concatenate([sign, 0.5 * weight]), dim).astype(np.float32)  # multiples of a quarter: exact
-        norm = float(np.sqrt((v.astype(np.float64) ** 2).sum()))
-        out.append((v / np.float32(norm) if normalize and norm > 0 else v).astype(np.float32))
+        v = np.bincount(slots + dim * np.tile(place, 2), np.concatenate([sign, 0.5 * weight]), dim * len(some)).reshape(-1, dim).astype(np.float32)  # multiples of a quarter: exact
+        if normalize:
+            norm = np.sqrt((v.astype(np.float64) ** 2).sum(axis=1)).astype(np.float32)
+            v = v / np.where(norm > 0, norm, np.float32(1))[:, None]
+        out += list(v)
     return out
 
 
@@ -162,18 +225,12 @@ def embed_text(text: str | None, dim: int, normalize: bool = True) -> np.ndarray
     return embed_texts([text], dim, normalize)[0]
 
 
-#: Token hashes that a worker remembers.
-REMEMBERED = 500_000
-
-
 def hash_embedder(dim: int, normalize: bool = True):
-    """Arrow function text -> array<float>; a worker keeps the hashes of tokens it has seen, up to a bound."""
+    """Arrow function text -> array<float>; what a worker holds is bounded by a slice of a batch, whose vectors go on at once."""
 
     def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memory: dict[str, int] = {}
         for s in texts:
-            if len(memory) > REMEMBERED:
-                memory.clear()
-            yield pd.Series(embed_texts(s.tolist(), dim, normalize, memory))
+            for some in slices(s.tolist()):
+                yield pd.Series(embed_texts(some, dim, normalize))
 
     return F.pandas_udf(embed, "array<float>")

@@ -20,6 +20,7 @@ from ..operators import cells, trigrams
 from ..operators import search as s
 from ..operators.chunking import Chunking, build_chunks, code_boundaries
 from ..sources.scan import Source, scan_sources, table_documents
+from ..sources.shared import small_batches
 from . import output
 from .config import Config
 from .engine import Engine
@@ -340,8 +341,10 @@ def wordpiece_ids(spark, sf):
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
-            yield pd.Series([piece.encode(t) for t in x.fillna("")])
+            for some in v.slices(x.fillna("").tolist()):
+                yield pd.Series([piece.encode_array(t) for t in some])
 
+    small_batches(spark)
     ids = read(spark, sf, "documents").select("doc_id", F.pandas_udf(encode, "array<long>")("text").alias("ids"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n"), F.sha1(F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))).cast("binary")).alias("digest"))
 
