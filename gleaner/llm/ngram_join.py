@@ -363,8 +363,12 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", left:
     whole = classes(docs, row, text, key)
     found = staged(whole.select("id", F.col("row").alias(row), "name", "root"), "ngram-found")
     freed(whole)
+    named = found.filter("name is not null")
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).alias("best")).select(F.col(f"best.{row}").alias(row))
+    # rows that go are fewer than those that stay: while they are few, no text leaves its place
+    gone = staged(named.select(row).join(best, row, "left_anti"), "ngram-gone")
+    freed(found)
     if left is not None:
-        left += [docs, found]
-    best = found.filter("name is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).alias("best")).select(F.col(f"best.{row}").alias(row))
-    stay = best.unionByName(found.filter("name is null").select(row))
-    return docs.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+        left += [docs, gone]
+    stay = docs.join(F.broadcast(gone) if gone.count() <= MOST_ROWS else gone, row, "left_anti")
+    return stay.select(*[F.col(f"`{c}`") for c in columns])

@@ -277,3 +277,20 @@ def test_a_changed_leaf_or_proof_is_found_out(spark, sf):
     tampered = docs.filter((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0) & F.col("text").rlike("[A-Z]")).select("doc_id")
     assert found.filter("not verified").select("doc_id").exceptAll(tampered).count() == 0 == tampered.exceptAll(found.filter("not verified").select("doc_id")).count()
     assert found.count() == docs.count()
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_texts_stay_where_they_are_while_few_rows_go(spark, monkeypatch, most):
+    """Rows that go are broadcast up to a bound, so the texts aren't dealt out; beyond it the result is the same."""
+    from gleaner.llm import ngram_join as n
+
+    monkeypatch.setattr(n, "MOST_ROWS", most)
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    words = lambda k: " ".join(f"word{k}x{i}" for i in range(60))
+    rows = [(i, words(i % 40), f"o{i}") for i in range(120)] + [(None, words(3), "null"), (500, None, "none"), (501, "", "empty"), (7, words(7), "o7")]
+    left = []
+    out = n.one_of_each(session.createDataFrame(rows, "doc_id long, text string, other string"), left=left)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == (most > 0) and len(left) == 2
+    assert sorted(r["other"] for r in out.collect()) == sorted([*[f"o{i}" for i in range(40)], "none", "empty"])
