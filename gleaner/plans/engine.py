@@ -27,7 +27,7 @@ from ..operators.cells import CELL_ROWS, MOST_CELLS
 from ..operators.chunking import build_chunks
 from ..sources.bundle import Bundle, ModelMismatch
 from ..sources.scan import Source, list_files, read_files
-from ..sources.shared import remove
+from ..sources.shared import remove, small_batches
 from .config import Config, ConfigError
 from .output import format_size
 
@@ -45,6 +45,7 @@ def dir_size(path: str) -> int:
 class Engine:
     def __init__(self, spark: SparkSession, config: Config, progress: Callable[[str, int, int], None] | None = None):
         """progress: called with a phase, its tasks that are done and those known; with 1 and 1 once it is over."""
+        small_batches(spark)
         self.spark, self.config, self.progress = spark, config, progress
         self.bundle = Bundle(spark, config.bundle_path)
         self.model = MODELS[config.mode]
