@@ -178,8 +178,8 @@ class Bundle:
         """Write embeddings (but for far and cell) in cells around directions of a sample, and the cells."""
         centres = centres_of(sample, MOST_CELLS)
         rows = with_cells(vectors, centres)
-        # a cell's rows go to a few tasks, so that its folder holds few files
-        parts = max(1, min(len(centres), 32))
+        # a cell's rows go to a few tasks, so that its folder holds few files; more than 4 only where cells can be larger than CELL_ROWS
+        parts = 32 if len(centres) >= MOST_CELLS else min(len(centres), 4)
         written = self.put(segment, "embeddings", rows.repartition("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(parts))) if len(centres) > 1 else rows)
         self.put(segment, "cells", cells_of(written, centres))
 
