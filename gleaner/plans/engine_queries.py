@@ -84,10 +84,8 @@ def engine_sync_counts(spark, sf):
 
 def _synced(spark: SparkSession, sf: str) -> tuple[Engine, DataFrame]:
     docs = now(spark, sf)
-    old = before(spark, sf).drop("chunk_ids").withColumnRenamed("content_hash", "old_hash")
-    # texts of files that have changed since had another beginning
-    known = docs.select("source_name", "rel_path", "content")
-    earlier = old.join(known, ["source_name", "rel_path"], "left")
+    # texts of files that have changed since had another beginning; they come with the state, since a join would move all of them
+    earlier = before(spark, sf, "content").drop("chunk_ids").withColumnRenamed("content_hash", "old_hash")
     body = F.when(F.col("old_hash") == "x", F.concat(F.lit("old words\n"), "content")).otherwise(F.coalesce("content", F.lit("gone")))
     path = F.concat(F.lit("/"), "source_name")
     earlier = earlier.select("source_name", path.alias("source_path"), F.concat(path, F.lit("/"), "rel_path").alias("abs_path"), "rel_path", F.lit("txt").alias("extension"), body.alias("content"), "byte_size", "modified_at")

@@ -204,13 +204,13 @@ def filters(spark, sf):
     return out
 
 
-def before(spark, sf):
-    """An earlier state: some documents not there yet, some with another text, some of those with another time, some since gone."""
+def before(spark, sf, *more):
+    """An earlier state: some documents not there yet, some with another text, some of those with another time, some since gone; more: columns of documents that go with it, null for those gone."""
     old = documents(spark, sf).withColumn("content_hash", t.content_hash(F.col("content"))).withColumn("id", F.regexp_extract("rel_path", r"(\d+)", 1).cast("long"))
     d = F.col("id") % 10
     kept = old.filter(d != 0).withColumns({"content_hash": F.when(d.isin(1, 2), F.lit("x")).otherwise(F.col("content_hash")), "modified_at": F.when(d.isin(2, 3), F.col("modified_at") - F.expr("interval 1 day")).otherwise(F.col("modified_at"))})
-    gone = old.filter(d == 4).withColumn("rel_path", F.concat(F.lit("gone_"), "rel_path"))
-    return kept.unionByName(gone).withColumn("chunk_ids", F.array(F.concat(F.lit("c_"), "rel_path"), F.concat(F.lit("d_"), "rel_path"))).select(*m.KEY, "content_hash", "modified_at", "byte_size", "chunk_ids")
+    gone = old.filter(d == 4).withColumns({"rel_path": F.concat(F.lit("gone_"), "rel_path")} | {c: F.lit(None).cast(old.schema[c].dataType) for c in more})
+    return kept.unionByName(gone).withColumn("chunk_ids", F.array(F.concat(F.lit("c_"), "rel_path"), F.concat(F.lit("d_"), "rel_path"))).select(*m.KEY, "content_hash", "modified_at", "byte_size", "chunk_ids", *more)
 
 
 def now(spark, sf):
